@@ -95,7 +95,7 @@ _codecs: dict[str, Codec] = {}
 
 
 def _codec(path: str) -> Codec:
-    return _codecs.setdefault(path, Codec(vocabulary(path)))
+    return _codecs.get(path) or _codecs.setdefault(path, Codec(vocabulary(path)))
 
 
 def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:

@@ -81,7 +81,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _counters.setdefault(tokenizer_path, Counter(vocabulary(tokenizer_path)))
+        counter = _counters.get(tokenizer_path) or _counters.setdefault(tokenizer_path, Counter(vocabulary(tokenizer_path)))
         for b in slices(batches):
             texts = b.column("data").to_pylist()
             n = counter.counts(texts)
