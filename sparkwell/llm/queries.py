@@ -10,9 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe_codec import round_trip
 from .common import table
 from .packing import pack_documents
+from . import quality_rules
 from .token_counts import token_counts
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.line_first(table(spark, sf_dir, "documents")).select(quality_rules.COLUMNS)
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
 
@@ -26,9 +31,12 @@ def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op6_token_counts": op6_token_counts,
     "op7_bpe_codec": op7_bpe_codec,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": quality_rules.SQL,
+}
