@@ -11,7 +11,9 @@ from .bpe_codec import round_trip
 from .common import table
 from .packing import pack_documents
 from . import quality_rules
+from .quality_classifier import score_quality
 from .token_counts import token_counts
+from .toxicity import score_toxicity
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,11 +32,21 @@ def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op6_token_counts": op6_token_counts,
     "op7_bpe_codec": op7_bpe_codec,
+    "op9_toxicity": op9_toxicity,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLE_SQL: dict[str, str] = {
