@@ -7,10 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import near_dup, quality_rules
 from .bpe_codec import round_trip
 from .common import table
 from .packing import pack_documents
-from . import quality_rules
 from .quality_classifier import score_quality
 from .token_counts import token_counts
 from .toxicity import score_toxicity
@@ -24,6 +24,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), percent=75)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
@@ -43,6 +47,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op5_near_duplicates": op5_near_duplicates,
     "op6_token_counts": op6_token_counts,
     "op7_bpe_codec": op7_bpe_codec,
     "op9_toxicity": op9_toxicity,
@@ -51,4 +56,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": quality_rules.SQL,
+    "op5_near_duplicates": near_dup.SQL,
 }
