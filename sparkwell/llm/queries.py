@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dup, quality_rules
+from . import embedding_dup, near_dup, quality_rules
 from .bpe_codec import round_trip
 from .common import table
 from .packing import pack_documents
@@ -36,6 +36,10 @@ def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dup.embedding_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_near_duplicates": op5_near_duplicates,
     "op6_token_counts": op6_token_counts,
     "op7_bpe_codec": op7_bpe_codec,
+    "op8_embedding_duplicates": op8_embedding_duplicates,
     "op9_toxicity": op9_toxicity,
     "op10_quality_classifier": op10_quality_classifier,
 }
@@ -57,4 +62,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": quality_rules.SQL,
     "op5_near_duplicates": near_dup.SQL,
+    "op8_embedding_duplicates": embedding_dup.SQL,
 }
