@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import embedding_dup, near_dup, quality_rules
 from .bpe_codec import round_trip
 from .common import table
+from .lm_scoring import score_documents
 from .packing import pack_documents
 from .quality_classifier import score_quality
 from .token_counts import token_counts
@@ -24,6 +25,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), percent=75)
 
@@ -51,6 +56,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_token_counts": op6_token_counts,
     "op7_bpe_codec": op7_bpe_codec,
