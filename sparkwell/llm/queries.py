@@ -12,15 +12,24 @@ from .bpe_codec import round_trip
 from .common import table
 from .lm_scoring import score_documents
 from .packing import pack_documents
+from .pii import pseudonymise
 from .quality_classifier import score_quality
 from .token_counts import token_counts
 from .toxicity import score_toxicity
 
+#: A run that must not be linked to others takes a secret of its own.
+PII_SECRET = "change me"
+
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.line_first(table(spark, sf_dir, "documents")).select(quality_rules.COLUMNS)
 
 
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text with surrogates, n_entities."""
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), secret=PII_SECRET, count="n_entities")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
 
@@ -55,6 +64,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_pii_surrogates": op2_pii_surrogates,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_lm_scoring": op4_lm_scoring,
     "op5_near_duplicates": op5_near_duplicates,
