@@ -103,7 +103,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     pairs = F.when(F.col("parts") == 1, F.array(F.struct(F.lit(0).alias("p"), F.lit(0).alias("q")))).otherwise(F.transform(others, lambda p: F.struct(F.least(p, F.col("own")).alias("p"), F.greatest(p, F.col("own")).alias("q"))))
     units = stars.join(sized, "hub").withColumn("own", own).select("doc_id", "hub", F.explode(pairs).alias("u")).select("doc_id", F.struct("hub", "u.p", "u.q").alias("unit"))
     wanted = save_table(units.groupBy("doc_id").agg(F.collect_list("unit").alias("units")), "units")
-    texts = doc_bytes(docs).join(wanted, "doc_id")
+    # the same way at every size: the ids in stars grow with the input
+    texts = doc_bytes(docs).join(wanted.hint("merge"), "doc_id")
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 2_000_000):
