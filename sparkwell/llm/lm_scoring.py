@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, doc_bytes, save_table, slices
+from .common import doc_bytes, save_table, slices
 from .labels import fold
 
 #: Classes of single words (the end of a text is one), shared classes, and the vectors' size.
@@ -53,7 +54,6 @@ class Counts:
     def __post_init__(self) -> None:
         own = [w for w in self.words if w != END][: OWN_CLASSES - 1]
         self.own = {END: 0} | {w: k + 1 for k, w in enumerate(own)}
-        self.classes = Memo(300_000)
 
     def __getstate__(self) -> tuple:
         return self.words, self.total, self.distinct, self.shared_total, self.shared_distinct, self.class_total
@@ -126,38 +126,68 @@ class Trainer:
         table -= RATE * g / np.sqrt(self.squares[k])
 
     def step(self, word: np.ndarray, near: np.ndarray, far: np.ndarray) -> None:
-        n = len(word)
+        n = np.float32(len(word))
         noise = np.minimum(np.searchsorted(self.cumulative, self.rng.random(NOISE) * self.cumulative[-1], side="right"), CLASSES - 1)
         h = self.near[near] + self.far[far]
         q, qn = self.out[word], self.out[noise]
-        s = np.einsum("ij,ij->i", h, q) + self.bias[word] - self.log_noise[word]
-        sn = h @ qn.T + self.bias[noise] - self.log_noise[noise]
-        g = (1 / (1 + np.exp(-np.clip(s, -30, 30))) - 1) / n
-        gn = 1 / (1 + np.exp(-np.clip(sn, -30, 30))) / n
-        gh = g[:, None] * q + gn @ qn
-        rows, grads = np.r_[word, noise], np.r_[g[:, None] * h, gn.T @ h]
+        offset = self.bias - self.log_noise
+        s = np.einsum("ij,ij->i", h, q) + offset[word]
+        sn = h @ qn.T
+        sn += offset[noise]
+        g = -1 / (1 + np.exp(np.clip(s, -30, 30))) / n
+        np.clip(sn, -30, 30, out=sn)
+        np.exp(np.negative(sn, out=sn), out=sn)
+        sn += 1
+        gn = np.divide(1 / n, sn, out=sn)
+        gh = g[:, None] * q
+        gh += gn @ qn
+        rows, grads = np.concatenate([word, noise]), np.concatenate([g[:, None] * h, gn.T @ h])
         self._add(0, self.near, near, gh)
         self._add(1, self.far, far, gh)
         self._add(2, self.out, rows, grads)
-        b = np.bincount(rows, np.r_[g, gn.sum(0)], CLASSES).astype(np.float32)
+        b = np.bincount(rows, np.concatenate([g, gn.sum(0)]), CLASSES).astype(np.float32)
         self.squares[3] += b * b
         self.bias -= RATE * b / np.sqrt(self.squares[3])
-        self.seen += n
+        self.seen += len(word)
 
 
 def _split(texts: list[bytes]) -> list[list[bytes]]:
     return [x.lower().split() for x in texts]
 
 
-def _sequence(classes: dict, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Classes of all tokens (an end behind each text), and of the one and two before; before a text stands CLASSES."""
-    code = classes.__getitem__
-    parts = [np.fromiter(map(code, w), np.int64, len(w)) for w in texts]
-    before = np.array([CLASSES, CLASSES])
-    word = np.concatenate([np.r_[x, 0] for x in parts])
-    near = np.concatenate([np.r_[before[:1], x] for x in parts])
-    far = np.concatenate([np.r_[before, x][: len(x) + 1] for x in parts])
-    return word, near, far
+def _flat(ids: dict, texts: list[list[bytes]], end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all tokens (``end`` behind each text), and where texts start."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    starts = np.cumsum(sizes + 1) - sizes - 1
+    out = np.full(int(sizes.sum()) + len(texts), end, np.int64)
+    words = np.ones(len(out), bool)
+    words[starts + sizes] = False
+    out[words] = np.fromiter(map(ids.__getitem__, chain.from_iterable(texts)), np.int64, int(sizes.sum()))
+    return out, starts
+
+
+def _before(word: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Classes one and two before; before a text stands CLASSES."""
+    near = np.concatenate([[CLASSES], word[:-1]])
+    near[starts] = CLASSES
+    far = np.concatenate([[CLASSES], near[:-1]])
+    far[starts] = CLASSES
+    return near, far
+
+
+class Solved:
+    """A worker's rows of numbers by word; it forgets all when there are too many."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit, self.ids, self.rows = limit, {}, np.empty((0, 3))
+
+    def learn(self, seen: set[bytes], solve: Callable[[list[bytes]], Iterator[tuple]]) -> None:
+        missing = list(seen.difference(self.ids))
+        if len(self.ids) + len(missing) > self.limit:
+            self.ids, self.rows, missing = {}, self.rows[:0], list(seen)
+        if missing:
+            self.ids.update(zip(missing, range(len(self.ids), len(self.ids) + len(missing)), strict=True))
+            self.rows = np.concatenate([self.rows, np.array([*solve(missing)], np.float64)])
 
 
 def held_out() -> Column:
@@ -212,16 +242,69 @@ def gather(vocab: DataFrame) -> Counts:
     return Counts(words, int(total.sum()), int(distinct.sum()), total[:-1], distinct[:-1], class_total)
 
 
-def train(docs: DataFrame, counts: Counts) -> LogBilinear:
+def encode(docs: DataFrame, counts: Counts) -> DataFrame:
+    """Every text once: row, doc_id, held_out, n_tokens, data (classes of all tokens, 16 bits each), and what doesn't depend on the model.
+
+    n_known, base_score and inside (log10 of words' probabilities inside their classes) cover the words with known counts;
+    ``rare`` has the others, to be joined.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, solved = shared.value, Solved(300_000)
+        row = TaskContext.get().partitionId() << 40
+
+        def solve(missing: list[bytes]) -> Iterator[tuple[int, float, float]]:
+            for w in missing:
+                c, k = own.words.get(w), own.class_of(w)
+                yield (k, math.nan, math.nan) if c is None else (k, own.base(c), own.inside(c, k))
+
+        end = (0, own.base(own.words.get(END, 0)), 0.0)
+        for batch in slices(batches):
+            texts = _split(batch.column("data").to_pylist())
+            solved.learn(set().union(*texts), solve)
+            at, starts = _flat(solved.ids, texts, -1)
+            k, m, inside = np.concatenate([solved.rows, [end]])[at].T
+            absent = np.isnan(m)
+            total = lambda x, at=starts: np.add.reduceat(x, at)  # noqa: E731  every text has a token
+            n = total(np.ones(len(k), np.int64))
+            known = n - total(absent.astype(np.int64)) - (END not in own.words)
+            rare: list[list[dict]] = [[] for _ in texts]
+            where = np.flatnonzero(absent)
+            text_of = np.repeat(np.arange(len(texts)), n)[where]
+            for (t, w), x in Counter((t, texts[t][i]) for t, i in zip(text_of.tolist(), (where - starts[text_of]).tolist(), strict=True)).items():
+                rare[t].append({"word": w, "k": int(solved.rows[solved.ids[w], 0]) - OWN_CLASSES, "n": x})
+            classes = k.astype("<i2").tobytes()
+            edges = (2 * np.append(starts, len(k))).tolist()
+            kinds = pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int32()), ("n", pa.int64())]))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(range(row, row + len(texts)), pa.int64()), batch.column("doc_id"), batch.column("held_out"), pa.array(n), pa.array([classes[i:j] for i, j in zip(edges, edges[1:], strict=False)], pa.binary()),
+                    pa.array(known), pa.array(total(np.nan_to_num(m))), pa.array(total(np.nan_to_num(inside))), pa.array(rare, kinds),
+                ],
+                ["row", "doc_id", "held_out", "n_tokens", "data", "n_known", "base_score", "inside", "rare"],
+            )
+            row += len(texts)
+
+    return doc_bytes(docs, held_out().alias("held_out")).mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, data binary, n_known long, base_score double, inside double, rare array<struct<word: binary, k: int, n: long>>")
+
+
+def _decoded(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of all tokens of a batch, and where its texts start."""
+    data = batch.column("data").to_pylist()
+    sizes = np.fromiter(map(len, data), np.int64, len(data)) // 2
+    return np.frombuffer(b"".join(data), "<i2").astype(np.int64), np.cumsum(sizes) - sizes
+
+
+def train(encoded: DataFrame, counts: Counts) -> LogBilinear:
     """Every task trains on all its texts from the same start; the mean of the tasks' parameters, weighted by tokens, starts the next round.
 
     Means are taken in two steps, so that no group grows with the number of tasks beyond its square root.
     """
-    spark = docs.sparkSession
+    spark = encoded.sparkSession
     noise = (counts.class_total + 1.0) ** 0.75
     noise /= noise.sum()
     model = LogBilinear.start(counts.class_total)
-    shared = spark.sparkContext.broadcast(counts)
 
     def mean(group: pa.Table) -> pa.Table:
         weight = group.column("weight").to_numpy()
@@ -232,30 +315,27 @@ def train(docs: DataFrame, counts: Counts) -> LogBilinear:
         flat = spark.sparkContext.broadcast(model.flat())
 
         def run(batches: Iterator[pa.RecordBatch], flat=flat, round_=round_) -> Iterator[pa.RecordBatch]:
-            part, own = TaskContext.get().partitionId(), shared.value
-            trainer = Trainer(LogBilinear.of(flat.value), noise, 1_000_003 * round_ + part)
-            for b in slices(batches):
-                texts = _split(b.column("data").to_pylist())
-                own.classes.learn(set().union(*texts), lambda missing: map(own.class_of, missing))
-                word, near, far = _sequence(own.classes, texts)
+            part, trainer = TaskContext.get().partitionId(), None
+            for b in slices(batches, 1_500_000):
+                # the seed follows the rows' origin, so that it doesn't depend on how files are dealt
+                trainer = trainer or Trainer(LogBilinear.of(flat.value), noise, 1_000_003 * round_ + (b.column("row")[0].as_py() >> 40))
+                word, starts = _decoded(b)
+                near, far = _before(word, starts)
                 order = trainer.rng.permutation(len(word))
                 for k in range(0, len(word), STEP):
                     at = order[k : k + STEP]
                     trainer.step(word[at], near[at], far[at])
-            if trainer.seen:
+            if trainer:
                 done = LogBilinear(trainer.near, trainer.far, trainer.out, trainer.bias)
                 yield pa.RecordBatch.from_arrays([pa.array([part % 64], pa.int32()), pa.array([float(trainer.seen)]), pa.array([done.flat().astype(np.float64).tobytes()], pa.binary())], ["some", "weight", "flat"])
 
         kind = "some int, weight double, flat binary"
-        found = doc_bytes(docs).mapInArrow(run, kind).groupBy("some").applyInArrow(mean, kind).withColumn("some", F.lit(0)).groupBy("some").applyInArrow(mean, kind).collect()  # one row
+        found = encoded.select("row", "data").mapInArrow(run, kind).groupBy("some").applyInArrow(mean, kind).withColumn("some", F.lit(0)).groupBy("some").applyInArrow(mean, kind).collect()  # one row
         if found:
             model = LogBilinear.of(np.frombuffer(bytes(found[0]["flat"]), np.float64))
     return model
 
 
-_tables: dict[int, tuple] = {}
-
-
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every text, learning from those not held out.
 
@@ -263,61 +343,26 @@ def score_documents(docs: DataFrame) -> DataFrame:
     that of the neural model. Null and empty texts are an end alone. Repeated rows are learnt from and scored each for itself; a null id is
     never held out. With nothing to learn from, all words are unknown. An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    learnt = docs.filter(~held_out())
-    vocab = save_table(word_counts(learnt), "words")
+    vocab = save_table(word_counts(docs.filter(~held_out())), "words")
     counts = gather(vocab)
-    model = train(learnt, counts)
-    shared = spark.sparkContext.broadcast((counts, model.flat()))
+    encoded = save_table(encode(docs, counts), "encoded")
+    flat = docs.sparkSession.sparkContext.broadcast(train(encoded.filter(~F.col("held_out")), counts).flat())
+    keep = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, flat = shared.value
-        if id(own) not in _tables:
-            _tables.clear()
-            _tables[id(own)] = (LogBilinear.of(flat).tables(), Memo(300_000))
-        (a, b, z), memo = _tables[id(own)]
-        row = TaskContext.get().partitionId() << 40
-
-        def solve(missing: list[bytes]) -> Iterator[tuple[int, float, float]]:
-            """Class, and for words with known counts both logarithms; for the rest they are joined later."""
-            for w in missing:
-                c, k = own.words.get(w), own.class_of(w)
-                yield (k, math.nan, math.nan) if c is None else (k, own.base(c), own.inside(c, k))
-
-        end = next(solve([END]))
-        if END not in own.words:
-            end = (0, own.base(0), 0.0)
-        for batch in slices(batches):
-            texts = _split(batch.column("data").to_pylist())
-            memo.learn(set().union(*texts), solve)
-            n, base, score, known, rare = [], [], [], [], []
-            for words in texts:
-                found = [*map(memo.__getitem__, words), end]
-                m = np.array(found)
-                k = m[:, 0].astype(np.int64)
-                near = np.r_[CLASSES, k[:-1]]
-                far = np.r_[CLASSES, near[:-1]]
-                absent = np.isnan(m[:, 1])
-                n.append(len(k))
-                known.append(len(k) - int(absent.sum()) - (END not in own.words))
-                base.append(float(np.nansum(m[:, 1])))
-                score.append(float((a[near, k].astype(np.float64) + b[far, k] - z[near, far]).sum()) / LN10 + float(np.nansum(m[:, 2])))
-                seen = Counter(words[i] for i in np.flatnonzero(absent))
-                rare.append([{"word": w, "k": memo[w][0] - OWN_CLASSES, "n": x} for w, x in seen.items()])
-            ids = pa.array(range(row, row + len(texts)), pa.int64())
-            row += len(texts)
-            kinds = pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int32()), ("n", pa.int64())]))
-            yield pa.RecordBatch.from_arrays(
-                [ids, batch.column("doc_id"), batch.column("held_out"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(rare, kinds)],
-                ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"],
-            )
-
-    first = doc_bytes(docs, held_out().alias("held_out")).mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<struct<word: binary, k: int, n: long>>")
-    first = save_table(first, "scored")
+        a, b, z = LogBilinear.of(flat.value).tables()
+        for batch in slices(batches, 1_500_000):
+            k, starts = _decoded(batch)
+            near, far = _before(k, starts)
+            token = a[near, k].astype(np.float64) + b[far, k] - z[near, far]
+            score = np.add.reduceat(token, starts) / LN10 + batch.column("inside").to_numpy()
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(score)], [*keep, "score"])
+
+    first = encoded.select(*keep, "inside", "data").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     totals = F.array(*[F.lit(float(t + 0.5 * (d + 1))) for t, d in zip(counts.shared_total, counts.shared_distinct, strict=True)])
-    rare = first.select("row", F.inline("rare")).join(vocab, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    rare = encoded.select("row", F.inline("rare")).join(vocab, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     rare = rare.select("row", "n", "c", (F.log10((F.col("c") + 0.5) / F.lit(counts.total + 0.5 * (counts.distinct + 1))) * F.col("n")).alias("_base"), (F.log10((F.col("c") + 0.5) / F.get(totals, F.col("k"))) * F.col("n")).alias("_score"))
     rare = rare.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("_known"), F.sum("_base").alias("_base"), F.sum("_score").alias("_score"))
-    out = first.drop("rare").join(rare, "row", "left")
+    out = first.join(rare, "row", "left")
     more = lambda c, x: (F.col(c) + F.coalesce(x, F.lit(0))).alias(c)
     return out.select("doc_id", "held_out", "n_tokens", more("n_known", "_known"), F.lit(counts.total).cast("long").alias("train_tokens"), more("base_score", "_base"), more("score", "_score"))
