@@ -13,7 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
-EVENT_FIELDS = "event_type: string, direction: string, importance: string, time_horizon: string, affected_asset: string, reasoning: string, evidence_excerpt: string"
+from ..functions.text import strip
+
+EVENT_FIELDS = "event_type: string, direction: string, importance: string, time_horizon: string, affected_asset: string, reasoning: string, evidence_excerpt: string, error: string"
+_KEYS = ("event_type", "direction", "importance", "time_horizon", "affected_asset", "reasoning", "evidence_excerpt")
 
 
 class Provider(Protocol):
@@ -81,25 +84,31 @@ def summarise(articles: DataFrame, make: Make = OfflineProvider) -> DataFrame:
 
 
 def structure_udtf(make: Make = OfflineProvider):  # noqa: ANN201
-    """A table function (title, content) for LATERAL joins: a row per event."""
+    """A table function (title, content) for LATERAL joins: a row per event, or one with the error."""
 
     class Structure:
         def __init__(self) -> None:
             self.provider = make()
 
         def eval(self, title: str, content: str) -> Iterator[tuple]:
-            for e in self.provider.structure(title, content):
-                yield tuple(e[k] for k in ("event_type", "direction", "importance", "time_horizon", "affected_asset", "reasoning", "evidence_excerpt"))
+            try:
+                rows = [(*(e.get(k) for k in _KEYS), None) for e in self.provider.structure(title, content)]
+            except Exception as e:  # noqa: BLE001  any failure of a model is a row's error
+                rows = [(*(None for _ in _KEYS), f"{type(e).__name__}: {e}")]
+            yield from rows
 
     return udtf(Structure, returnType=EVENT_FIELDS)
 
 
 def structured(articles: DataFrame, make: Make = OfflineProvider) -> DataFrame:
-    """Events of all articles; a blank asset becomes General Market, ids depend on the article and the place alone."""
+    """Events of all articles; a blank asset becomes General Market, ids depend on the article and the event alone.
+
+    An article whose model failed has one row, with ``error`` and no event.
+    """
     spark = articles.sparkSession
     spark.udtf.register("structure_article", structure_udtf(make))
     rows = spark.sql("select a.article_id, e.* from {a} a, lateral structure_article(a.title, a.content) e", a=articles.select("article_id", "title", "content"))
-    asset = F.coalesce(F.nullif(F.trim("affected_asset"), F.lit("")), F.lit("General Market"))
+    asset = F.when(F.col("error").isNull(), F.coalesce(F.nullif(strip(F.col("affected_asset")), F.lit("")), F.lit("General Market")))
     return rows.withColumn("affected_asset", asset).withColumn("event_id", F.sha2(F.concat_ws("|", F.col("article_id").cast("string"), "event_type", "direction", "reasoning"), 256))
 
 

@@ -10,6 +10,7 @@ from ..schema import DIRECTIONS, EVENT_TYPES, GENERAL_SLUG, IMPORTANCE
 
 #: Parts into which general-market events are dealt.
 SALTS = 32
+# What conflicts are called.
 CONFLICT_BOTH = "Positive and negative signals are both present in the retrieved evidence."
 CONFLICT_HORIZON = "Short-term headwinds conflict with more durable long-term positives."
 
@@ -66,8 +67,8 @@ def summary_sentence() -> Column:
     return F.concat(F.lit("Retrieved signals for "), display_target(F.col("target")), F.lit(" are "), leaning, F.lit(". "), F.col("dominant_driver"), F.lit("."), tail)
 
 
-def aggregate(matched: DataFrame, with_events: bool = False) -> DataFrame:
-    """One row per target: counts, four bucket scores, their sum, conflicts, dominant driver and summary; no row where nothing matches.
+def aggregate(matched: DataFrame, with_events: bool = False, keys: tuple[str, ...] = ("target",)) -> DataFrame:
+    """One row per ``keys`` (a target, or a question and its target): counts, four bucket scores, their sum, conflicts, dominant driver and summary; no row where nothing matches.
 
     ``with_events`` adds target_events in the order of structured_at and event_id, which gathers a target's events in one row; it is
     for targets whose events come from a bounded number of articles.
@@ -75,8 +76,8 @@ def aggregate(matched: DataFrame, with_events: bool = False) -> DataFrame:
     bucket = lambda k: F.sum(F.when(F.col("event_type") == k, F.col("score")).otherwise(0)).alias(f"{k.lower()}_score")
     flag = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
     s, h = F.col("score"), F.col("time_horizon")
-    fields = [c for c in ("source_id", "structured_at", "event_id", "article_id", "article_title", "event_type", "direction", "importance", "time_horizon", "affected_asset", "score", "evidence_excerpt") if c in matched.columns]
-    out = matched.groupBy("target").agg(
+    fields = [c for c in ("source_id", "structured_at", "event_id", "article_id", "article_title", "event_type", "direction", "importance", "time_horizon", "affected_asset", "score", "reasoning", "evidence_excerpt") if c in matched.columns]
+    out = matched.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("event_count"), F.count_if(F.col("match") == "target").alias("target_specific_event_count"), *[bucket(k) for k in EVENT_TYPES], F.sum("score").alias("net_score"),
         conflicts(flag(s > 0), flag(s < 0), flag((s < 0) & h.isin("Short-term", "Both")), flag((s > 0) & h.isin("Long-term", "Both"))).alias("conflicts"),
         *([F.array_sort(F.collect_list(F.struct(*fields))).alias("target_events")] if with_events else []),

@@ -54,7 +54,7 @@ def replace_events(events: DataFrame, new: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class SnapshotTable:
-    """States of a table in numbered folders, and a pointer to the current one that changes by a rename.
+    """States of a table in numbered folders, and a pointer to the current one that is replaced by a rename.
 
     Readers take the pointer once and are not disturbed by later writes. One writer at a time is assumed.
     """
@@ -88,7 +88,7 @@ class SnapshotTable:
         out = fs.create(draft, True)
         out.write(json.dumps({"version": n}).encode())
         out.close()
-        if fs.exists(pointer):
-            fs.delete(pointer, False)
-        fs.rename(draft, pointer)
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(pointer.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(draft, pointer, options)
         return n

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import citations, clean, clean_bullet, strip
-from ..schema import DECISIONS, DIRECTIONS, EVENT_TYPES, HORIZONS, IMPORTANCE, MAX_RISKS
+from ..schema import CONFIDENCE, DECISIONS, DIRECTIONS, EVENT_TYPES, HORIZONS, IMPORTANCE, MAX_RISKS
 
 
 def _blank(x: Column) -> Column:
@@ -29,6 +29,16 @@ def point_error(point: Column) -> Column:
     return F.when(_blank(point["text"]), "Point text must be non-empty").when(F.coalesce(F.size(citations(point["citations"])), F.lit(0)) == 0, "Point citations must contain at least one positive source id")
 
 
+def answer_error(points: Column) -> Column:
+    """Of answer, confidence, sources and all ``points``."""
+    return (
+        F.when(_blank(F.col("answer")), "Answer must be non-empty")
+        .when(~F.coalesce(F.col("confidence").isin(CONFIDENCE), F.lit(False)), "invalid confidence")
+        .when(F.exists("sources", lambda s: F.coalesce(s["id"], F.lit(0)) < 1), "source id below 1")
+        .otherwise(F.get(F.array_compact(F.transform(points, point_error)), F.lit(0)))
+    )
+
+
 def unknown_citations(points: Column, sources: Column) -> Column:
     """Ids that points cite and sources lack, rising."""
     cited = F.array_distinct(F.flatten(F.transform(points, lambda p: citations(p["citations"]))))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ..functions.text import normalize_target
 from ..operators import retrieval, signals
 from ..schema import GENERAL_SLUG
 
+# What is said where evidence is missing.
 NO_EVIDENCE = "I do not have enough retrieved evidence to make a news-grounded Buffett-style recommendation for this target yet."
 NO_SIGNALS = "I found news articles, but they do not provide enough target-specific structured evidence to support a disciplined recommendation."
 MARKET_ONLY = "The retrieved evidence is mostly general-market context rather than target-specific signals, so the disciplined default is HOLD."
@@ -51,21 +54,34 @@ def evidence_events(evidence: DataFrame, events: DataFrame) -> DataFrame:
     return events.join(own, "article_id")
 
 
-def recommend(targets: DataFrame, hits: DataFrame, events: DataFrame, top_k: int = 3, retrieval_top_k: int = 5) -> DataFrame:
-    """A recommendation per target. ``targets``: question_id, target, embedding or none; ``hits``: hydrated hits with rank.
+def lexical_order(candidates: DataFrame, questions: DataFrame) -> DataFrame:
+    """question_id and ranked: a deterministic stand-in for the reranking model."""
+    ranked = retrieval.lexical_rerank(candidates, questions)
+    return ranked.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("new_rank", "candidate_id"))).alias("r")).select("question_id", F.transform("r", lambda x: x["candidate_id"]).alias("ranked"))
+
+
+Rerank = Callable[[DataFrame, DataFrame], DataFrame]
+
+
+def reranked_evidence(hits: DataFrame, questions: DataFrame, rerank: Rerank = lexical_order, top_k: int = 3, retrieval_top_k: int = 5) -> DataFrame:
+    """Evidence of each question: more hits than needed are reranked, the first of the new order stay. ``questions``: question_id, question."""
+    return retrieval.evidence(retrieval.reorder(hits, rerank(retrieval.rerank_candidates(hits, retrieval_top_k), questions)), top_k)
+
+
+def recommend(targets: DataFrame, hits: DataFrame, events: DataFrame, top_k: int = 3, retrieval_top_k: int = 5, rerank: Rerank = lexical_order, decide: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
+    """A recommendation per target. ``targets``: question_id, target; ``hits``: hydrated hits with rank.
 
-    Candidates are reranked by words in common, evidence is what stands first then, its events are aggregated by target.
+    Candidates are reranked (by words in common, or by ``rerank``), evidence is what stands first then, its events are aggregated by
+    question. ``decide`` gets the rows of the route ``decide`` and the evidence; without it :func:`rule_decision` decides.
     """
-    questions = targets.select("question_id", F.col("target").alias("question"))
-    ranked = retrieval.lexical_rerank(retrieval.rerank_candidates(hits, retrieval_top_k), questions)
-    order = ranked.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("new_rank", "candidate_id"))).alias("r")).select("question_id", F.transform("r", lambda x: x["candidate_id"]).alias("ranked"))
-    evidence = retrieval.evidence(retrieval.reorder(hits, order), top_k)
+    evidence = reranked_evidence(hits, targets.select("question_id", F.col("target").alias("question")), rerank, top_k, retrieval_top_k)
     matched = signals.match_events(targets.select("question_id", "target"), evidence_events(evidence, events), ["question_id"])
-    total = signals.aggregate(matched, with_events=True)
+    total = signals.aggregate(matched, True, ("question_id", "target"))
     sources = evidence.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("id", "title", "url", "snippet"))).alias("sources"))
-    own = targets.select("question_id", "target").join(sources, "question_id", "left").join(total, "target", "left")
+    own = targets.select("question_id", "target").join(sources, "question_id", "left").join(total, ["question_id", "target"], "left")
     routed = own.withColumn("route", route(F.col("sources").isNotNull(), F.col("net_score").isNotNull(), F.col("target_specific_event_count"), F.col("target")))
-    return insufficient(routed).unionByName(rule_decision(routed))
+    decided = decide(routed.filter("route = 'decide'"), evidence) if decide else rule_decision(routed)
+    return insufficient(routed).unionByName(decided, allowMissingColumns=True)
 
 
 def answer(questions: DataFrame, evidence: DataFrame) -> DataFrame:

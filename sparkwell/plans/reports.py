@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import display_target, iso, render_citations, report_filename, rstrip, yes_no
 
+# What stands where a list is empty. The heads and labels below are fixed, too.
 NO_RISKS = "- No specific additional risks were surfaced beyond the evidence limits."
 NO_SOURCES = "- No sources were cited."
 

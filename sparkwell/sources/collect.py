@@ -11,7 +11,7 @@ from ..functions.text import strip
 from ..schema import MIN_TEXT
 
 NEWS_PAYLOAD = "status string, articles array<struct<title: string, description: string>>"
-#: Stands in where no market series can be read.
+# Fixed value: stands in where no market series can be read.
 FALLBACK = "Fallback API Data: Treasury yields spike 15bps across curve following FOMC minutes release, 10-year at 4.25%. VIX up 5 points to 18.5."
 
 
