@@ -23,8 +23,8 @@ def base_scores(rows):
 def test_base_is_that_of_brute_force_and_the_model_is_better(spark, kept, monkeypatch):
     monkeypatch.setattr(lm_scoring, "KEPT_WORDS", kept)  # the smaller bound sends most words through the join
     rnd = random.Random(1)
-    languages = [[f"{c}{i}" for i in range(150)] for c in "abc"]
-    rows = [(k, " ".join(rnd.choice(languages[k % 3]) for _ in range(rnd.randint(0, 120)))) for k in range(600)]
+    languages = [[f"{c}{i}" for i in range(40)] for c in "abc"]
+    rows = [(k, " ".join(rnd.choice(languages[k % 3]) for _ in range(rnd.randint(0, 120)))) for k in range(4000)]
     got = score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
     assert sorted((r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == base_scores(rows)
     held = [r for r in got if r.held_out]
