@@ -31,14 +31,25 @@ CYRILLIC = "бар бел бор вал вер гал гор дан дол жа
 _word = r"\p{Lu}[\p{L}'’-]{1,40}"
 _titles = "|".join([*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES])
 _given = "|".join(n for names in GIVEN.values() for n in names)
-NAME = rf"(?<![\p{{L}}\p{{N}}])(?=\p{{L}})(?:(?:{_titles})\.?[ ](?:{_word}[ ])?{_word}|(?:{_given})[ ]{_word})(?![\p{{L}}\p{{N}}])"
+# Words that begin the next phrase, not a further word of a name.
+NOT_NAMES = "The This That These Those A An In On At By Of For From To With And Or But As If When While After Before He She It We They You His Her Its Is Was Has Had Der Die Das Ein Eine Und Er Sie Es Im Am Le La Les Un Une Et Il Elle El Los Las Una Y В И На Он Она Но".split()
+_more = rf"(?:[ ](?:\p{{Lu}}\.[ ])?(?!(?:{'|'.join(NOT_NAMES)})(?!\p{{L}})){_word}){{0,4}}"
+_first = rf"(?:\p{{Lu}}\.[ ])?{_word}{_more}"
+NAME = rf"(?<![\p{{L}}\p{{N}}])(?=\p{{L}})(?:(?:{_titles})\.?[ ]{_first}|(?:{_given})[ ]{_first})(?![\p{{L}}\p{{N}}])"
+# A name's words, the possessive s apart, and what is between them.
+NAME_PART = r"['’]s(?!\p{L})|\p{L}(?:[\p{L}-]|['’](?!s(?!\p{L})))*|[^\p{L}'’]+|['’]"
 _octet = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
-_assigned = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?[ ]{0,3}[=:][ ]{0,3}[\"']?"
+_is = r"[\"']?[ ]{0,3}[=:][ ]{0,3}[\"']?"
+_assigned = rf"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key){_is}"
+_value = r"[A-Za-z0-9_+/=~.!#$%^&*@?-]"
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])"
-ASSIGNED = _assigned + r"(?=[A-Za-z_+/=~.-]{0,64}[0-9])[A-Za-z0-9_+/=~.-]{5,199}[A-Za-z0-9_+/=~-]"
+# Behind a password's key any value with a letter or digit, behind the others one with a digit.
+ASSIGNED = rf"(?:(?i:password|passwd|pwd){_is}(?={_value}{{0,199}}[A-Za-z0-9])|{_assigned}(?=[A-Za-z_+/=~.!#$%^&*@?-]{{0,199}}[0-9])){_value}{{5,199}}[A-Za-z0-9_+/=~#$%^&*@-]"
 KEY = r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|xox[abps]-[A-Za-z0-9-]{10,72}|(?=[a-f]{0,64}[0-9])[0-9a-f]{32,128})(?![A-Za-z0-9])"
 IP = rf"(?<![0-9.])(?:{_octet}\.){{3}}{_octet}(?![0-9]|\.[0-9])"
-IP6 = r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"
+_hex = "[0-9A-Fa-f]{1,4}"
+_short6 = "|".join([rf"(?:{_hex}:){{{n}}}(?::{_hex}){{1,{7 - n}}}" for n in range(1, 7)] + [rf":(?::{_hex}){{1,7}}", rf"(?:{_hex}:){{1,7}}:"])
+IP6 = rf"(?<![\p{{L}}0-9_:])(?:(?:{_hex}:){{7}}{_hex}|{_short6})(?![\p{{L}}0-9_:])"
 SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,4})?(?![A-Za-z0-9])"
 CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9])"
@@ -66,14 +77,14 @@ def _parts(x: Column) -> Column:
     lists = {kind: F.array(*map(F.lit, names)) for kind, names in GIVEN.items()}
 
     def name(token: Column) -> Column:
-        kind = F.when(~token.rlike(r"^\p{L}") | token.isin(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES), "keep")
+        kind = F.when(~token.rlike(r"^\p{L}") | (F.length(token) == 1) | token.isin(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES), "keep")
         for k, names in lists.items():
             kind = kind.when(F.array_contains(names, token), k)
         return _part(kind.when(_cyrillic(token), "surname_cyrillic").otherwise("surname_latin"), token, token)
 
     return (
-        F.when(F.contains(x, F.lit("@")), F.array(_part("user", F.lower(x), user), _part("keep", F.lit("@"), F.lit("@")), _part("domain", F.lower(domain), domain)))
-        .when(head != "", F.array(_part("keep", head, head), _part("secret", value, value)))
+        F.when(head != "", F.array(_part("keep", head, head), _part("secret", value, value)))
+        .when(F.contains(x, F.lit("@")), F.array(_part("user", F.lower(x), user), _part("keep", F.lit("@"), F.lit("@")), _part("domain", F.lower(domain), domain)))
         .when(x.rlike("^" + KEY + "$"), plain("secret", x))
         .when(x.rlike(f"^{IP}$"), plain("ip", x))
         .when(x.rlike(f"^{IP6}$"), plain("ip6", F.lower(x)))
@@ -81,10 +92,19 @@ def _parts(x: Column) -> Column:
         .when(x.rlike(f"^{SOCIAL}$"), plain("social", digits))
         .when(x.rlike(f"^{CARD}$"), plain("card", digits))
         .when(x.rlike("[0-9]"), plain("phone", digits))
-        .otherwise(F.transform(F.regexp_extract_all(x, F.lit(r"\p{L}[\p{L}'’-]*|[^\p{L}]+"), F.lit(0)), name))
+        .otherwise(F.transform(F.regexp_extract_all(x, F.lit(NAME_PART), F.lit(0)), name))
     )
 
 
+def _entity_of(text: Column) -> Column:
+    """The pattern of a text's entities: in one with names their words are entities wherever else they stand."""
+    names = F.regexp_extract_all(text, F.lit(NAME), F.lit(0))
+    words = F.flatten(F.transform(names, lambda x: F.regexp_extract_all(x, F.lit(NAME_PART), F.lit(0))))
+    words = F.filter(F.array_distinct(words), lambda w: w.rlike(r"^\p{L}{2}|^\p{L}['’-]\p{L}") & ~w.isin(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES + NOT_NAMES))
+    longest_first = F.array_join(F.reverse(F.array_sort(words)), "|")
+    return F.when(text.rlike(NAME) & (longest_first != ""), F.concat(F.lit(ENTITY + r"|(?<![\p{L}\p{N}])(?:"), longest_first, F.lit(r")(?![\p{L}\p{N}])"))).otherwise(ENTITY)
+
+
 def _draw(secret: str, kind: Column, key: Column, draw: Column) -> Column:
     """128 hexadecimal digits that depend on the secret, the part and the number of the draw."""
     seed = F.concat_ws("\u0001", F.lit(secret), kind, key, draw.cast("string"))
@@ -157,7 +177,8 @@ def _surrogate(secret: str, kind: Column, key: Column, text: Column, draw: Colum
         .when(kind == "domain", F.concat(letters, F.lit(".example.net")))
         .when(kind == "ip", F.concat_ws(".", *(octet(i) for i in range(4))))
         .when(kind == "card", _card(text, stream))
-        .when((kind == "user") & (F.length(text) < 8), F.concat(F.substring(letters, 1, 8), _same_form(text, stream, F.lit(0))))
+        .when((kind == "ip6") & F.contains(text, F.lit("::")), F.concat_ws(":", F.substring(stream, 1, 4), F.substring(stream, 5, 4), F.lit(""), F.substring(stream, 9, 4), F.substring(stream, 13, 4)))
+        .when(((kind == "user") & (F.length(text) < 8)) | ((kind == "secret") & (F.length(F.regexp_replace(text, "[^A-Za-z0-9]", "")) < 6)), F.concat(F.substring(letters, 1, 8), _same_form(text, stream, F.lit(0))))
         .otherwise(_same_form(text, stream, fixed))
     )
 
@@ -193,13 +214,14 @@ def pseudonymise(docs: DataFrame, secret: str, count: str | None = None) -> Data
 
     Entities: emails, phone numbers, IP addresses, card, bank and social security numbers, keys and passwords, and names with a title
     or a known given name. A part's surrogate depends on the secret and the part alone unless it collides, so it is the same in
-    all documents. Texts without entities pass through untouched and are not shuffled; null stays null. Repeated rows get
+    all documents. Further mentions of a name's words in the same text are replaced with it. Texts without entities pass through untouched and are not shuffled; null stays null. Repeated rows get
     equal texts, an empty table gives no rows. Matches are bounded in length, so long texts take linear time.
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
     text = F.col("text")
-    has = F.coalesce((text.rlike("[0-9@]") & text.rlike(WITH_MARKS)) | text.rlike(NAME), F.lit(False))
-    hits = docs.filter(has).select(F.monotonically_increasing_id().alias("__row"), F.struct(*columns).alias("__doc"), F.split(text, ENTITY).alias("__rest"), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)).alias("__found"))
+    has = F.coalesce((text.rlike("[0-9@:=]") & text.rlike(WITH_MARKS)) | text.rlike(NAME), F.lit(False))
+    hits = docs.filter(has).select(F.struct(*columns).alias("__doc"), text.alias("__text"), _entity_of(text).alias("__entity"))
+    hits = hits.select(F.monotonically_increasing_id().alias("__row"), "__doc", F.split("__text", F.col("__entity")).alias("__rest"), F.regexp_extract_all("__text", F.col("__entity"), F.lit(0)).alias("__found"))
     hits = save_table(hits, "hits")
     found = hits.select("__row", F.posexplode("__found").alias("__at", "x"))
     parts = found.select("__row", "__at", F.posexplode(_parts(F.col("x"))).alias("__part", "p")).select("__row", "__at", "__part", "p.*")

@@ -61,3 +61,41 @@ def test_odd_documents(spark, odd_docs, no_docs):
     assert pseudonymise(no_docs, "s").count() == 0
     long = spark.createDataFrame([(1, "x@y.example.com " * 3000), (1, "x@y.example.com " * 3000)], "doc_id long, text string")
     assert [r.n for r in pseudonymise(long, "s", "n").collect()] == [3000, 3000]
+
+
+def test_further_mentions_of_a_name_are_replaced(spark):
+    rows = [
+        (1, "John Smith met Ann. Smith said so, Smith's house and (John) too; Smithers stays."), (2, "Mary Ann Jones left. Ann Jones and Mary R. Jones came."), (3, "Mr John Ronald Smith saw it. Ronald slept."),
+        (4, "Smith alone, in a text without a full name, stays."), (5, "Mary Jones The end. The cat sat."), (6, "Herr Weber rief an. Weber-Haus und O'Neil bleiben."),
+    ]
+    new = texts(pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "secret"))
+    m = re.fullmatch(r"(\w+) (\w+) met Ann\. (\w+) said so, (\w+)'s house and \((\w+)\) too; Smithers stays\.", new[1])
+    assert m and m[2] == m[3] == m[4] != "Smith" and m[1] == m[5] != "John"
+    n = re.fullmatch(r"(\w+) (\w+) (\w+) left\. (\w+) (\w+) and (\w+) R\. (\w+) came\.", new[2])
+    assert n and (n[1], n[2], n[3]) == (n[6], n[4], n[5]) and n[3] == n[7] and not {n[1], n[2], n[3]} & {"Mary", "Ann", "Jones"}
+    r = re.fullmatch(r"Mr (\w+) (\w+) (\w+) saw it\. (\w+) slept\.", new[3])
+    assert r and r[2] == r[4] != "Ronald" and (r[1], r[3]) == (m[1], m[2])
+    assert new[4] == rows[3][1]
+    assert re.fullmatch(r"\w+ \w+ The end\. The cat sat\.", new[5]) and "Jones" not in new[5]
+    w = re.fullmatch(r"Herr (\w+) rief an\. (\w+)-Haus und O'Neil bleiben\.", new[6])
+    assert w and w[1] == w[2] != "Weber"
+
+
+def test_passwords_need_no_digit(spark):
+    rows = [(1, "password: correcthorse"), (2, "pwd=Tr!#b$%orx"), (3, 'token = "a!b#c$d%9x"'), (4, "password=bob@mail.example"), (5, "password: ******** and token: required"), (6, "passwd: #a!!!!#")]
+    new = texts(pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "secret"))
+    assert re.fullmatch(r"password: [a-z]{12}", new[1]) and "correcthorse" not in new[1]
+    assert re.fullmatch(r"pwd=[A-Z][a-z]!#[a-z]\$%[a-z]{3}", new[2]) and new[2] != rows[1][1]
+    assert re.fullmatch(r'token = "[a-z]![a-z]#[a-z]\$[a-z]%[0-9][a-z]"', new[3]) and new[3] != rows[2][1]
+    assert new[4].startswith("password=") and "bob" not in new[4] and "mail" not in new[4]
+    assert new[5] == rows[4][1] and re.fullmatch(r"passwd: [a-z]{8}#[a-z]!!!!#", new[6])
+
+
+def test_compressed_ipv6(spark):
+    short = ["2001:db8::8a2e:370:7334", "fe80::1", "::1", "2001:db8::", "::ffff:0:1", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1::8", "2001:0db8:85a3:0000:0000:8a2e:0370:7334"]
+    rows = [(k, f"from {x}, at 12:30") for k, x in enumerate(short)] + [(99, "std::vector, Foo::Bar, a ::: b, 12:30:45")] + [(100 + k, f"host ::{k:x}.") for k in range(2, 16)]
+    new = texts(pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "secret"))
+    for k, x in enumerate(short):
+        assert re.fullmatch(r"from [0-9a-z:]+, at 12:30", new[k]) and x not in new[k].split(), (x, new[k])
+        assert new[k] != rows[k][1]
+    assert new[99] == rows[9][1] and len({new[100 + k] for k in range(2, 16)}) == 14
