@@ -159,19 +159,20 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoders.get(tokenizer_path) or _encoders.setdefault(tokenizer_path, WordEncoder(tokenizer_path))
-        numbering, end, step = Numbering(), end_id.to_bytes(4, "little"), 4 * capacity
-        for b in slices(batches):
-            owner, piece, start, ids = [], [], [], []
-            for doc_id, x in zip(b.column("doc_id").to_pylist(), encoder.encode(b.column("data").to_pylist()), strict=True):
-                x += end
-                for k in range(0, len(x), step):
-                    owner.append(doc_id)
-                    piece.append(k // step)
-                    start.append(k // 4)
-                    ids.append(x[k : k + step])
-            lengths = [len(x) // 4 for x in ids]
-            columns = [pa.array(owner, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(lengths, pa.int64()), pa.array(map(zlib.crc32, ids), pa.int64()), *([pa.array(ids, pa.binary())] if with_ids else []), *numbering.columns(lengths)]
-            yield pa.RecordBatch.from_arrays(columns, names)
+        numbering = Numbering()
+        for b in slices(batches, 8_000_000):
+            ids, edges = encoder.flat(b.column("data"))
+            ids = np.insert(ids, edges[1:], end_id).astype("<u4")
+            starts, sizes = edges[:-1] + np.arange(b.num_rows), np.diff(edges) + 1
+            many = -(-sizes // capacity)
+            piece = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            own = np.repeat(np.arange(b.num_rows), many)
+            lengths = np.minimum(capacity, sizes[own] - piece * capacity)
+            at = 4 * (starts[own] + piece * capacity)
+            raw = memoryview(ids).cast("B")
+            cut = [raw[i:j] for i, j in zip(at.tolist(), (at + 4 * lengths).tolist(), strict=True)]
+            found = [b.column("doc_id").take(pa.array(own)), pa.array(piece, pa.int32()), pa.array(piece * capacity), pa.array(lengths), pa.array(map(zlib.crc32, cut), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*found, *([pa.array(map(bytes, cut), pa.binary())] if with_ids else []), *numbering.columns(lengths.tolist())], names)
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else []), "task_part", "task_rank"]
     kinds = ["long", "int", "long", "long", "long", *(["binary"] if with_ids else []), "long", "long"]

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import string
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 from .common import Memo
@@ -13,50 +17,99 @@ from .common import Memo
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Words that a worker remembers; about 150 bytes each.
 MEMO_WORDS = 300_000
-#: A word whose last letter is ASCII, with ASCII punctuation (no apostrophe) behind it: the library splits there, too.
-_tail = re.compile(rb"([A-Za-z\x80-\xff]*[A-Za-z])([!-&(-/:-@\[-`{-~]+)").fullmatch
+#: Unknown words that are encoded as one text.
+JOINED = 1_000
+#: Letters that are whole characters and have one lower case of their own, then ASCII punctuation (no apostrophe): the library
+#: splits between the two, and its normal form of the letters is their lower case.
+_letters = re.compile("[a-zA-ZÀ-ÖØ-öø-ÿа-яА-ЯёЁ]+").fullmatch
+_MARKS = string.punctuation.replace("'", "")
+#: Stands between other words; words that hold it are encoded alone.
+_MARK = "\x01"
 
 
 class WordEncoder:
     """For files that drop white space and never join across it, so that words can be encoded alone."""
 
     def __init__(self, path: str, memo_words: int = MEMO_WORDS) -> None:
-        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.tokenizer = Tokenizer.from_str(json.dumps(spec))
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        # the same model without the steps that change nothing on lower-case letters
+        spaces, spec["pre_tokenizer"] = {"type": "WhitespaceSplit"}, spec["pre_tokenizer"]
+        bytes_ = [p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "ByteLevel"]
+        self.letters = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [spaces, *bytes_]}}))
+        self.letters.no_truncation()
+        self.letters.no_padding()
         tokens = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(1 + max(tokens.values()), bool)
         for token, i in tokens.items():
             self.ends[i] = token.endswith("</w>")
-        self.by_word, self.by_stem = Memo(memo_words), Memo(memo_words)
-
-    def _stems(self, missing: list[bytes]) -> list[bytes]:
-        """Words of letters only end with one marked token each, so many of them are encoded as one text."""
-        words = [w.decode() for w in missing]
-        letters = [k for k, w in enumerate(words) if w.isalpha()]
-        out: dict[int, bytes] = {}
-        for at in range(0, len(letters), 500):
-            own = letters[at : at + 500]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words[k] for k in own)], add_special_tokens=False)[0].ids, np.int64)
-            cut = np.flatnonzero(self.ends[ids]) + 1
-            if len(cut) == len(own) and cut[-1] == len(ids):
-                out.update((k, x.astype("<u4").tobytes()) for k, x in zip(own, np.split(ids, cut[:-1]), strict=True))
-        rest = [k for k in range(len(words)) if k not in out]
-        if rest:
-            found = self.tokenizer.encode_batch_fast([words[k] for k in rest], add_special_tokens=False)
-            out.update((k, np.array(x.ids, "<u4").tobytes()) for k, x in zip(rest, found, strict=True))
-        return [out[k] for k in range(len(words))]
-
-    def _words(self, missing: list[bytes]) -> list[bytes]:
-        split = [m.groups() if (m := _tail(w)) else (w,) for w in missing]
-        self.by_stem.learn({s for x in split for s in x}, self._stems)
-        ids = self.by_stem.__getitem__
-        return [b"".join(map(ids, x)) for x in split]
+        self.mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
+        self.by_word, self.by_stem, self.by_tail = Memo(memo_words), Memo(memo_words), Memo(memo_words)
+
+    def _joined(self, words: list[str], tokenizer: Tokenizer, between: str) -> np.ndarray:
+        return np.array(tokenizer.encode_batch_fast([between.join(words)], add_special_tokens=False)[0].ids, "<u4")
+
+    def _stems(self, stems: list[str]) -> list[bytes]:
+        """Each ends with one marked token."""
+        out: list[bytes] = []
+        for at in range(0, len(stems), JOINED):
+            ids = self._joined(stems[at : at + JOINED], self.letters, " ")
+            cut = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            data = ids.tobytes()
+            out += [data[i:j] for i, j in zip([0, *cut], cut, strict=False)]
+        return out
+
+    def _others(self, words: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(words), JOINED):
+            own = words[at : at + JOINED]
+            ids = self._joined(own, self.tokenizer, f" {_MARK} ")
+            cut = 4 * np.flatnonzero(ids == self.mark[0])
+            if len(self.mark) == 1 and len(cut) == len(own) - 1:
+                data = ids.tobytes()
+                out += [data[i:j] for i, j in zip([0, *(cut + 4).tolist()], [*cut.tolist(), len(data)], strict=True)]
+            else:
+                out += [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(own, add_special_tokens=False)]
+        return out
+
+    def _words(self, missing: list[str]) -> list[bytes]:
+        stems = [w.rstrip(_MARKS) for w in missing]
+        tails = [w[len(x) :] for w, x in zip(missing, stems, strict=True)]
+        plain = [x.isalpha() if x.isascii() else bool(_letters(x)) for x in stems]
+        stems = [x.lower() for x in stems]
+        self.by_stem.learn({x for x, p in zip(stems, plain, strict=True) if p}, self._stems)
+        self.by_tail.learn({x for x, p in zip(tails, plain, strict=True) if p}, self._others)
+        others = iter(self._others([w for w, p in zip(missing, plain, strict=True) if not p]))
+        stem, tail = self.by_stem, self.by_tail
+        return [stem[x] + tail[y] if p else next(others) for x, y, p in zip(stems, tails, plain, strict=True)]
+
+    def flat(self, data: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (binary, UTF-8) in one array, and where each text's begin and the last one's end.
+
+        Equal words of a batch are solved once; the rest is done on whole arrays.
+        """
+        text = data.cast(pa.string())
+        # lower case is what the file asks for, and fewer words are then to be solved; special strings are matched and letters are
+        # joined with marks before that, so such texts keep theirs
+        as_is = pc.or_(pc.match_substring(text, "<|"), pc.match_substring_regex(text, "[\\x{300}-\\x{36F}]"))
+        words = pc.ascii_split_whitespace(pc.if_else(as_is, text, pc.ascii_lower(text)))
+        coded = words.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self.by_word.learn(set(distinct), self._words)
+        solved = list(map(self.by_word.__getitem__, distinct))
+        size = np.fromiter(map(len, solved), np.int64, len(solved)) // 4
+        ids = np.frombuffer(b"".join(solved), "<u4")
+        at = coded.indices.to_numpy()
+        n = size[at]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        begin = (np.cumsum(size) - size)[at] - ends[:-1]
+        edges = np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy())])
+        return ids[np.repeat(begin, n) + np.arange(ends[-1])], ends[edges]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        # lower case is what the file asks for; special strings are matched before that, so such texts keep theirs
-        split = [(x if b"<|" in x else x.lower()).split() for x in texts]
-        self.by_word.learn(set().union(*split), self._words)
-        ids = self.by_word.__getitem__
-        return [b"".join(map(ids, x)) for x in split]
+        ids, edges = self.flat(pa.array(texts, pa.binary()))
+        return [ids[i:j].tobytes() for i, j in zip(edges, edges[1:], strict=False)]
