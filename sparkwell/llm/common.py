@@ -43,6 +43,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def join_salted(rows: DataFrame, few: DataFrame, on: list[str], by: str, salts: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``few`` (one row per key), where a key may have any share of ``rows``.
+
+    Rows of a key are dealt by a hash of the column ``by``; ``few`` first meets the keys with the salts in use, which are
+    at most ``salts`` rows per key. Rows with a null key match nothing.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)))
+    used = salted.select(*on, "_salt").distinct().join(few, on)
+    return salted.join(used, [*on, "_salt"], how).drop("_salt")
+
+
 def doc_bytes(docs: DataFrame, *more) -> DataFrame:
     """doc_id and the UTF-8 bytes of text (null: empty), and no other column of ``docs``."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"), *more)

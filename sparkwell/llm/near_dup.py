@@ -6,17 +6,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_bytes, save_table, slices
+from .common import doc_bytes, join_salted, save_table, slices
 from .components import UnionFind, components
 from .superminhash import Shingler, band_keys, mix, signatures
 
 #: 51 bands of 5 of 256 values: a pair at the threshold of 0.75 meets in none of them once in a million.
 SIZE, ROWS, BANDS = 256, 5, 51
-#: Shingles and documents of a unit of verification at most (but for two documents that are longer alone).
+#: Shingles and documents of a part of a star, about; the hub comes on top, and a document that is longer alone is a part.
 UNIT_SHINGLES, UNIT_DOCUMENTS = 400_000, 1_000
+#: Parts into which the rows of equal sets are dealt.
+SALTS = 1_024
 
 _shinglers: list[Shingler] = []
 
@@ -33,8 +35,8 @@ def _fingerprint(shingles: np.ndarray) -> bytes:
         return mix(shingles).sum(dtype=np.uint64).tobytes() + mix(shingles ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).tobytes()
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key (16 bytes that stand for the set; null if it is empty) and bands (array of keys)."""
+def sketches(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, n_shingles, set_key (16 bytes that stand for the set; null if it is empty), bands (array of keys) and binary columns ``more``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 2_000_000):
@@ -43,14 +45,15 @@ def sketches(docs: DataFrame) -> DataFrame:
             offsets = np.concatenate([[0], np.cumsum([BANDS if len(x) else 0 for x in sets])]).astype(np.int32)
             flat = keys[[len(x) > 0 for x in sets]].reshape(-1)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([_fingerprint(x) if len(x) else None for x in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64()))],
-                ["doc_id", "n_shingles", "set_key", "bands"],
+                [b.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([_fingerprint(x) if len(x) else None for x in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64())), *(b.column(c) for c in more)],
+                ["doc_id", "n_shingles", "set_key", "bands", *more],
             )
 
-    return doc_bytes(docs).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
+    own = docs.select("doc_id", "text", *more)
+    return doc_bytes(own, *more).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>" + "".join(f", {c} binary" for c in more))
 
 
-def linked_within(ids: list[int], sets: list[np.ndarray], percent: int, found: UnionFind) -> None:
+def linked_within(ids: list, sets: list[np.ndarray], percent: int, found: UnionFind) -> None:
     """Joins all documents whose sets overlap enough, by counts over the postings of each set's shingles."""
     sizes = np.array([len(x) for x in sets])
     flat = np.concatenate(sets)
@@ -73,73 +76,133 @@ def linked_within(ids: list[int], sets: list[np.ndarray], percent: int, found: U
                 found.union(ids[k], ids[int(j)])
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document.
-
-    Documents with at least ``percent`` of common among all distinct 5-word shingles are linked; component_id is the
-    smallest doc_id that links reach, kept says whether that is the document itself.
-
-    Equal sets count as one document with the least id. Documents that share a band key form buckets; the buckets with the
-    same least document are a unit, in which all pairs are compared on their full sets, so no pairs are ever rows. Units
-    above the bounds are dealt into parts, and every two parts meet in one unit. Links leave a unit as a forest.
+def _compared(docs: DataFrame, units: DataFrame, percent: int) -> DataFrame:
+    """Links of all pairs that a unit holds. ``units``: hub, p, q, parts, and a set's node, doc_id and set_key.
 
-    Null text, empty text and text without words: no shingles, linked with nothing. A null doc_id: component_id null,
-    kept. Rows that repeat a doc_id with another text are grouped each by its own text. An empty table gives no rows.
+    Rows with a and b (structs of doc_id and node) are a unit's links as a forest; rows with ``left`` name the nodes that links
+    inside the unit don't connect with the hub, where the hub's star has several parts.
     """
-    all_ = save_table(sketches(docs), "sketches")
-    some = all_.filter(F.col("doc_id").isNotNull() & F.col("set_key").isNotNull())
-    reps = some.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    members = save_table(all_.select("doc_id", "n_shingles", "set_key").join(reps, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "members")
-    banded = some.join(reps.withColumnRenamed("rep", "doc_id"), ["doc_id", "set_key"], "left_semi").select("doc_id", "n_shingles", F.explode("bands").alias("key"))
-    bucket = Window.partitionBy("key")
-    stars = banded.select("doc_id", "n_shingles", F.min("doc_id").over(bucket).alias("hub"), F.max("doc_id").over(bucket).alias("last"))
-    stars = save_table(stars.filter("hub < last").select("hub", "doc_id", "n_shingles").distinct(), "stars")
-    # units: one for a star, or one for every two parts of a large star
-    parts = F.ceil(F.greatest(F.sum("n_shingles") * 2 / UNIT_SHINGLES, F.count(F.lit(1)) * 2 / UNIT_DOCUMENTS)).cast("int")
-    sized = stars.groupBy("hub").agg(F.sum("n_shingles").alias("_s"), F.count(F.lit(1)).alias("_d"), parts.alias("parts"))
-    sized = sized.select("hub", F.when((F.col("_s") <= UNIT_SHINGLES) & (F.col("_d") <= UNIT_DOCUMENTS), 1).otherwise(F.greatest("parts", F.lit(2))).alias("parts"))
-    own = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("parts")).cast("int")
-    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: p != F.col("own"))
-    pairs = F.when(F.col("parts") == 1, F.array(F.struct(F.lit(0).alias("p"), F.lit(0).alias("q")))).otherwise(F.transform(others, lambda p: F.struct(F.least(p, F.col("own")).alias("p"), F.greatest(p, F.col("own")).alias("q"))))
-    units = stars.join(sized, "hub").withColumn("own", own).select("doc_id", "hub", F.explode(pairs).alias("u")).select("doc_id", F.struct("hub", "u.p", "u.q").alias("unit"))
-    wanted = save_table(units.groupBy("doc_id").agg(F.collect_list("unit").alias("units")), "units")
+    # a set that goes to very many units does so by several rows
+    wanted = units.groupBy("node", "doc_id", "set_key", F.floor(F.col("p") / 256).alias("_p"), F.floor(F.col("q") / 256).alias("_q")).agg(F.collect_list(F.struct("hub", "p", "q", "parts")).alias("units"))
+    wanted = save_table(wanted.drop("_p", "_q"), "units")
     # the same way at every size: the ids in stars grow with the input
     texts = doc_bytes(docs).join(wanted.hint("merge"), "doc_id")
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[tuple] = set()  # rows that repeat a document come to the same task
         for b in slices(batches, 2_000_000):
-            rows = [(u["hub"], u["p"], u["q"], i, x.tobytes()) for i, x, units in zip(b.column("doc_id").to_pylist(), _shingler().sets(b.column("data").to_pylist()), b.column("units").to_pylist(), strict=True) for u in units]
+            rows = []
+            sets = _shingler().sets(b.column("data").to_pylist())
+            for x, *own, units_ in zip(sets, *(b.column(c).to_pylist() for c in ("set_key", "node", "doc_id", "units")), strict=True):
+                if len(x) and _fingerprint(x) == own[0]:  # else another text of the same doc_id
+                    for u in units_:
+                        if (key := (u["hub"], u["p"], u["q"], own[1])) not in done:
+                            done.add(key)
+                            rows.append((u["hub"], u["p"], u["q"], u["parts"], own[1], own[2], x.tobytes()))
             for at in range(0, len(rows), 1_000):
                 columns = list(zip(*rows[at : at + 1_000], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["hub", "p", "q", "doc_id", "shingles"])
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["hub", "p", "q", "parts", "node", "doc_id", "shingles"])
 
     def verify(unit: pa.Table) -> pa.Table:
-        found = UnionFind()
-        linked_within(unit.column("doc_id").to_pylist(), [np.frombuffer(x, np.uint64) for x in unit.column("shingles").to_pylist()], percent, found)
-        links = found.links()
-        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
-
-    sets = texts.mapInArrow(shingle, "hub long, p int, q int, doc_id long, shingles binary")
-    links = sets.groupBy("hub", "p", "q").applyInArrow(verify, "a long, b long")
-    root = components(links)
-    out = members.join(root, F.col("rep") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
+        sets = {(d, n): x for d, n, x in zip(*(unit.column(c).to_pylist() for c in ("doc_id", "node", "shingles")), strict=True)}
+        found, nodes = UnionFind(), list(sets)
+        linked_within(nodes, [np.frombuffer(x, np.uint64) for x in sets.values()], percent, found)
+        links, hub = found.links(), unit.column("hub")[0].as_py()
+        left: list[int] = []
+        if unit.column("parts")[0].as_py() > 1:
+            root = next((found.find(x) for x in nodes if x[1] == hub), None)
+            left = [x[1] for x in nodes if found.find(x) != root]
+        pair = lambda k: [{"doc_id": x[k][0], "node": x[k][1]} for x in links] + [None] * len(left)
+        kind = pa.struct([("doc_id", pa.int64()), ("node", pa.int64())])
+        n = len(links) + len(left)
+        return pa.table({"a": pa.array(pair(0), kind), "b": pa.array(pair(1), kind), "hub": pa.array([hub] * n, pa.int64()), "left": pa.array([None] * len(links) + left, pa.int64())})
+
+    sets = texts.mapInArrow(shingle, "hub long, p int, q int, parts int, node long, doc_id long, shingles binary")
+    node = "struct<doc_id: long, node: long>"
+    return save_table(sets.groupBy("hub", "p", "q").applyInArrow(verify, f"a {node}, b {node}, hub long, left long"), "compared")
+
+
+def _grouped(docs: DataFrame, percent: int, *more: str) -> DataFrame:
+    """doc_id, n_shingles, set_key and ``more`` of every row; for its set (if it has one and an id) root: doc_id and node of the least that links reach, and own: those of the set itself."""
+    all_ = save_table(sketches(docs, *more), "sketches")
+    some = all_.filter(F.col("doc_id").isNotNull() & F.col("set_key").isNotNull())
+    # one row per set; what follows knows it by a number
+    sets = some.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("bands").alias("bands"))
+    sets = save_table(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
+    banded = sets.select("node", "n_shingles", F.explode("bands").alias("key"))
+    # aggregates and a plain join of written tables, so that Spark can pre-aggregate a frequent key and split its join
+    buckets = save_table(banded.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("_last")).filter("hub < _last").select("key", "hub"), "buckets")
+    stars = save_table(banded.join(buckets, "key").select("hub", "node", "n_shingles").distinct(), "stars")
+    parts = F.ceil(F.greatest(F.sum("n_shingles") / UNIT_SHINGLES, F.count(F.lit(1)) / UNIT_DOCUMENTS)).cast("int").alias("parts")
+    large = save_table(stars.groupBy("hub").agg(parts).filter("parts > 1"), "large")
+    own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int")
+    dealt = stars.join(large, "hub", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", own)
+    named = sets.select("node", "doc_id", "set_key")
+    # the hub is in every part of its star
+    to = F.when(F.col("node") == F.col("hub"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("own"))
+    first = _compared(docs, dealt.select("hub", "node", "parts", F.explode(to).alias("p"), F.lit(0).alias("q")).join(named, "node"), percent)
+    links = first.filter("a is not null").select("a", "b")
+    # what the hub doesn't reach inside its part meets all other parts, too
+    left = save_table(first.filter("left is not null").select("hub", F.col("left").alias("node")).distinct(), "left")
+    if not left.isEmpty():
+        blocks = save_table(left.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / (UNIT_DOCUMENTS / 2)).cast("int").alias("blocks")), "blocks")
+        block = F.pmod(F.xxhash64("node", F.lit(11)), F.col("blocks")).cast("int")
+        one = left.join(blocks, "hub").join(large, "hub").select("hub", "node", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"), block.alias("q"))
+        other = dealt.join(blocks, "hub").select("hub", "node", "parts", F.col("own").alias("p"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("q"))
+        second = _compared(docs, one.unionByName(other).distinct().join(named, "node"), percent)
+        links = links.unionByName(second.filter("a is not null").select("a", "b"))
+    root = components(links).select(F.col("node.node").alias("node"), "root")
+    me = F.struct("doc_id", "node")
+    known = save_table(named.join(root, "node", "left").select("set_key", me.alias("own"), F.coalesce("root", me).alias("root")), "known")
+    # a set may have any share of the rows
+    found = join_salted(all_.drop("bands"), known, ["set_key"], "doc_id", SALTS, "left")
+    there = F.col("doc_id").isNotNull()
+    return found.select("doc_id", "n_shingles", "set_key", *more, F.when(there, F.col("own")).alias("own"), F.when(there, F.col("root")).alias("root"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every document.
+
+    Documents with at least ``percent`` of common among all distinct 5-word shingles are linked; component_id is the
+    smallest doc_id that links reach, kept says whether that is the document itself.
+
+    Equal sets count as one. Sets that share a band key form buckets; the buckets with the same least set, their hub, are a star.
+    A star's sets are compared on their full shingles, in parts of bounded size that all hold the hub; only those that links
+    inside a part don't connect with the hub are compared with the other parts as well. So groups of copies cost their number, and no
+    pairs are ever rows. Links leave a unit as a forest.
+
+    Null text, empty text and text without words: no shingles, linked with nothing. A null doc_id: component_id null,
+    kept. Rows that repeat a doc_id with another text are grouped each by its own text. An empty table gives no rows.
+    """
+    found = _grouped(docs, percent)
+    out = found.select("doc_id", "n_shingles", F.coalesce("root.doc_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """One document of each group, the one with the least id, with all columns of ``docs``; of rows that repeat its id, one stays.
+    """One document of each group, the one with the least id, with all columns of ``docs``; of rows that repeat it, one stays.
 
-    Documents without id or without words are no copies of each other and stay.
+    Documents without id or without words are no copies of each other and stay. A text goes only if it is linked itself: one
+    that shares its doc_id with a copy of something else stays.
     """
-    found = save_table(near_duplicates(docs, percent).select(F.col("doc_id").alias("__id"), "kept").filter("__id is not null"), "kept")
-    same = docs["doc_id"].cast("long") == F.col("__id")
-    out = docs.join(found.filter("not kept").select("__id").distinct(), same, "left_anti")
-    again = save_table(found.filter("kept").groupBy("__id").count().filter("count > 1").select("__id"), "repeated")
+    of_text = F.unhex(F.md5(F.col("text")))
+    found = _grouped(docs.select("doc_id", "text", of_text.alias("text_key")), percent, "text_key").filter("own is not null")
+    # one text of each id and set
+    texts = found.groupBy("doc_id", "text_key").agg(F.any_value("set_key").alias("set_key"), F.any_value(F.col("own.node") == F.col("root.node")).alias("ends"), F.any_value(F.col("root.doc_id")).alias("least"), F.count(F.lit(1)).alias("n"))
+    texts = save_table(texts, "texts")
+    first = texts.groupBy("doc_id", "set_key").agg(F.min("text_key").alias("text_key")).withColumn("first", F.lit(True))
+    stays = F.col("ends") & (F.col("doc_id") == F.col("least")) & F.col("first").isNotNull()
+    marked = save_table(texts.join(first, ["doc_id", "set_key", "text_key"], "left").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), stays.alias("__stays"), "n"), "kept")
+    same = (docs["doc_id"].cast("long") == F.col("__id")) & (of_text == F.col("__key"))
+    out = docs.join(marked.filter("not __stays or n > 1").select("__id", "__key"), same, "left_anti")
+    again = marked.filter("__stays and n > 1").select("__id", "__key")
     if again.isEmpty():
         return out
-    first = Window.partitionBy("doc_id").orderBy("text")
-    once = out.join(again, same, "left_semi").withColumn("__nth", F.row_number().over(first)).filter("__nth = 1").drop("__nth")
-    return out.join(again, same, "left_anti").unionByName(once)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.join(again, same).select("__id", "__key", F.struct(*columns).alias("__row"))
+    once = rows.groupBy("__id", "__key").agg(F.min_by("__row", F.xxhash64(F.to_json("__row"))).alias("__row"))
+    return out.unionByName(once.select(*[F.col("__row")[c].alias(c) for c in docs.columns]))
 
 
 SQL = r"""
