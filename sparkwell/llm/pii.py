@@ -8,11 +8,12 @@ holds as an original, are drawn again.
 from __future__ import annotations
 
 import hashlib
+import secrets
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import save_table
+from .common import join_salted, save_table
 
 # Forms of address by gender, and given names by script and gender.
 MALE_TITLES = "Mr Mister Sir Herr Monsieur Señor Sr Don господин".split()
@@ -56,7 +57,17 @@ CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9])"
 PHONE = r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?|[0-9]{1,3}[ .-])?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])|(?<![0-9A-Za-z])\+[0-9]{7,15}(?![0-9])"
 WITH_MARKS = "|".join([EMAIL, ASSIGNED, KEY, IP, IP6, SOCIAL, IBAN, CARD, PHONE])
 ENTITY = f"{WITH_MARKS}|{NAME}"
-MAX_DRAWS = 60
+#: Parts into which the mentions of an entity are dealt.
+SALTS = 256
+_drawn: dict[str, str] = {}
+
+
+def run_secret(spark: SparkSession) -> str:
+    """The secret that keys surrogates: ``spark.sparkwell.pii.secret`` of the session, or one drawn at random for this application.
+
+    Runs with the same secret give the same surrogates. It is a literal of the plan, so plans and event logs are to be kept like it.
+    """
+    return spark.conf.get("spark.sparkwell.pii.secret", None) or _drawn.setdefault(spark.sparkContext.applicationId, secrets.token_hex(32))
 
 
 def _cyrillic(x: Column) -> Column:
@@ -115,9 +126,8 @@ def _byte(stream: Column, i: Column) -> Column:
     return F.conv(F.substring(stream, F.pmod(i, F.lit(64)) * 2 + 1, F.lit(2)), 16, 10).cast("int")
 
 
-def _same_form(text: Column, stream: Column, fixed: Column) -> Column:
-    """A digit for a digit, a letter for a letter of the same case (hexadecimal texts stay so); the first ``fixed`` characters and all others stay."""
-    hexadecimal = text.rlike("^[0-9a-f]{16,}$")
+def _same_form(text: Column, stream: Column, fixed: Column, hexadecimal: Column) -> Column:
+    """A digit for a digit, a letter for a letter of the same case (or among hexadecimal ones); the first ``fixed`` characters and all others stay."""
     pick = lambda i, letters: F.substring(F.lit(letters), F.pmod(_byte(stream, i), F.lit(len(letters))) + 1, F.lit(1))
 
     def change(c: Column, i: Column) -> Column:
@@ -139,9 +149,9 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda a, x: a + x) % 10
 
 
-def _card(text: Column, stream: Column) -> Column:
-    """Same length, grouping and first digit; valid if the original is."""
-    other = _same_form(text, stream, F.lit(1))
+def _card(text: Column, stream: Column, wide: Column) -> Column:
+    """Same length, grouping and first digit; valid if the original is. ``wide`` are further digits."""
+    other = F.concat(_same_form(text, stream, F.lit(1), F.lit(False)), wide)
     head = F.substring(other, F.lit(1), F.length(other) - 1)
     bare = F.regexp_replace(head, "[^0-9]", "")
     check = F.pmod(10 - _luhn(F.concat(bare, F.lit("0"))), F.lit(10)).cast("string")
@@ -165,9 +175,13 @@ def _given_map(secret: str) -> dict[str, str]:
 
 
 def _surrogate(secret: str, kind: Column, key: Column, text: Column, draw: Column) -> Column:
+    """Every tenth draw widens the form by a digit (a name by a syllable; addresses take the longer form), so that no form is ever used up."""
     stream = _draw(secret, kind, key, draw)
     octet = lambda i: (F.pmod(_byte(stream, F.lit(2 * i)) * 256 + _byte(stream, F.lit(2 * i + 1)), F.lit(254)) + 1).cast("string")
     given = F.create_map(*[F.lit(x) for pair in _given_map(secret).items() for x in pair])
+    hexadecimal = (kind == "secret") & text.rlike("^[0-9a-f]{16,}$") & text.rlike("[a-f]")
+    more = F.floor(draw / 10).cast("int")
+    wide = F.translate(F.substring(stream, F.lit(65), more), "abcdef", "024689")
     letters = F.translate(F.substring(stream, 1, 12), "0123456789", "ghijklmnop")
     fixed = F.when(text.rlike("^(AKIA|ASIA|gh[pousr]_|xox)"), 4).when(text.rlike("^sk-"), 3).when(kind == "iban", 2).when(text.rlike(r"^\+"), F.least(F.length(F.regexp_extract(text, r"^\+[0-9]{1,3}(?=[ .-])|^\+[0-9]", 0)), F.lit(4))).otherwise(0)
     return (
@@ -175,11 +189,13 @@ def _surrogate(secret: str, kind: Column, key: Column, text: Column, draw: Colum
         .when(kind == "surname_latin", _surname(LATIN, stream, draw, text))
         .when(kind == "surname_cyrillic", _surname(CYRILLIC, stream, draw, text))
         .when(kind == "domain", F.concat(letters, F.lit(".example.net")))
+        .when((kind == "ip") & (more > 0), F.concat_ws(":", F.lit("2001:db8"), *(F.substring(stream, 1 + 4 * k, 4) for k in range(6))))
         .when(kind == "ip", F.concat_ws(".", *(octet(i) for i in range(4))))
-        .when(kind == "card", _card(text, stream))
+        .when(kind == "card", _card(text, stream, wide))
         .when((kind == "ip6") & F.contains(text, F.lit("::")), F.concat_ws(":", F.substring(stream, 1, 4), F.substring(stream, 5, 4), F.lit(""), F.substring(stream, 9, 4), F.substring(stream, 13, 4)))
-        .when(((kind == "user") & (F.length(text) < 8)) | ((kind == "secret") & (F.length(F.regexp_replace(text, "[^A-Za-z0-9]", "")) < 6)), F.concat(F.substring(letters, 1, 8), _same_form(text, stream, F.lit(0))))
-        .otherwise(_same_form(text, stream, fixed))
+        .when(kind == "ip6", F.concat(_same_form(text, stream, F.lit(0), F.lit(True)), F.when(more > 0, F.concat(F.lit(":"), wide)).otherwise(F.lit(""))))
+        .when(((kind == "user") & (F.length(text) < 8)) | ((kind == "secret") & (F.length(F.regexp_replace(text, "[^A-Za-z0-9]", "")) < 6)), F.concat(F.substring(letters, 1, 8), _same_form(text, stream, F.lit(0), F.lit(False))))
+        .otherwise(F.concat(_same_form(text, stream, fixed, hexadecimal), wide))
     )
 
 
@@ -193,12 +209,12 @@ def surrogates(entities: DataFrame, secret: str) -> DataFrame:
     """kind, key and made for distinct entities (kind, key, text), all distinct and none equal to an original.
 
     Of entities that get the same surrogate the one of fewest draws (then least key) keeps it, the others draw again until
-    no two are equal; given names need no check, theirs is a permutation.
+    no two are equal; given names need no check, theirs is a permutation. Draws widen crowded forms, so this ends.
     """
     now = save_table(entities.filter("kind <> 'keep'").withColumn("draw", F.lit(0)).withColumn("made", _surrogate(secret, F.col("kind"), F.col("key"), F.col("text"), F.col("draw"))), "entities")
     checked = ~F.startswith(F.col("kind"), F.lit("given"))
     same = Window.partitionBy("kind", _as_key(F.col("kind"), F.col("made"))).orderBy("draw", "key")
-    for _ in range(MAX_DRAWS):
+    while True:
         originals = now.select("kind", F.when(F.col("kind") == "user", F.substring_index("key", "@", 1)).otherwise(F.col("key")).alias("_made")).distinct().withColumn("_taken", F.lit(True))
         marked = now.withColumn("_nth", F.row_number().over(same)).withColumn("_made", _as_key(F.col("kind"), F.col("made"))).join(originals, ["kind", "_made"], "left")
         marked = save_table(marked.select("kind", "key", "text", "draw", "made", (checked & ((F.col("_nth") > 1) | F.col("_taken").isNotNull())).alias("again")), "checked")
@@ -206,7 +222,6 @@ def surrogates(entities: DataFrame, secret: str) -> DataFrame:
             return marked.select("kind", "key", "made")
         next_ = F.col("draw") + F.col("again").cast("int")
         now = save_table(marked.select("kind", "key", "text", next_.alias("draw"), F.when(F.col("again"), _surrogate(secret, F.col("kind"), F.col("key"), F.col("text"), next_)).otherwise(F.col("made")).alias("made")), "entities")
-    raise RuntimeError(f"entities without a surrogate of their own after {MAX_DRAWS} draws")
 
 
 def pseudonymise(docs: DataFrame, secret: str, count: str | None = None) -> DataFrame:
@@ -228,8 +243,9 @@ def pseudonymise(docs: DataFrame, secret: str, count: str | None = None) -> Data
     parts = save_table(parts, "parts")
     entities = parts.groupBy("kind", "key").agg(F.min("text").alias("text"))
     made = surrogates(entities, secret)
+    # an entity may have any share of the mentions; what stays as it is needs no join
+    joined = join_salted(parts.filter("kind <> 'keep'"), made, ["kind", "key"], "__row", SALTS).unionByName(parts.filter("kind = 'keep'").withColumn("made", F.lit(None).cast("string")))
     # a phone number keeps the form in which it stands here, so all but the digits come from this text
-    joined = parts.join(made, ["kind", "key"], "left")
     new = F.when(F.col("kind") == "keep", F.col("text")).when(F.col("kind").isin("phone", "card", "social", "iban"), _in_form(F.col("text"), F.col("made"))).otherwise(F.col("made"))
     whole = joined.groupBy("__row").agg(F.collect_list(F.struct("__at", "__part", new.alias("new"))).alias("new"))
     rest = F.transform("__rest", lambda x, i: F.struct(i.alias("__at"), F.lit(-1).alias("__part"), x.alias("new")))  # each stands before its entity
@@ -242,8 +258,9 @@ def pseudonymise(docs: DataFrame, secret: str, count: str | None = None) -> Data
 
 
 def _in_form(text: Column, made: Column) -> Column:
-    """The letters and digits of ``made`` in the places of those of ``text``."""
+    """The letters and digits of ``made`` in the places of those of ``text``, further ones behind."""
     bare = F.regexp_replace(made, "[^0-9A-Za-z]", "")
     marks = F.transform(F.split(text, ""), lambda c: c.rlike("[0-9A-Za-z]"))
     nth = lambda i: F.size(F.filter(F.slice(marks, F.lit(1), i + 1), lambda m: m))
-    return F.array_join(F.transform(F.split(text, ""), lambda c, i: F.when(c.rlike("[0-9A-Za-z]"), F.substring(bare, nth(i), F.lit(1))).otherwise(c)), "")
+    placed = F.array_join(F.transform(F.split(text, ""), lambda c, i: F.when(c.rlike("[0-9A-Za-z]"), F.substring(bare, nth(i), F.lit(1))).otherwise(c)), "")
+    return F.concat(placed, F.substring(bare, F.size(F.filter(marks, lambda m: m)) + 1, F.length(bare)))

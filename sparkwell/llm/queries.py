@@ -12,7 +12,7 @@ from .bpe_codec import round_trip
 from .common import table
 from .lm_scoring import score_documents
 from .packing import pack_documents
-from .pii import pseudonymise
+from .pii import pseudonymise, run_secret
 from .quality_classifier import score_quality
 from .token_counts import token_counts
 from .toxicity import score_toxicity
@@ -27,7 +27,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text with surrogates, n_entities."""
-    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), secret=PII_SECRET, count="n_entities")
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), secret=run_secret(spark), count="n_entities")
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

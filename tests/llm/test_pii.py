@@ -99,3 +99,53 @@ def test_compressed_ipv6(spark):
         assert re.fullmatch(r"from [0-9a-z:]+, at 12:30", new[k]) and x not in new[k].split(), (x, new[k])
         assert new[k] != rows[k][1]
     assert new[99] == rows[9][1] and len({new[100 + k] for k in range(2, 16)}) == 14
+
+
+def test_digits_stay_digits(spark):
+    rows = [(1, "token = 1234567890123456 card 4207051279108084 and 0123456789012345678")]
+    new = texts(pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "secret"))[1]
+    assert re.fullmatch(r"token = \d{16} card 4\d{15} and 0\d{18}", new) and new != rows[0][1]
+
+
+def test_crowded_forms_are_widened(spark):
+    """All two-digit texts are originals, so every surrogate needs a further digit."""
+    rows = [("phone", f"{k:02d}", f"{k:02d}") for k in range(100)]
+    made = [r.made for r in surrogates(spark.createDataFrame(rows, "kind string, key string, text string"), "s").collect()]
+    assert len(set(made)) == 100 and {len(m) for m in made} == {3}
+
+
+def test_an_entity_of_most_documents(spark):
+    rows = [(k, f"row {k} mail common@mail.example or u{k}@mail.example") for k in range(600)]
+    found = [re.findall(r"\S+@\S+", r.text) for r in pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "s").collect()]
+    assert len({f[0] for f in found}) == 1 and len({f[1] for f in found}) == 600 and "mail.example" not in str(found)
+
+
+def test_against_brute_force(spark):
+    """Over whole documents: what lies between the marks that an independent engine finds is untouched, and marks are replaced one to one."""
+    import regex
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    old, new = texts(docs), texts(pseudonymise(docs, "secret"))
+    marks, names = regex.compile(pii.WITH_MARKS), regex.compile(pii.NAME)
+    met: dict[str, set[str]] = {}
+    for k, text in old.items():
+        if names.search(text):
+            continue  # further mentions of names are entities there, too
+        between = marks.split(text)
+        m = re.fullmatch("(.+?)".join(map(re.escape, between)), new[k], re.DOTALL)
+        assert m, (k, text, new[k])
+        for was, now in zip(marks.findall(text), m.groups(), strict=True):
+            assert was != now
+            met.setdefault(was, set()).add(now)
+    made = [x for xs in met.values() for x in xs]
+    assert met and all(len(xs) == 1 for xs in met.values()) and len(set(made)) == len(made) and not set(made) & set(met)
+
+
+def test_the_secret_comes_from_the_session(spark):
+    drawn = pii.run_secret(spark)
+    assert len(drawn) == 64 and pii.run_secret(spark) == drawn
+    spark.conf.set("spark.sparkwell.pii.secret", "own")
+    try:
+        assert pii.run_secret(spark) == "own"
+    finally:
+        spark.conf.unset("spark.sparkwell.pii.secret")
