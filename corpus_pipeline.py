@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 from sparkwell.llm.common import shared_dir, table
 from sparkwell.llm.near_dup import keep_one
 from sparkwell.llm.packing import pack_documents
-from sparkwell.llm.pii import pseudonymise
+from sparkwell.llm.pii import pseudonymise, run_secret
 from sparkwell.llm.quality_classifier import keep_good
-from sparkwell.llm.queries import PII_SECRET
 from sparkwell.llm.toxicity import keep_civil
 
 #: The whole can't be said in SQL: two stages are fitted models, one packs greedily.
@@ -38,7 +37,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data and secrets; n_chars follows the new text."""
-    out = pseudonymise(docs, PII_SECRET)
+    out = pseudonymise(docs, run_secret(spark))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
