@@ -11,10 +11,10 @@ import math
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -29,6 +29,8 @@ OWN_CLASSES, SHARED_CLASSES, WIDTH = 768, 256, 24
 KEPT_WORDS = 150_000
 #: Rounds over the corpus, tokens of a step, noise words of a step, step size.
 ROUNDS, STEP, NOISE, RATE = 2, 2048, 48, 0.25
+#: Models of which a task takes the mean.
+TREE = 16
 #: The end of a text, a word that no text can hold.
 END = b""
 CLASSES = OWN_CLASSES + SHARED_CLASSES
@@ -151,18 +153,23 @@ class Trainer:
         self.seen += len(word)
 
 
-def _split(texts: list[bytes]) -> list[list[bytes]]:
-    return [x.lower().split() for x in texts]
+def _coded(data: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Of texts (binary): the distinct words (ASCII letters in lower case), which of them each word is, and how many words each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(data.cast(pa.string())))
+    words = lists.flatten()
+    some = pc.greater(pc.binary_length(words), 0)  # there is an empty one where a text begins or ends with white space
+    owner = np.repeat(np.arange(len(data)), pc.list_value_length(lists).to_numpy())
+    coded = words.filter(some).cast(pa.binary()).dictionary_encode()
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(), np.bincount(owner[some.to_numpy(zero_copy_only=False)], minlength=len(data))
 
 
-def _flat(ids: dict, texts: list[list[bytes]], end: int) -> tuple[np.ndarray, np.ndarray]:
+def _flat(words: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all tokens (``end`` behind each text), and where texts start."""
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     starts = np.cumsum(sizes + 1) - sizes - 1
-    out = np.full(int(sizes.sum()) + len(texts), end, np.int64)
-    words = np.ones(len(out), bool)
-    words[starts + sizes] = False
-    out[words] = np.fromiter(map(ids.__getitem__, chain.from_iterable(texts)), np.int64, int(sizes.sum()))
+    out = np.full(len(words) + len(sizes), end, np.int64)
+    own = np.ones(len(out), bool)
+    own[starts + sizes] = False
+    out[own] = words
     return out, starts
 
 
@@ -207,9 +214,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
             return out
 
         for b in slices(batches):
-            for words in _split(b.column("data").to_pylist()):
-                seen.update(words)
-                seen[END] += 1
+            words, which, _ = _coded(b.column("data"))
+            seen.update(dict(zip(words, np.bincount(which, minlength=len(words)).tolist(), strict=True)))
+            seen[END] += b.num_rows
             if len(seen) > 300_000:
                 yield flush()
         if seen:
@@ -261,30 +268,34 @@ def encode(docs: DataFrame, counts: Counts) -> DataFrame:
 
         end = (0, own.base(own.words.get(END, 0)), 0.0)
         for batch in slices(batches):
-            texts = _split(batch.column("data").to_pylist())
-            solved.learn(set().union(*texts), solve)
-            at, starts = _flat(solved.ids, texts, -1)
+            distinct, which, sizes = _coded(batch.column("data"))
+            solved.learn(set(distinct), solve)
+            known_as = np.fromiter(map(solved.ids.__getitem__, distinct), np.int64, len(distinct))
+            at, starts = _flat(known_as[which], sizes, -1)
+            names, _ = _flat(which, sizes, -1)
             k, m, inside = np.concatenate([solved.rows, [end]])[at].T
             absent = np.isnan(m)
             total = lambda x, at=starts: np.add.reduceat(x, at)  # noqa: E731  every text has a token
             n = total(np.ones(len(k), np.int64))
             known = n - total(absent.astype(np.int64)) - (END not in own.words)
-            rare: list[list[dict]] = [[] for _ in texts]
+            rare: list[list[dict]] = [[] for _ in range(batch.num_rows)]
             where = np.flatnonzero(absent)
-            text_of = np.repeat(np.arange(len(texts)), n)[where]
-            for (t, w), x in Counter((t, texts[t][i]) for t, i in zip(text_of.tolist(), (where - starts[text_of]).tolist(), strict=True)).items():
-                rare[t].append({"word": w, "k": int(solved.rows[solved.ids[w], 0]) - OWN_CLASSES, "n": x})
+            text_of = np.repeat(np.arange(batch.num_rows), n)[where]
+            real = names[where] >= 0
+            pairs, x = np.unique((text_of[real] << 32) | names[where][real], return_counts=True)
+            for t, w, c in zip((pairs >> 32).tolist(), (pairs & 0xFFFFFFFF).tolist(), x.tolist(), strict=True):
+                rare[t].append({"word": distinct[w], "k": int(solved.rows[known_as[w], 0]) - OWN_CLASSES, "n": c})
             classes = k.astype("<i2").tobytes()
             edges = (2 * np.append(starts, len(k))).tolist()
             kinds = pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int32()), ("n", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(range(row, row + len(texts)), pa.int64()), batch.column("doc_id"), batch.column("held_out"), pa.array(n), pa.array([classes[i:j] for i, j in zip(edges, edges[1:], strict=False)], pa.binary()),
+                    pa.array(range(row, row + batch.num_rows), pa.int64()), batch.column("doc_id"), batch.column("held_out"), pa.array(n), pa.array([classes[i:j] for i, j in zip(edges, edges[1:], strict=False)], pa.binary()),
                     pa.array(known), pa.array(total(np.nan_to_num(m))), pa.array(total(np.nan_to_num(inside))), pa.array(rare, kinds),
                 ],
                 ["row", "doc_id", "held_out", "n_tokens", "data", "n_known", "base_score", "inside", "rare"],
             )
-            row += len(texts)
+            row += batch.num_rows
 
     return doc_bytes(docs, held_out().alias("held_out")).mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, data binary, n_known long, base_score double, inside double, rare array<struct<word: binary, k: int, n: long>>")
 
@@ -299,7 +310,7 @@ def _decoded(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 def train(encoded: DataFrame, counts: Counts) -> LogBilinear:
     """Every task trains on all its texts from the same start; the mean of the tasks' parameters, weighted by tokens, starts the next round.
 
-    Means are taken in two steps, so that no group grows with the number of tasks beyond its square root.
+    Means are taken level by level in groups of TREE models, so no task holds more of them, however many tasks there are.
     """
     spark = encoded.sparkSession
     noise = (counts.class_total + 1.0) ** 0.75
@@ -327,10 +338,14 @@ def train(encoded: DataFrame, counts: Counts) -> LogBilinear:
                     trainer.step(word[at], near[at], far[at])
             if trainer:
                 done = LogBilinear(trainer.near, trainer.far, trainer.out, trainer.bias)
-                yield pa.RecordBatch.from_arrays([pa.array([part % 64], pa.int32()), pa.array([float(trainer.seen)]), pa.array([done.flat().astype(np.float64).tobytes()], pa.binary())], ["some", "weight", "flat"])
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([float(trainer.seen)]), pa.array([done.flat().astype(np.float64).tobytes()], pa.binary())], ["some", "weight", "flat"])
 
         kind = "some int, weight double, flat binary"
-        found = encoded.select("row", "data").mapInArrow(run, kind).groupBy("some").applyInArrow(mean, kind).withColumn("some", F.lit(0)).groupBy("some").applyInArrow(mean, kind).collect()  # one row
+        rows = encoded.select("row", "data")
+        tree, left = rows.mapInArrow(run, kind), rows.rdd.getNumPartitions()
+        while left > 1:
+            tree, left = tree.withColumn("some", F.floor(F.col("some") / TREE).cast("int")).groupBy("some").applyInArrow(mean, kind), -(-left // TREE)
+        found = tree.collect()  # one row
         if found:
             model = LogBilinear.of(np.frombuffer(bytes(found[0]["flat"]), np.float64))
     return model
