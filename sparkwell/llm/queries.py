@@ -17,9 +17,6 @@ from .quality_classifier import score_quality
 from .token_counts import token_counts
 from .toxicity import score_toxicity
 
-#: A run that must not be linked to others takes a secret of its own.
-PII_SECRET = "change me"
-
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.line_first(table(spark, sf_dir, "documents")).select(quality_rules.COLUMNS)

@@ -25,6 +25,8 @@ INSULTS = frozenset(b"idiot idiots moron morons stupid dumb loser losers scum tr
 #: Second persons in four languages.
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine deinen deiner ihr euch euer tu te toi ton ta tes vous votre vos tú ti usted ustedes vosotros vuestra vuestro".encode().split())
 NEAR = 3
+#: Parts of the sample that calibration leaves out in turn.
+PARTS = 3
 _EDGE = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 #: Characters that stand for letters.
 _PLAIN = bytes.maketrans(b"013457@$!", b"oieastasi")
@@ -142,28 +144,32 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
 def learn(docs: DataFrame, labels: DataFrame, trained: Column, most: int = MAX_LABELLED) -> ToxicityModel:
     """Fits on at most ``most`` labelled documents; only their features and the lexicon come to the driver.
 
-    Calibration uses scores of trees that haven't seen the document: three parts by crc32 of the id in turn.
+    Calibration uses scores of trees and lexicons that haven't seen the document: three parts by crc32 of the id in turn.
     """
-    sample = sample_documents(docs, sample_ids(labels, "toxic", trained, most)).groupBy("doc_id").agg(F.min(F.struct("_label", "text")).alias("_r")).select("doc_id", "_r.*").persist()
+    part = (F.crc32(F.col("doc_id").cast("string")) % 7 % 3).alias("_part")
+    sample = sample_documents(docs, sample_ids(labels, "toxic", trained, most)).groupBy("doc_id").agg(F.min(F.struct("_label", "text")).alias("_r")).select("doc_id", "_r.*", part).persist()
     try:
-        lexicon = learn_lexicon(sample)
+        # the last one has learned from all parts
+        lexicons = [learn_lexicon(sample.filter(F.col("_part") != k)) for k in range(PARTS)] + [learn_lexicon(sample)]
 
-        @F.arrow_udf("array<double>")
+        @F.arrow_udf("array<array<double>>")
         def features(data: pa.Array) -> pa.Array:
-            return pa.array(lexicon.features(data.to_pylist()).tolist(), pa.list_(pa.float64()))
+            found = [x.features(data.to_pylist()) for x in lexicons]
+            return pa.array(np.stack(found, axis=1).tolist(), pa.list_(pa.list_(pa.float64())))
 
-        rows = sample.select("_label", (F.crc32(F.col("doc_id").cast("string")) % 7 % 3).alias("_part"), "doc_id", features(F.col("text").cast("binary")).alias("_f")).orderBy("doc_id").toPandas()
+        rows = sample.select("_label", "_part", "doc_id", features(F.col("text").cast("binary")).alias("_f")).orderBy("doc_id").toArrow()
     finally:
         sample.unpersist()
-    y = rows["_label"].to_numpy(float)
+    y, part_of = rows.column("_label").to_numpy().astype(float), rows.column("_part").to_numpy()
     if len(y) == 0 or y.min() == y.max():
-        return ToxicityModel(lexicon, Boosted(0.5 if len(y) == 0 else float(y[0]), ()), (np.empty(0), np.empty(0)))
-    x, part = np.array(rows["_f"].tolist(), float), rows["_part"].to_numpy()
-    z = np.empty(len(y))
-    for k in np.unique(part):
-        own = part == k
-        z[own] = fit_boosted(x[~own], y[~own]).margin(x[own]) if 0 < y[~own].sum() < (~own).sum() else 0.0
-    return ToxicityModel(lexicon, fit_boosted(x, y), isotonic(z, y))
+        return ToxicityModel(lexicons[-1], Boosted(0.5 if len(y) == 0 else float(y[0]), ()), (np.empty(0), np.empty(0)))
+    x = np.array(rows.column("_f").to_pylist(), float)
+    z = np.zeros(len(y))
+    for k in np.unique(part_of):
+        own = part_of == k
+        if 0 < y[~own].sum() < (~own).sum():
+            z[own] = fit_boosted(x[~own, k], y[~own]).margin(x[own, k])
+    return ToxicityModel(lexicons[-1], fit_boosted(x[:, -1], y), isotonic(z, y))
 
 
 def score_column(model: ToxicityModel) -> Column:

@@ -1,10 +1,14 @@
 from __future__ import annotations
 
+import math
+import re
+import zlib
+
 import numpy as np
 import pytest
 
-from sparkwell.llm.quality_classifier import fit, keep_good, score_quality
-from sparkwell.llm.toxicity import keep_civil, score_toxicity
+from sparkwell.llm.quality_classifier import STATISTICS, fit, keep_good, score_quality, statistics
+from sparkwell.llm.toxicity import FEATURES, INSULTS, SECOND_PERSON, Lexicon, bare, keep_civil, score_toxicity
 from sparkwell.llm.trees import fit_boosted, isotonic, sigmoid
 
 SF = "/root/testdata/sf0.01"
@@ -32,8 +36,10 @@ def test_odd_documents_and_labels(spark, odd_docs, no_docs, score, keep, name):
     assert kept.columns == odd_docs.columns and kept.count() == odd_docs.count()
     some = spark.createDataFrame([(2, 0, 1), (4, 1, 0), (4, None, None), (None, 1, 1), (6, 1, 0), (8, 0, 1), (99, 1, 1)], "doc_id long, quality int, toxic int")
     assert score(odd_docs, some).count() == odd_docs.count() and score(no_docs, some).count() == 0
-    one = score(odd_docs, some.filter("doc_id = 6")).collect()
-    assert all(abs(r.score - (1 if name == "quality" else 0)) < 1e-6 for r in one)
+    # a document from which both learn: 8 is held out from neither
+    assert zlib.crc32(b"8") % 5 != 0 and zlib.crc32(b"8") % 3 != 1
+    one = score(odd_docs, some.filter("doc_id = 8")).collect()
+    assert all(abs(r.score - (0 if name == "quality" else 1)) < 1e-6 for r in one)
 
 
 def test_trees_rules_and_calibration():
@@ -46,3 +52,35 @@ def test_trees_rules_and_calibration():
     assert ((sigmoid(rules.bias + held @ np.array([w for _, w in rules.rules])) > 0.5) == y).mean() > 0.97
     knots, values = isotonic(np.array([1.0, 2.0, 2.0, 3.0, 4.0]), np.array([0.0, 1.0, 0.0, 1.0, 1.0]))
     assert (np.diff(values) >= 0).all() and np.interp(2.0, knots, values) == 0.5
+
+
+def some_texts(spark):
+    return ["", " \n", "a", "You idiot, YOU m0ron!!", *(r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(150).collect())]
+
+
+def test_statistics_are_those_of_brute_force(spark):
+    for text in some_texts(spark):
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        lines = [x for x in text.split("\n") if x.strip(" \t\r\x0b\x0c")]
+        n, chars = max(len(words), 1), max(len(text), 1)
+        want = {
+            "words": math.log1p(len(words)), "word_length": sum(len(w.encode()) for w in words) / n, "bars": text.count("|") / n, "stops": text.count(".") / n, "digits": len(re.findall("[0-9]", text)) / chars,
+            "distinct": len(set(words)) / n, "adjacent": sum(a == b for a, b in zip(words, words[1:], strict=False)) / n, "lines": math.log1p(len(lines)), "repeated_lines": 1 - len(set(lines)) / max(len(lines), 1),
+        }
+        got = dict(zip(STATISTICS, statistics(text.encode()), strict=True))
+        assert all(abs(got[k] - v) < 1e-9 for k, v in want.items()), (text, want, got)
+
+
+def test_features_are_those_of_brute_force(spark):
+    lexicon = Lexicon({b"the": 1.5, b"moron": 2.5})
+    texts = some_texts(spark)
+    for text, row in zip(texts, lexicon.features([t.encode() for t in texts]), strict=True):
+        words = [bare(w) for w in text.encode().split()]
+        bad = [k for k, w in enumerate(words) if w in INSULTS or lexicon.weights.get(w, 0)]
+        you = [k for k, w in enumerate(words) if w in SECOND_PERSON]
+        f, n = dict(zip(FEATURES, row, strict=True)), max(len(words), 1)
+        weights = [lexicon.weights.get(w, 0.0) for w in words]
+        assert f["insults"] == sum(w in INSULTS for w in words) and f["terms"] == sum(w > 0 for w in weights)
+        assert abs(f["weight_share"] - sum(weights) / n) < 1e-9 and abs(f["second_share"] - len(you) / n) < 1e-9
+        assert f["near_second"] == sum(any(abs(k - j) <= 3 for j in you) for k in bad)
+        assert abs(f["marks"] - (text.count("!") + text.count("?")) / n) < 1e-9
