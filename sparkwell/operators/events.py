@@ -18,11 +18,10 @@ def reject_reason(source: Column, text: Column) -> Column:
 
 
 def validate(raw: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Valid events, and rejected ones with a ``reason``; ``strict`` raises at the first invalid event that is read."""
+    """Valid events, and rejected ones with a ``reason``; ``strict`` reads all and raises, if any is invalid, the least reason there is (an invalid source before a text)."""
     marked = raw.withColumn("reason", reject_reason(F.col("source"), F.col("raw_text")))
-    if strict:
-        text = F.concat(F.lit("Invalid event: "), F.col("reason"))
-        return marked.filter(F.when(F.col("reason").isNull(), F.lit(True)).otherwise(F.raise_error(text).cast("boolean"))).drop("reason"), marked.limit(0)
+    if strict and (reason := marked.agg(F.min("reason")).first()[0]):
+        raise ValueError(f"Invalid event: {reason}")
     return marked.filter("reason is null").drop("reason"), marked.filter("reason is not null")
 
 

@@ -11,7 +11,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
 
 from ..functions.text import strip
 
@@ -83,33 +82,28 @@ def summarise(articles: DataFrame, make: Make = OfflineProvider) -> DataFrame:
     return articles.select("article_id", "title", "description", "content").mapInPandas(run, "article_id long, bullets array<string>, error string")
 
 
-def structure_udtf(make: Make = OfflineProvider):  # noqa: ANN201
-    """A table function (title, content) for LATERAL joins: a row per event, or one with the error."""
-
-    class Structure:
-        def __init__(self) -> None:
-            self.provider = make()
-
-        def eval(self, title: str, content: str) -> Iterator[tuple]:
-            try:
-                rows = [(*(e.get(k) for k in _KEYS), None) for e in self.provider.structure(title, content)]
-            except Exception as e:  # noqa: BLE001  any failure of a model is a row's error
-                rows = [(*(None for _ in _KEYS), f"{type(e).__name__}: {e}")]
-            yield from rows
-
-    return udtf(Structure, returnType=EVENT_FIELDS)
-
-
 def structured(articles: DataFrame, make: Make = OfflineProvider) -> DataFrame:
-    """Events of all articles; a blank asset becomes General Market, ids depend on the article and the event alone.
+    """Events of all articles; a blank asset becomes General Market, ids depend on the article, the event's place and all its fields.
 
-    An article whose model failed has one row, with ``error`` and no event.
+    An article whose model failed has one row, with ``error`` and no event. The provider is made once per task that has rows.
     """
-    spark = articles.sparkSession
-    spark.udtf.register("structure_article", structure_udtf(make))
-    rows = spark.sql("select a.article_id, e.* from {a} a, lateral structure_article(a.title, a.content) e", a=articles.select("article_id", "title", "content"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        provider: Provider | None = None
+        for b in batches:
+            rows: list[tuple] = []
+            for i, t, c in zip(b["article_id"], b["title"], b["content"], strict=True):
+                provider = provider or make()
+                try:
+                    rows += [(i, place, *(e.get(k) for k in _KEYS), None) for place, e in enumerate(provider.structure(t, c))]
+                except Exception as e:  # noqa: BLE001  any failure of a model is a row's error
+                    rows.append((i, 0, *(None for _ in _KEYS), f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["article_id", "place", *_KEYS, "error"])
+
+    rows = articles.select("article_id", "title", "content").mapInPandas(run, f"article_id long, place long, {EVENT_FIELDS}")
     asset = F.when(F.col("error").isNull(), F.coalesce(F.nullif(strip(F.col("affected_asset")), F.lit("")), F.lit("General Market")))
-    return rows.withColumn("affected_asset", asset).withColumn("event_id", F.sha2(F.concat_ws("|", F.col("article_id").cast("string"), "event_type", "direction", "reasoning"), 256))
+    fields = F.to_json(F.struct("article_id", "place", *_KEYS))
+    return rows.withColumn("affected_asset", asset).withColumn("event_id", F.sha2(fields, 256)).drop("place")
 
 
 def embed(text: Column, make: Make = OfflineProvider) -> Column:

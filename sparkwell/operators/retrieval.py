@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -12,8 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.text import blank_to_null, clean, strip, tokens, truncate
 from ..schema import EXCERPT_CHARS, RETRIEVAL_TOP_K, SNIPPET_CHARS, TOP_K
 
-#: Queries that are searched in one pass over the corpus; more take further passes.
-QUERY_BLOCK = 4096
+#: Rows of a block of queries and of the corpus, about. A task holds one of each.
+QUERY_BLOCK, CORPUS_BLOCK = 8192, 32_768
+#: Corpus rows that are multiplied at once.
+SLICE = 2048
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -21,47 +21,54 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
 
-def _search(corpus: DataFrame, ids: list[int], vectors: np.ndarray, k: int) -> DataFrame:
-    unit = _unit(vectors)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The k nearest of each batch to each query; ties go to the least id."""
-        for b in batches:
-            if not b.num_rows:
-                continue
-            own = b.column("article_id").to_numpy()
-            order = np.argsort(own, kind="stable")
-            far = 1 - unit @ _unit(np.array(b.column("embedding").to_pylist(), np.float64)[order]).T
-            best = np.argsort(np.round(far, 12), axis=1, kind="stable")[:, :k]
-            n = best.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n), pa.int64()), pa.array(own[order][best].reshape(-1), pa.int64()), pa.array(np.maximum(0.0, np.take_along_axis(far, best, 1)).reshape(-1))], ["question_id", "article_id", "distance"])
-
-    return corpus.select(F.col("article_id").cast("long"), "embedding").mapInArrow(run, "question_id long, article_id long, distance double")
+def _nearest_in(ids: np.ndarray, far: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row of ``far`` the k least (rounded to 12 places; ties go to the least id), with their ids."""
+    near = np.round(far, 12)
+    if near.shape[1] > k:
+        # all that are as near as the k-th, so that ties are decided by id below
+        edge = np.partition(near, k - 1, axis=1)[:, k - 1 : k]
+        order = np.lexsort((np.broadcast_to(ids, near.shape), np.where(near <= edge, near, np.inf)), axis=1)[:, :k]
+    else:
+        order = np.lexsort((np.broadcast_to(ids, near.shape), near), axis=1)
+    return np.broadcast_to(ids, near.shape)[np.arange(len(near))[:, None], order], np.take_along_axis(far, order, 1)
 
 
 def nearest(corpus: DataFrame, queries: DataFrame, k: int = RETRIEVAL_TOP_K) -> DataFrame:
     """question_id, article_id, distance (1 - cosine, in double precision) and rank of the k nearest of ``corpus`` to each query.
 
-    ``corpus``: article_id, embedding; ``queries``: question_id, embedding. All rows are compared, by matrix products over
-    batches of the corpus; queries go to the tasks in blocks of QUERY_BLOCK. Tasks keep k rows per query and batch, so the
-    shuffle for the last choice doesn't grow with the corpus' width.
+    ``corpus``: article_id, embedding; ``queries``: question_id, embedding. All rows are compared: both are dealt into blocks, every
+    two blocks meet in one task and give k rows per query, of which the last choice is made by a window per query. Only the
+    numbers of rows come to the driver.
     """
-    rows = queries.select(F.col("question_id").cast("long"), "embedding").orderBy("question_id").toLocalIterator(prefetchPartitions=True)
-    found: DataFrame | None = None
-    block: list = []
-
-    def search(block: list) -> DataFrame:
-        return _search(corpus, [r[0] for r in block], np.array([r[1] for r in block], np.float64), k)
-
-    for r in rows:
-        block.append(r)
-        if len(block) == QUERY_BLOCK:
-            found = search(block) if found is None else found.unionByName(search(block))
-            block = []
-    if block:
-        found = search(block) if found is None else found.unionByName(search(block))
-    if found is None:
-        found = corpus.sparkSession.createDataFrame([], "question_id long, article_id long, distance double")
+    blocks = lambda df, most: max(1, -(-df.count() // most))
+    own = queries.select(F.col("question_id").cast("long").alias("id"), "embedding")
+    rows = corpus.select(F.col("article_id").cast("long").alias("id"), "embedding")
+    n_queries, n_rows = blocks(own, QUERY_BLOCK), blocks(rows, CORPUS_BLOCK)
+    block = lambda n: F.pmod(F.xxhash64("id", F.lit(3)), F.lit(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = own.select(F.lit(True).alias("query"), block(n_queries).alias("q"), all_of(n_rows).alias("c"), "id", "embedding")
+    right = rows.select(F.lit(False).alias("query"), all_of(n_queries).alias("q"), block(n_rows).alias("c"), "id", "embedding")
+
+    def search(pair: pa.Table) -> pa.Table:
+        query = pair.column("query").to_numpy()
+        ids, vectors = pair.column("id").to_numpy(), pair.column("embedding").to_pylist()
+        asked, there = np.flatnonzero(query), np.flatnonzero(~query)
+        found = {"question_id": np.empty(0, np.int64), "article_id": np.empty(0, np.int64), "distance": np.empty(0)}
+        if len(asked) and len(there):
+            unit = _unit(np.array([vectors[i] for i in asked], np.float64))
+            best_ids, best = np.empty((len(asked), 0), np.int64), np.empty((len(asked), 0))
+            for at in range(0, len(there), SLICE):
+                some = there[at : at + SLICE]
+                far = np.maximum(0.0, 1 - unit @ _unit(np.array([vectors[i] for i in some], np.float64)).T)
+                own_ids, own = _nearest_in(ids[some], far, k)
+                best_ids, best = np.c_[best_ids, own_ids], np.c_[best, own]
+                if best.shape[1] > k:
+                    order = np.lexsort((best_ids, np.round(best, 12)), axis=1)[:, :k]
+                    best_ids, best = np.take_along_axis(best_ids, order, 1), np.take_along_axis(best, order, 1)
+            found = {"question_id": np.repeat(ids[asked], best.shape[1]), "article_id": best_ids.reshape(-1), "distance": best.reshape(-1)}
+        return pa.table(found)
+
+    found = left.unionByName(right).groupBy("q", "c").applyInArrow(search, "question_id long, article_id long, distance double")
     rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.round("distance", 12), "article_id"))
     return found.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k)
 

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.text import display_target, normalize_target, target_token, tokens
 from ..schema import DIRECTIONS, EVENT_TYPES, GENERAL_SLUG, IMPORTANCE
 
-#: Parts into which general-market events are dealt.
-SALTS = 32
 # What conflicts are called.
 CONFLICT_BOTH = "Positive and negative signals are both present in the retrieved evidence."
 CONFLICT_HORIZON = "Short-term headwinds conflict with more durable long-term positives."
@@ -27,24 +25,35 @@ def score() -> Column:
     return (_case(F.col("direction"), DIRECTIONS) * _case(F.col("importance"), IMPORTANCE)).cast("long")
 
 
+def _targets(targets: DataFrame, also_on: list[str]) -> DataFrame:
+    return targets.select("target", *also_on).distinct().withColumn("_t", normalize_target(F.col("target")))
+
+
+def _own_events(t: DataFrame, e: DataFrame, also_on: list[str]) -> DataFrame:
+    """Events that name a target, once per target: assets and targets meet by tagged keys, their whole name or a token, in an equi-join."""
+    token = target_token(F.col("target"))
+    wanted = t.filter(F.col("_t") != GENERAL_SLUG).withColumn("_key", F.explode(F.array_compact(F.array(F.concat(F.lit("full:"), "_t"), F.when(token != "", F.concat(F.lit("tok:"), token))))))
+    keys = F.concat(F.array(F.concat(F.lit("full:"), "_a")), F.transform(F.array_distinct(tokens(F.col("_a"))), lambda x: F.concat(F.lit("tok:"), x)))
+    offered = e.filter(F.col("_a") != GENERAL_SLUG).withColumn("_key", F.explode(keys))
+    # what meets by its whole name may meet by its token as well
+    once = F.startswith("_key", F.lit("full:")) | (F.col("_a") != F.col("_t"))
+    return offered.join(wanted, ["_key", *also_on]).filter(once).drop("_key").withColumn("match", F.lit("target"))
+
+
 def match_events(targets: DataFrame, events: DataFrame, also_on: list[str] | None = None) -> DataFrame:
     """Events relevant to each target, with ``match``: ``target`` or ``market`` (a general-market event for another target).
 
-    Assets and targets meet by tagged keys, their whole name or a token, in an equi-join. General-market events go to every
-    target; they are dealt by a salt, and every salt gets the targets. ``also_on`` are columns that must agree, too.
+    General-market events go to every target, so this is for what needs the events themselves; sums are to be had from
+    :func:`aggregate_targets`, which doesn't multiply them. ``also_on`` are columns that must agree, too.
     """
     also_on = also_on or []
-    t = targets.select("target", *also_on).distinct().withColumn("_t", normalize_target(F.col("target")))
-    e = events.withColumn("_a", normalize_target(F.col("affected_asset")))
-    general = F.col("_a") == GENERAL_SLUG
-    token = target_token(F.col("target"))
-    wanted = t.filter(F.col("_t") != GENERAL_SLUG).withColumn("_key", F.explode(F.array_compact(F.array(F.concat(F.lit("full:"), "_t"), F.when(token != "", F.concat(F.lit("tok:"), token))))))
-    offered = e.filter(~general).withColumn("_key", F.explode(F.concat(F.array(F.concat(F.lit("full:"), "_a")), F.transform(tokens(F.col("_a")), lambda x: F.concat(F.lit("tok:"), x)))))
-    own = offered.join(wanted, ["_key", *also_on]).drop("_key").dropDuplicates(["target", *also_on, "event_id"]).withColumn("match", F.lit("target"))
+    t, e = _targets(targets, also_on), events.withColumn("_a", normalize_target(F.col("affected_asset")))
     label = F.when(F.col("_t") == GENERAL_SLUG, "target").otherwise("market")
-    everywhere = t.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    wide = e.filter(general).withColumn("_salt", F.pmod(F.xxhash64("event_id"), F.lit(SALTS)).cast("int")).join(everywhere, ["_salt", *also_on]).drop("_salt").withColumn("match", label)
-    return own.unionByName(wide).drop("_a", "_t").withColumn("score", score())
+    # targets are few beside events: each event takes the list of them that agrees in ``also_on``
+    lists = t.groupBy(F.lit(0).alias("_one"), *also_on).agg(F.collect_list(F.struct("target", "_t")).alias("_all"))
+    wide = e.filter(F.col("_a") == GENERAL_SLUG).withColumn("_one", F.lit(0)).join(lists, ["_one", *also_on]).withColumn("_x", F.explode("_all"))
+    wide = wide.withColumns({"target": F.col("_x.target"), "_t": F.col("_x._t")}).drop("_one", "_all", "_x").withColumn("match", label)
+    return _own_events(t, e, also_on).unionByName(wide).drop("_a", "_t").withColumn("score", score())
 
 
 def conflicts(positive: Column, negative: Column, short_negative: Column, long_positive: Column) -> Column:
@@ -67,20 +76,50 @@ def summary_sentence() -> Column:
     return F.concat(F.lit("Retrieved signals for "), display_target(F.col("target")), F.lit(" are "), leaning, F.lit(". "), F.col("dominant_driver"), F.lit("."), tail)
 
 
+def _sums() -> list[Column]:
+    """Aggregates of matched or general events (score, event_type, time_horizon, match); sums and maxima of them are those of all events together."""
+    s, h = F.col("score"), F.col("time_horizon")
+    bucket = lambda k: F.sum(F.when(F.col("event_type") == k, F.col("score")).otherwise(0)).alias(f"{k.lower()}_score")
+    flag = lambda c, name: F.max(F.coalesce(c, F.lit(False))).alias(name)
+    return [
+        F.count(F.lit(1)).alias("event_count"), F.count_if(F.col("match") == "target").alias("target_specific_event_count"), *[bucket(k) for k in EVENT_TYPES], F.sum("score").alias("net_score"),
+        flag(s > 0, "_pos"), flag(s < 0, "_neg"), flag((s < 0) & h.isin("Short-term", "Both"), "_short"), flag((s > 0) & h.isin("Long-term", "Both"), "_long"),
+    ]
+
+
+_NUMBERS = ["event_count", "target_specific_event_count", *(f"{k.lower()}_score" for k in EVENT_TYPES), "net_score"]
+_FLAGS = ["_pos", "_neg", "_short", "_long"]
+
+
+def _described(sums: DataFrame) -> DataFrame:
+    out = sums.withColumn("conflicts", conflicts(*(F.col(c) for c in _FLAGS))).drop(*_FLAGS)
+    out = out.withColumn("dominant_driver", dominant_driver({k: F.col(f"{k.lower()}_score") for k in EVENT_TYPES}))
+    return out.withColumn("summary", summary_sentence())
+
+
 def aggregate(matched: DataFrame, with_events: bool = False, keys: tuple[str, ...] = ("target",)) -> DataFrame:
     """One row per ``keys`` (a target, or a question and its target): counts, four bucket scores, their sum, conflicts, dominant driver and summary; no row where nothing matches.
 
     ``with_events`` adds target_events in the order of structured_at and event_id, which gathers a target's events in one row; it is
     for targets whose events come from a bounded number of articles.
     """
-    bucket = lambda k: F.sum(F.when(F.col("event_type") == k, F.col("score")).otherwise(0)).alias(f"{k.lower()}_score")
-    flag = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
-    s, h = F.col("score"), F.col("time_horizon")
     fields = [c for c in ("source_id", "structured_at", "event_id", "article_id", "article_title", "event_type", "direction", "importance", "time_horizon", "affected_asset", "score", "reasoning", "evidence_excerpt") if c in matched.columns]
-    out = matched.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("event_count"), F.count_if(F.col("match") == "target").alias("target_specific_event_count"), *[bucket(k) for k in EVENT_TYPES], F.sum("score").alias("net_score"),
-        conflicts(flag(s > 0), flag(s < 0), flag((s < 0) & h.isin("Short-term", "Both")), flag((s > 0) & h.isin("Long-term", "Both"))).alias("conflicts"),
-        *([F.array_sort(F.collect_list(F.struct(*fields))).alias("target_events")] if with_events else []),
-    )
-    out = out.withColumn("dominant_driver", dominant_driver({k: F.col(f"{k.lower()}_score") for k in EVENT_TYPES}))
-    return out.withColumn("summary", summary_sentence())
+    return _described(matched.groupBy(*keys).agg(*_sums(), *([F.array_sort(F.collect_list(F.struct(*fields))).alias("target_events")] if with_events else [])))
+
+
+def aggregate_targets(targets: DataFrame, events: DataFrame) -> DataFrame:
+    """The rows of ``aggregate(match_events(targets, events))`` without the multiplication of general-market events.
+
+    These are added up once; their one row of sums is then added to those of every target.
+    """
+    t, e = _targets(targets, []), events.select("event_type", "time_horizon", score().alias("score"), normalize_target(F.col("affected_asset")).alias("_a"))
+    own = _own_events(t, e, []).groupBy("target").agg(*_sums())
+    general = e.filter(F.col("_a") == GENERAL_SLUG).withColumn("match", F.lit("market")).groupBy(F.lit(0).alias("_one")).agg(*_sums())
+    market = t.withColumn("_one", F.lit(0)).join(general, "_one").withColumn("target_specific_event_count", F.when(F.col("_t") == GENERAL_SLUG, F.col("event_count")).otherwise(F.lit(0).cast("long")))
+    both = own.unionByName(market.select(own.columns)).groupBy("target").agg(*[F.sum(c).alias(c) for c in _NUMBERS], *[F.max(c).alias(c) for c in _FLAGS])
+    return _described(both)
+
+
+def ordered_events(matched: DataFrame) -> DataFrame:
+    """Matched events in the order of target, structured_at and event_id, sorted by ranges."""
+    return matched.orderBy("target", "structured_at", "event_id")

@@ -36,6 +36,27 @@ def events_of(events: DataFrame, article_id: int) -> DataFrame:
     return events.filter(F.col("article_id") == article_id).orderBy("structured_at", "event_id")
 
 
+def by_id(articles: DataFrame, article_id: int) -> DataFrame:
+    """The article with this id, or no row."""
+    return articles.filter(F.col("article_id") == article_id)
+
+
+def by_url(articles: DataFrame, url: str) -> DataFrame:
+    """The article with this url, or no row."""
+    return articles.filter(F.col("url") == url)
+
+
+def delete_events(events: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The events that are left when those of the given articles go, and how many went (``deleted``, one row)."""
+    gone = events.join(ids.select("article_id").distinct(), "article_id", "left_semi")
+    return events.join(ids.select("article_id"), "article_id", "left_anti"), gone.agg(F.count(F.lit(1)).alias("deleted"))
+
+
+def repeated_events(events: DataFrame) -> DataFrame:
+    """Event ids that stand on more than one row; a table of events has none."""
+    return events.groupBy("event_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
 def update_summaries(articles: DataFrame, updates: DataFrame) -> DataFrame:
     """``updates``: article_id and summary, one row per article. The column ``updated`` tells which rows were met."""
     new = updates.select("article_id", F.struct("summary").alias("_new"))

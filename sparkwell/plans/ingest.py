@@ -68,7 +68,10 @@ def ingest(db: Store, raw: DataFrame, at: Column, order: str = "row_ord", event_
     Known and repeated urls are skipped before any model is asked. The url is made of ``event_id``, without which it is a hash of
     source, text and order. If a summary fails, the articles are stored and SummaryError is raised.
     """
-    valid, _ = validate(raw)
+    # sources may be live: they are read once, and all that follows reads what was written
+    inbox = SnapshotTable(db.articles.spark, f"{db.articles.path}_raw", raw.schema)
+    inbox.write(raw)
+    valid, _ = validate(inbox.read())
     own_id = F.sha2(F.concat_ws("|", "source", "raw_text", F.col(order).cast("string")), 256) if event_id is None else event_id
     before = db.articles.read()
     total = valid.count()
@@ -92,10 +95,10 @@ def summarise_stored(db: Store, source: str | None = None, limit: int | None = N
     return {"processed": done, "indexed": done, "skipped": candidates - n, "total_candidates": candidates}
 
 
-def structure_stored(db: Store, at: Column, source: str | None = None, limit: int | None = None, make: models.Make = models.OfflineProvider) -> dict[str, int]:
-    """Structured events for those of the newest articles that have none; a failure is counted and the rest goes on."""
+def structure_stored(db: Store, at: Column, source: str | None = None, limit: int | None = None, force: bool = False, make: models.Make = models.OfflineProvider) -> dict[str, int]:
+    """Structured events for those of the newest articles that have none, or for all of these with ``force``; a failure is counted and the rest goes on."""
     every = store.newest_first(db.articles.read(), limit, source)
-    backlog = store.unstructured(every, db.events.read())
+    backlog = every if force else store.unstructured(every, db.events.read())
     seen, n = every.count(), backlog.count()
     if not n:
         return {"processed": 0, "created": 0, "skipped": seen, "failures": 0}
@@ -106,6 +109,8 @@ def structure_stored(db: Store, at: Column, source: str | None = None, limit: in
         good = found.join(failed, "article_id", "left_anti")
         created, failures = good.count(), failed.count()
         if created:
+            if not store.repeated_events(good).isEmpty():
+                raise ValueError("an event id is repeated")
             old = db.events.read()
             db.events.write(store.replace_events(old, good.select(old.columns)))
     finally:

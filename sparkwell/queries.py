@@ -94,7 +94,7 @@ summed as (
 )
 KNN_SQL = """
 , v as (select vec_id + 1 as article_id, embedding::double[] as e from embeddings),
-far as (select q.article_id as question_id, c.article_id, greatest(0, 1 - list_cosine_similarity(q.e, c.e)) as d from v q join v c on true where (q.article_id - 1) % 50 = 0),
+far as (select q.article_id as question_id, c.article_id, greatest(0, 1 - list_cosine_similarity(q.e, c.e)) as d from v q join v c on true where (q.article_id - 1) % 20 = 0),
 hits as (select question_id, article_id, round(d, 6) as distance, row_number() over (partition by question_id order by round(d, 12), article_id) as rank from far qualify rank <= 5)"""
 HYDRATED_SQL = KNN_SQL + ", hydrated as (select h.*, source, title, url, published_at, content, summary from hits h left join articles_v using (article_id))"
 SNIPPET = "coalesce(nullif({c_summary}, ''), nullif({body}, ''), {c_title})"
@@ -103,7 +103,7 @@ CANDIDATES_SQL = (
     + f""",
 cand as (select question_id, article_id, rank as original_rank, rank::varchar as candidate_id, {q_clean("coalesce(title, 'Untitled')")} as title, coalesce(nullif({q_clean('summary')}, ''), nullif({q_clean('content')}, ''), {q_clean("coalesce(title, 'Untitled')")}) as body from hydrated),
 candidates as (select * exclude (body), {q_truncate('body', 220)} as snippet from cand),
-questions as (select v.article_id as question_id, b.text as question from v join benchmark b on b.item_id = (v.article_id - 1) // 50 % 40),
+questions as (select v.article_id as question_id, b.text as question from v join benchmark b on b.item_id = (v.article_id - 1) // 20 % 40),
 reranked as (
     select *, len(list_distinct(list_intersect(regexp_extract_all(lower(question), '[a-z0-9]+'), regexp_extract_all(lower(title || ' ' || snippet), '[a-z0-9]+'))))::bigint as overlap from candidates join questions using (question_id)),
 placed as (select *, row_number() over (partition by question_id order by overlap desc, original_rank) as new_rank from reranked),
@@ -126,28 +126,35 @@ def matched(spark: SparkSession, sf: str) -> DataFrame:
     return signals.match_events(targets(spark), views.signals(spark, sf))
 
 
+def scores(spark: SparkSession, sf: str) -> DataFrame:
+    return signals.aggregate_targets(targets(spark), views.signals(spark, sf))
+
+
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
     return views.table(spark, sf, "embeddings").select((F.col("vec_id") + 1).alias("article_id"), "embedding")
 
 
 def hits(spark: SparkSession, sf: str) -> DataFrame:
-    """Every 50th vector searches all others."""
+    """Every vector whose id is divisible by 20 searches all."""
     corpus = vectors(spark, sf)
-    return retrieval.nearest(corpus, corpus.filter((F.col("article_id") - 1) % 50 == 0).withColumnRenamed("article_id", "question_id"), 5)
+    return retrieval.nearest(corpus, corpus.filter((F.col("article_id") - 1) % 20 == 0).withColumnRenamed("article_id", "question_id"), 5)
 
 
 def hydrated(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.hydrate(hits(spark, sf), views.articles(spark, sf))
 
 
+def questions(spark: SparkSession, sf: str) -> DataFrame:
+    own = vectors(spark, sf).join(views.table(spark, sf, "benchmark"), F.expr("item_id = (article_id - 1) div 20 % 40"))
+    return own.select(F.col("article_id").alias("question_id"), F.col("text").alias("question"))
+
+
 def reranked(spark: SparkSession, sf: str) -> DataFrame:
-    questions = vectors(spark, sf).join(views.table(spark, sf, "benchmark"), F.expr("item_id = (article_id - 1) div 50 % 40")).select(F.col("article_id").alias("question_id"), F.col("text").alias("question"))
-    return retrieval.lexical_rerank(retrieval.rerank_candidates(hydrated(spark, sf)), questions)
+    return retrieval.lexical_rerank(retrieval.rerank_candidates(hydrated(spark, sf)), questions(spark, sf))
 
 
 def evidence(spark: SparkSession, sf: str) -> DataFrame:
-    order = reranked(spark, sf).groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("new_rank", "candidate_id"))).alias("r")).select("question_id", F.transform("r", lambda x: x["candidate_id"]).alias("ranked"))
-    return retrieval.evidence(retrieval.reorder(hydrated(spark, sf), order))
+    return recommend.reranked_evidence(hydrated(spark, sf), questions(spark, sf))
 
 
 @query(with_views("select sha256(concat_ws('|', source, content, article_id::varchar)) as event_id, source, content as raw_text from articles_v where source in ('manual', 'news', 'api') and length(content) >= 50"))
@@ -261,10 +268,10 @@ def q16_delete_cascade(spark, sf):
     return count(left, "articles").unionByName(count(events, "events"))
 
 
-@query(with_views(", new as (select * from signals_v where event_id % 4 = 0 and article_id <= 50) select article_id, event_id from signals_v where article_id not in (select article_id from new) union all select article_id, event_id from new"))
+@query(with_views(", new as (select * from signals_v where event_id % 4 = 0) select article_id, event_id from signals_v where article_id not in (select article_id from new) union all select article_id, event_id from new"))
 def q17_replace_events(spark, sf):
     own = views.signals(spark, sf)
-    return store.replace_events(own, own.filter("event_id % 4 = 0 and article_id <= 50")).select("article_id", "event_id")
+    return store.replace_events(own, own.filter("event_id % 4 = 0")).select("article_id", "event_id")
 
 
 @query(with_views(f"select article_id, {q_clean('content')} as cleaned, {q_clean('summary')} as cleaned_summary from articles_v"))
@@ -313,7 +320,7 @@ def q25_rerank_reorder(spark, sf):
         KNN_SQL
         + """
 , e as (select question_id, list(rank::varchar order by rank) as expected from hits group by 1),
-a as (select question_id, expected, case question_id // 50 % 5 when 0 then list_reverse(expected) when 1 then expected[1:len(expected) - 1] when 2 then list_concat(expected[1:len(expected) - 1], expected[1:1]) when 3 then list_concat(expected[1:len(expected) - 1], ['99']) else expected end as actual from e)
+a as (select question_id, expected, case question_id // 20 % 5 when 0 then list_reverse(expected) when 1 then expected[1:len(expected) - 1] when 2 then list_concat(expected[1:len(expected) - 1], expected[1:1]) when 3 then list_concat(expected[1:len(expected) - 1], ['99']) else expected end as actual from e)
 select question_id, case when len(actual) <> len(expected) then 'Reranker must return the same number of candidate IDs it received' when len(list_distinct(actual)) <> len(actual) then 'Reranker returned duplicate candidate IDs'
     when len([x for x in actual if not list_contains(expected, x)]) > 0 then 'Reranker returned invalid candidate IDs: invented IDs: [''' || array_to_string([x for x in actual if not list_contains(expected, x)], ''', ''') || '''], missing IDs: [''' || array_to_string([x for x in expected if not list_contains(actual, x)], ''', ''') || ''']' end as error from a"""
     )
@@ -321,7 +328,7 @@ select question_id, case when len(actual) <> len(expected) then 'Reranker must r
 def q26_rerank_validation(spark, sf):
     ids = hits(spark, sf).groupBy("question_id").agg(F.array_sort(F.collect_list(F.col("rank").cast("string"))).alias("expected"))
     short = F.slice("expected", F.lit(1), F.size("expected") - 1)
-    kind = F.expr("question_id div 50 % 5")
+    kind = F.expr("question_id div 20 % 5")
     actual = F.when(kind == 0, F.reverse("expected")).when(kind == 1, short).when(kind == 2, F.concat(short, F.slice("expected", 1, 1))).when(kind == 3, F.concat(short, F.array(F.lit("99")))).otherwise(F.col("expected"))
     return ids.withColumn("actual", actual).select("question_id", retrieval.rerank_error(F.col("expected"), F.col("actual")).alias("error"))
 
@@ -338,7 +345,7 @@ def q28_event_score(spark, sf):
 
 @query(with_views(AGG_SQL + " select target, event_count, target_specific_event_count, macro_score, company_score, sector_score, market_score, net_score from sums"))
 def q29_bucket_scores(spark, sf):
-    return signals.aggregate(matched(spark, sf)).select("target", "event_count", "target_specific_event_count", "macro_score", "company_score", "sector_score", "market_score", "net_score")
+    return scores(spark, sf).select("target", "event_count", "target_specific_event_count", "macro_score", "company_score", "sector_score", "market_score", "net_score")
 
 
 @query(with_views(MATCH_SQL + " select target, affected_asset, match, count(*)::bigint as n from own group by all"))
@@ -348,29 +355,27 @@ def q30_target_match(spark, sf):
 
 @query(with_views(AGG_SQL + " select target, conflicts from agg"))
 def q31_conflicts(spark, sf):
-    return signals.aggregate(matched(spark, sf)).select("target", F.array_join("conflicts", " ").alias("conflicts"))
+    return scores(spark, sf).select("target", F.array_join("conflicts", " ").alias("conflicts"))
 
 
 @query(with_views(AGG_SQL + " select target, dominant_driver from agg"))
 def q32_dominant_driver(spark, sf):
-    return signals.aggregate(matched(spark, sf)).select("target", "dominant_driver")
+    return scores(spark, sf).select("target", "dominant_driver")
 
 
 @query(with_views(AGG_SQL + " select target, summary from summed"))
 def q33_aggregation_summary(spark, sf):
-    return signals.aggregate(matched(spark, sf)).select("target", "summary")
+    return scores(spark, sf).select("target", "summary")
 
 
-@query(with_views(MATCH_SQL + " select target, md5(string_agg(event_id || ':' || score, ',' order by structured_at, event_id)) as digest, count(*)::bigint as n from own where article_id <= 20 group by target"))
+@query(with_views(MATCH_SQL + " select target, event_id, structured_at, score, match from own"))
 def q34_target_events_ordered(spark, sf):
-    own = signals.match_events(targets(spark), views.signals(spark, sf).filter("article_id <= 20"))  # the articles that were retrieved
-    line = F.array_join(F.transform("target_events", lambda e: F.concat_ws(":", e["event_id"].cast("string"), e["score"].cast("string"))), ",")
-    return signals.aggregate(own, with_events=True).select("target", F.md5(line).alias("digest"), F.col("event_count").alias("n"))
+    return signals.ordered_events(matched(spark, sf)).select("target", "event_id", "structured_at", "score", "match")
 
 
 @query(with_views(AGG_SQL + f" select target, case when target = '' then 'no_evidence' when net_score is null then 'no_signals' when target_specific_event_count = 0 and {q_target('target')} <> 'general-market' then 'market_only' else 'decide' end as route from {TARGETS_SQL} left join sums using (target)"))
 def q35_recommendation_routing(spark, sf):
-    own = targets(spark).join(signals.aggregate(matched(spark, sf)), "target", "left")
+    own = targets(spark).join(scores(spark, sf), "target", "left")
     return own.select("target", recommend.route(F.col("target") != "", F.col("net_score").isNotNull(), F.col("target_specific_event_count"), F.col("target")).alias("route"))
 
 
@@ -403,7 +408,7 @@ def q39_filename_and_display(spark, sf):
 
 
 def decided(spark: SparkSession, sf: str) -> DataFrame:
-    own = signals.aggregate(matched(spark, sf)).withColumn("route", F.lit("decide")).withColumn("sources", F.array(F.struct(F.lit(1).cast("long").alias("id"), F.lit("Title").alias("title"), F.lit("u").alias("url"), F.lit("Snip").alias("snippet"))))
+    own = scores(spark, sf).withColumn("route", F.lit("decide")).withColumn("sources", F.array(F.struct(F.lit(1).cast("long").alias("id"), F.lit("Title").alias("title"), F.lit("u").alias("url"), F.lit("Snip").alias("snippet"))))
     return recommend.rule_decision(own)
 
 
