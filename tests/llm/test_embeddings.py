@@ -39,3 +39,40 @@ def test_odd_vectors(spark):
     alone = [(k, 0, k) for k in (1, 2, 3, 4, 5, 6, 7, 10, 12)]
     assert got == sorted([(0, 0, None), *alone, (8, 3, 8), (9, 3, 8), (9, 3, 8), (11, 3, 8)])
     assert embedding_duplicates(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["even", "few directions", "one direction"])
+def test_recall_on_a_grid_of_many_cells(spark, kind, monkeypatch):
+    """Pairs at the threshold itself, 40 codes on each half; noise spread over all directions, along four, and along one."""
+    monkeypatch.setattr(embedding_dup, "CELL", 2)
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(1600, 48))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    few = np.linalg.qr(rng.normal(size=(48, 4 if kind == "few directions" else 1)))[0]
+    noise = rng.normal(size=base.shape) if kind == "even" else rng.normal(size=(1600, few.shape[1])) @ few.T
+    noise -= (noise * base).sum(1)[:, None] * base
+    noise *= rng.uniform(0.3, 0.394, size=(1600, 1)) / np.linalg.norm(noise, axis=1)[:, None]
+    rows = [(k, x.tolist(), k % 2) for k, x in enumerate(base)] + [(1600 + k, x.tolist(), k % 2) for k, x in enumerate(base + noise)]
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    link = (x @ x.T >= 0.93) & (np.arange(3200)[:, None] % 2 == np.arange(3200) % 2)
+    np.fill_diagonal(link, False)
+    got = {r.vec_id: r.n_links for r in embedding_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    found = np.array([got[k] for k in range(3200)])
+    assert link.sum() > 2500 and (found <= link.sum(axis=1)).all() and found.sum() >= 0.99 * link.sum()
+
+
+def test_traversal_visits_cells_in_order():
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        a, b = np.round(rng.random(9), 1), np.round(rng.random(7), 1)
+        a[3] = b[2] = 0
+        visited = embedding_dup.multi_sequence(a, b, 0.8)
+        sums = [a[i] + b[j] for i, j in visited]
+        assert sums == sorted(sums) and set(visited) == {(i, j) for i in range(9) for j in range(7) if a[i] + b[j] <= 0.8} and len(set(visited)) == len(visited)
+
+
+def test_a_repeated_id_is_linked_by_its_own_vector(spark):
+    rows = [(1, [1.0, 0.0, 0.0], 0), (5, [1.0, 0.1, 0.0], 0), (5, [0.0, 0.0, 1.0], 0), (6, [0.0, 0.1, 1.0], 0)]
+    got = embedding_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 1, 1), (5, 1, 1), (5, 1, 5), (6, 1, 5)]
