@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import argparse
 import sys
+import uuid
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.text import iso
 from .plans import ingest as flows
 from .plans import recommend, reports
 from .sources import collect, live
@@ -22,9 +25,12 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--market", action="store_true", help="also take the newest market day")
     p.add_argument("--source")
     p.add_argument("--limit", type=int)
-    p.add_argument("--force", action="store_true", help="summarize all, not only articles without a summary")
+    p.add_argument("--force", action="store_true", help="take all articles, not only those without a summary or without events")
     p.add_argument("--top-k", type=int, default=3)
     p.add_argument("--retrieval-top-k", type=int, default=5)
+    p.add_argument("--debug-rerank", action="store_true", help="show the reranked order with its reasons")
+    p.add_argument("--debug-aggregation", action="store_true", help="show the events of a recommendation")
+    p.add_argument("--document", action="store_true", help="collect: one JSON document, not a line per event")
     p.add_argument("--reports", default="reports", help="folder of the Markdown reports")
     return p
 
@@ -41,24 +47,30 @@ def run(spark: SparkSession, args: argparse.Namespace) -> list[str]:
     """The lines that a step prints."""
     now, db = F.current_timestamp(), flows.Store.open(spark, args.store)
     if args.step == "collect":
-        events = flows.validate(_raw(spark, args))[0].select("source", "raw_text")
-        return [r["value"] for r in reports.batch_json(events, "batch", "now").toLocalIterator()]
+        batch, created = str(uuid.uuid4()), datetime.now(UTC).replace(tzinfo=None)
+        events = flows.validate(_raw(spark, args))[0].select(F.expr("uuid()").alias("id"), "source", "raw_text", iso(F.lit(created)).alias("timestamp"))
+        if args.document:
+            return list(reports.batch_document(events, batch, created.isoformat()))
+        return [r["value"] for r in reports.batch_json(events, batch, created.isoformat()).toLocalIterator()]
     if args.step == "ingest":
         return [str(flows.ingest(db, _raw(spark, args), now))]
     if args.step == "summarize":
         return [str(flows.summarise_stored(db, args.source, args.limit, args.force))]
     if args.step == "structure":
-        return [str(flows.structure_stored(db, now, args.source, args.limit))]
+        return [str(flows.structure_stored(db, now, args.source, args.limit, args.force))]
     if db.articles.read().isEmpty():
         return ["No articles in database"]
     asked = spark.createDataFrame([(1, args.text or "")], "question_id long, question string")
     hits = flows.search(db, asked, max(args.top_k, args.retrieval_top_k))
+    ranked, shown = "ranked_candidates" if args.debug_rerank else None, "target_events" if args.debug_aggregation else None
     if args.step == "ask":
         found = recommend.answer(asked, recommend.reranked_evidence(hits, asked, top_k=args.top_k, retrieval_top_k=args.retrieval_top_k))
-        return [found.select(reports.answer_text().alias("t")).first()["t"]]
+        if ranked:
+            found = found.join(recommend.new_order(hits, asked, retrieval_top_k=args.retrieval_top_k).select("question_id", ranked), "question_id", "left")
+        return [found.select(reports.answer_text(ranked).alias("t")).first()["t"]]
     found = recommend.recommend(asked.withColumnRenamed("question", "target"), hits, db.events.read(), args.top_k, args.retrieval_top_k).persist()
-    paths = reports.write_reports(found, args.reports, now)
-    return [found.select(reports.recommendation_text().alias("t")).first()["t"], "", f"Report: {paths[0]}"]
+    paths = reports.write_reports(found, args.reports, now, shown, ranked)
+    return [found.select(reports.recommendation_text(shown, ranked).alias("t")).first()["t"], "", f"Report: {paths[0]}"]
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -1,4 +1,4 @@
-"""Calls of a model that answers in a given form, and the steps that are made of them: reranking, answers, decisions.
+"""Calls of a model that answers in a given form, and the steps that are made of them: summaries, events, reranking, answers, decisions.
 
 A call is a row's request in and a parsed reply or an error out. Any object with ``complete`` will do for the model; one is made
 per task, and none where there are no rows. Failed or invalid replies stay as rows with an error, so a caller can raise or go on.
@@ -13,20 +13,25 @@ from collections.abc import Callable, Iterator, Mapping
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import clean
 from . import validation
-from .prompts import answer_requests, recommendation_requests, rerank_requests
-from .retrieval import rerank_error
+from .models import EVENT_KEYS, identified
+from .prompts import answer_requests, article_request, recommendation_requests, rerank_requests
+from .retrieval import candidate_error, rerank_error
 
 RERANK_REPLY = "ranked_candidates array<struct<candidate_id: string, reason: string>>"
 _POINTS = "array<struct<text: string, citations: array<bigint>>>"
 _SOURCES = "array<struct<id: bigint, title: string, url: string, snippet: string>>"
 ANSWER_REPLY = f"answer string, sources {_SOURCES}, confidence string, insufficient_evidence boolean, supporting_points {_POINTS}, counter_points {_POINTS}"
 DECISION_REPLY = f"decision string, confidence string, time_horizon string, reasoning string, key_risks array<string>, insufficient_evidence boolean, sources {_SOURCES}"
+SUMMARY_REPLY = "bullets array<string>"
+EVENTS_REPLY = f"events array<struct<{', '.join(f'{k}: string' for k in EVENT_KEYS)}>>"
+SUMMARY_RULES = "Give 3 to 5 bullets with facts that the article states, for later search. Add no opinion and no advice, and don't repeat the title."
+EVENT_RULES = "List the signals for investors that the article states, or none. Use the given names for type, direction, importance and horizon; General Market is the asset of what concerns no single one. Quote the evidence."
 RERANK_RULES = "Order the candidates by how well they answer the question. Return every candidate id exactly once, each with a short reason. Add no others and answer nothing else."
 ANSWER_RULES = "Answer from the sources alone and cite their ids. Put claims for and against into supporting_points and counter_points, each with a citation. Where the sources don't suffice, say so, set insufficient_evidence and use low confidence."
 DECISION_RULES = "Decide BUY, HOLD or SELL for the target from the aggregated signal and the sources alone, as a patient long-term owner would. Prefer HOLD where evidence is thin, name at most three key risks, and list the sources used."
@@ -48,8 +53,8 @@ def resolve_model(explicit: str | None, own_variable: str | None, default: str,
     return explicit or (env.get(own_variable, "") if own_variable else "") or env.get("OPENAI_MODEL", "") or default
 
 
-class HttpClient:
-    """A chat-completions service."""
+class HttpService:
+    """A service that takes JSON with a bearer's key."""
 
     def __init__(self, model: str, key: str | None = None, url: str = "https://api.openai.com/v1", timeout: float = 60) -> None:
         self.key = key or os.environ.get("OPENAI_API_KEY", "")
@@ -57,12 +62,18 @@ class HttpClient:
             raise MissingKeyError("OPENAI_API_KEY is required")
         self.model, self.url, self.timeout = model, url, timeout
 
+    def post(self, path: str, body: dict) -> dict:
+        asked = urllib.request.Request(f"{self.url}/{path}", json.dumps({"model": self.model} | body).encode(), {"Authorization": f"Bearer {self.key}", "Content-Type": "application/json"})
+        with urllib.request.urlopen(asked, timeout=self.timeout) as reply:
+            return json.load(reply)
+
+
+class HttpClient(HttpService):
+    """A chat-completions service."""
+
     def complete(self, rules: str, request: str, form: str) -> str:
         messages = [{"role": "system", "content": f"{rules}\nReply with one JSON object: {form}"}, {"role": "user", "content": request}]
-        body = json.dumps({"model": self.model, "messages": messages, "response_format": {"type": "json_object"}}).encode()
-        asked = urllib.request.Request(f"{self.url}/chat/completions", body, {"Authorization": f"Bearer {self.key}", "Content-Type": "application/json"})
-        with urllib.request.urlopen(asked, timeout=self.timeout) as reply:
-            message = json.load(reply)["choices"][0]["message"]
+        message = self.post("chat/completions", {"messages": messages, "response_format": {"type": "json_object"}})["choices"][0]["message"]
         if message.get("refusal"):
             raise RuntimeError(f"Model refused the request: {message['refusal']}")
         if not message.get("content"):
@@ -70,21 +81,41 @@ class HttpClient:
         return message["content"]
 
 
+class HttpEmbedder(HttpService):
+    """A service of embeddings; for :func:`models.embed`, which hands over a batch of texts at a time."""
+
+    #: Texts of a request.
+    BATCH = 256
+
+    def embed_all(self, texts: list[str]) -> list[list[float]]:
+        out: list[list[float]] = []
+        for at in range(0, len(texts), self.BATCH):
+            found = self.post("embeddings", {"input": [t or " " for t in texts[at : at + self.BATCH]]})["data"]
+            out += [v["embedding"] for v in sorted(found, key=lambda v: v["index"])]
+        return out
+
+
 Make = Callable[[], Client]
 
 
-def call(requests: DataFrame, rules: str, form: str, make: Make) -> DataFrame:
-    """``requests`` with reply (a struct of ``form``, null on failure) and error.
+def call(requests: DataFrame, rules: str, form: str, make: Make, refused: Column | None = None) -> DataFrame:
+    """``requests`` with reply (a struct of ``form``, null on failure) and error. Where ``refused`` gives a reason, the model isn't asked.
 
     Tasks that are repeated call again, so results should be written before they are used twice.
     """
 
+    requests = requests.withColumn("error", F.lit(None).cast("string") if refused is None else refused)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         client: Client | None = None
         for b in batches:
             raw: list[str | None] = []
             errors: list[str | None] = []
-            for request in b.column("request").to_pylist():
+            for request, why in zip(b.column("request").to_pylist(), b.column("error").to_pylist(), strict=True):
+                if why is not None:
+                    raw.append(None)
+                    errors.append(why)
+                    continue
                 client = client or make()
                 try:
                     raw.append(client.complete(rules, request, form))
@@ -92,18 +123,35 @@ def call(requests: DataFrame, rules: str, form: str, make: Make) -> DataFrame:
                 except Exception as e:  # noqa: BLE001  any failure of a model is a row's error
                     raw.append(None)
                     errors.append(f"{type(e).__name__}: {e}")
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(raw, pa.string()), pa.array(errors, pa.string())], [*b.schema.names, "_raw", "error"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(raw, pa.string()), pa.array(errors, pa.string())], [*b.schema.names[:-1], "_raw", "error"])
 
     text = T.StringType()
-    called = requests.mapInArrow(run, T.StructType([*requests.schema.fields, T.StructField("_raw", text), T.StructField("error", text)]))
+    called = requests.mapInArrow(run, T.StructType([*requests.schema.fields[:-1], T.StructField("_raw", text), T.StructField("error", text)]))
     parsed = F.get_json_object("_raw", "$").isNotNull()
     error = F.coalesce("error", F.when(~parsed, F.lit("Model returned no parsed reply")))
     return called.withColumn("reply", F.when(parsed, F.from_json("_raw", form))).withColumn("error", error).drop("_raw")
 
 
+def summarise(articles: DataFrame, make: Make) -> DataFrame:
+    """article_id, bullets and error of each article (article_id, url, title, description, content)."""
+    got = call(articles.select("article_id", article_request().alias("request")), SUMMARY_RULES, SUMMARY_REPLY, make)
+    return got.select("article_id", F.col("reply.bullets").alias("bullets"), "error")
+
+
+def structured(articles: DataFrame, make: Make) -> DataFrame:
+    """Events of each article, as :func:`models.structured` gives them; an article whose call failed has one row with its error."""
+    got = call(articles.select("article_id", article_request().alias("request")), EVENT_RULES, EVENTS_REPLY, make)
+    got = got.withColumn("error", F.coalesce("error", F.when(F.col("reply.events").isNull(), "no events in the reply")))
+    events = F.when(F.col("error").isNull(), F.col("reply.events")).otherwise(F.array(F.lit(None).cast(got.schema["reply"].dataType["events"].dataType.elementType)))
+    rows = got.select("article_id", "error", F.posexplode(events).alias("place", "e"))
+    return identified(rows.select("article_id", F.col("place").cast("long").alias("place"), *[F.col(f"e.{k}").alias(k) for k in EVENT_KEYS], "error"))
+
+
 def rerank(candidates: DataFrame, questions: DataFrame, make: Make) -> DataFrame:
-    """question_id, ranked (candidate ids in their new order), ranked_candidates (with reasons) and error: the order must be a permutation."""
-    got = call(rerank_requests(candidates, questions), RERANK_RULES, RERANK_REPLY, make)
+    """question_id, ranked (candidate ids in their new order), ranked_candidates (with reasons) and error: the order must be a permutation. Blank questions and incomplete candidates are not sent."""
+    own = rerank_requests(candidates, questions)
+    invalid = F.get(F.array_compact(F.transform("candidates", candidate_error)), F.lit(0))
+    got = call(own, RERANK_RULES, RERANK_REPLY, make, F.coalesce(validation.question_error(F.col("question")), invalid))
     items = F.transform("reply.ranked_candidates", lambda c: F.struct(clean(c["candidate_id"]).alias("candidate_id"), clean(c["reason"]).alias("reason")))
     own = got.withColumn("ranked_candidates", items).withColumn("ranked", F.transform("ranked_candidates", lambda c: c["candidate_id"]))
     blank = F.when(F.col("ranked").isNull(), "no ranked candidates").when(F.exists("ranked_candidates", lambda c: (c["candidate_id"] == "") | (c["reason"] == "")), "empty candidate_id or reason")
@@ -113,7 +161,7 @@ def rerank(candidates: DataFrame, questions: DataFrame, make: Make) -> DataFrame
 
 def answer(evidence: DataFrame, questions: DataFrame, make: Make) -> DataFrame:
     """question_id, the columns of an answer and error; citations must be among the answer's own sources."""
-    got = call(answer_requests(evidence, questions), ANSWER_RULES, ANSWER_REPLY, make).select("question_id", "reply.*", "error")
+    got = call(answer_requests(evidence, questions), ANSWER_RULES, ANSWER_REPLY, make, validation.question_error(F.col("question"))).select("question_id", "reply.*", "error")
     points = F.concat(F.coalesce("supporting_points", F.array().cast(_POINTS)), F.coalesce("counter_points", F.array().cast(_POINTS)))
     return got.withColumn("error", F.coalesce("error", validation.answer_error(points), validation.citation_error(points, F.col("sources"))))
 
@@ -121,5 +169,6 @@ def answer(evidence: DataFrame, questions: DataFrame, make: Make) -> DataFrame:
 def decide(aggregated: DataFrame, evidence: DataFrame, make: Make) -> DataFrame:
     """``aggregated`` with the columns of a decision and error; risks are cleaned, what the model says of the aggregation isn't asked for."""
     columns = [c for c in aggregated.columns if c not in ("decision", "confidence", "time_horizon", "reasoning", "key_risks", "insufficient_evidence", "sources")]
-    got = call(recommendation_requests(aggregated.select(columns), evidence), DECISION_RULES, DECISION_REPLY, make).select(*columns, "reply.*", "error")
+    own = recommendation_requests(aggregated.select(columns), evidence)
+    got = call(own, DECISION_RULES, DECISION_REPLY, make, validation.aggregation_error()).select(*columns, "reply.*", "error")
     return got.withColumn("error", F.coalesce("error", validation.recommendation_error())).withColumn("key_risks", validation.clean_risks(F.col("key_risks")))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.text import strip
 
 EVENT_FIELDS = "event_type: string, direction: string, importance: string, time_horizon: string, affected_asset: string, reasoning: string, evidence_excerpt: string, error: string"
-_KEYS = ("event_type", "direction", "importance", "time_horizon", "affected_asset", "reasoning", "evidence_excerpt")
+EVENT_KEYS = ("event_type", "direction", "importance", "time_horizon", "affected_asset", "reasoning", "evidence_excerpt")
 
 
 class Provider(Protocol):
@@ -25,7 +25,7 @@ class Provider(Protocol):
 
     def structure(self, title: str, content: str) -> list[dict]: ...
 
-    def embed(self, text: str) -> list[float]: ...
+    def embed_all(self, texts: list[str]) -> list[list[float]]: ...
 
 
 class OfflineProvider:
@@ -57,6 +57,9 @@ class OfflineProvider:
         n = np.linalg.norm(v)
         return (v / n if n else v).tolist()
 
+    def embed_all(self, texts: list[str]) -> list[list[float]]:
+        return [self.embed(t) for t in texts]
+
 
 Make = Callable[[], Provider]
 
@@ -82,6 +85,13 @@ def summarise(articles: DataFrame, make: Make = OfflineProvider) -> DataFrame:
     return articles.select("article_id", "title", "description", "content").mapInPandas(run, "article_id long, bullets array<string>, error string")
 
 
+def identified(rows: DataFrame) -> DataFrame:
+    """Events with their article_id, ``place`` in the reply, fields and error: a blank asset is named and event_id takes the place's stead."""
+    asset = F.when(F.col("error").isNull(), F.coalesce(F.nullif(strip(F.col("affected_asset")), F.lit("")), F.lit("General Market")))
+    fields = F.to_json(F.struct("article_id", "place", *EVENT_KEYS))
+    return rows.withColumn("affected_asset", asset).withColumn("event_id", F.sha2(fields, 256)).drop("place")
+
+
 def structured(articles: DataFrame, make: Make = OfflineProvider) -> DataFrame:
     """Events of all articles; a blank asset becomes General Market, ids depend on the article, the event's place and all its fields.
 
@@ -95,24 +105,24 @@ def structured(articles: DataFrame, make: Make = OfflineProvider) -> DataFrame:
             for i, t, c in zip(b["article_id"], b["title"], b["content"], strict=True):
                 provider = provider or make()
                 try:
-                    rows += [(i, place, *(e.get(k) for k in _KEYS), None) for place, e in enumerate(provider.structure(t, c))]
+                    rows += [(i, place, *(e.get(k) for k in EVENT_KEYS), None) for place, e in enumerate(provider.structure(t, c))]
                 except Exception as e:  # noqa: BLE001  any failure of a model is a row's error
-                    rows.append((i, 0, *(None for _ in _KEYS), f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["article_id", "place", *_KEYS, "error"])
+                    rows.append((i, 0, *(None for _ in EVENT_KEYS), f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["article_id", "place", *EVENT_KEYS, "error"])
 
     rows = articles.select("article_id", "title", "content").mapInPandas(run, f"article_id long, place long, {EVENT_FIELDS}")
-    asset = F.when(F.col("error").isNull(), F.coalesce(F.nullif(strip(F.col("affected_asset")), F.lit("")), F.lit("General Market")))
-    fields = F.to_json(F.struct("article_id", "place", *_KEYS))
-    return rows.withColumn("affected_asset", asset).withColumn("event_id", F.sha2(fields, 256)).drop("place")
+    return identified(rows)
 
 
 def embed(text: Column, make: Make = OfflineProvider) -> Column:
-    """Vectors of texts; the provider is made once per worker and batch stream."""
+    """Vectors of texts, a batch at a time; the provider is made once per worker and batch stream, and not at all without rows."""
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        provider = make()
+        provider: Provider | None = None
         for s in batches:
-            yield s.map(provider.embed)
+            if len(s):
+                provider = provider or make()
+            yield pd.Series(provider.embed_all(s.tolist()) if len(s) else [], index=s.index, dtype=object)
 
     return run.asNondeterministic()(text)

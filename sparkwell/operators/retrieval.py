@@ -108,10 +108,10 @@ def rerank_candidates(hits: DataFrame, limit: int = RETRIEVAL_TOP_K) -> DataFram
     return hits.filter(F.col("rank") <= limit).withColumn("snippet", snippet(clean(F.col("content")))).withColumn("title", _default("title", "Untitled")).withColumn("summary", summary).withColumn("candidate_id", F.col("rank").cast("string")).withColumnRenamed("rank", "original_rank")
 
 
-def candidate_error() -> Column:
-    """Why a candidate can't be reranked, or null."""
-    empty = lambda c: strip(F.coalesce(F.col(c), F.lit(""))) == ""
-    return F.when(empty("candidate_id"), "empty candidate_id").when(empty("title"), "empty title").when(empty("snippet"), "empty snippet").when(F.col("original_rank") < 1, "rank below 1")
+def candidate_error(c: Column) -> Column:
+    """Why a candidate (a struct) can't be reranked, or null."""
+    empty = lambda name: strip(F.coalesce(c[name], F.lit(""))) == ""
+    return F.when(empty("candidate_id"), "empty candidate_id").when(empty("title"), "empty title").when(empty("snippet"), "empty snippet").when(F.coalesce(c["original_rank"], F.lit(0)) < 1, "rank below 1")
 
 
 def lexical_rerank(candidates: DataFrame, questions: DataFrame) -> DataFrame:

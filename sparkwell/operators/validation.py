@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.text import citations, clean, clean_bullet, strip
@@ -29,6 +29,17 @@ def point_error(point: Column) -> Column:
     return F.when(_blank(point["text"]), "Point text must be non-empty").when(F.coalesce(F.size(citations(point["citations"])), F.lit(0)) == 0, "Point citations must contain at least one positive source id")
 
 
+def question_error(question: Column) -> Column:
+    return F.when(clean(question) == "", "Question must be non-empty")
+
+
+def aggregation_error() -> Column:
+    """Of event_count, target_specific_event_count and target_events (their source_id and article_id)."""
+    return F.when((F.col("event_count") < 0) | (F.col("target_specific_event_count") < 0), "negative count").when(
+        F.exists("target_events", lambda e: (F.coalesce(e["source_id"], F.lit(0)) < 1) | (F.coalesce(e["article_id"], F.lit(0)) < 1)), "event with a source or article id below 1"
+    )
+
+
 def answer_error(points: Column) -> Column:
     """Of answer, confidence, sources and all ``points``."""
     return (
@@ -60,11 +71,3 @@ def recommendation_error() -> Column:
 
 def clean_risks(risks: Column) -> Column:
     return F.filter(F.transform(risks, clean), lambda r: r != "")
-
-
-def split_invalid(rows: DataFrame, error: Column, strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Valid rows, and the others with their ``error``; ``strict`` raises instead."""
-    marked = rows.withColumn("error", error)
-    if strict:
-        return marked.filter(F.when(F.col("error").isNull(), F.lit(True)).otherwise(F.raise_error(F.col("error")).cast("boolean"))).drop("error"), marked.limit(0)
-    return marked.filter("error is null").drop("error"), marked.filter("error is not null")

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import render_bullets
-from ..operators import models, retrieval, store, validation
+from ..operators import calls, models, retrieval, store, validation
 from ..operators.events import insert_or_skip, to_articles, validate
 from ..operators.store import SnapshotTable
 from ..schema import ARTICLES, RETRIEVAL_TOP_K, STRUCTURED_EVENTS
@@ -22,6 +24,29 @@ class SummaryError(RuntimeError):
     """A model gave no valid summary; articles before this one have theirs."""
 
 
+@dataclass(frozen=True)
+class Steps:
+    """The model steps of the flows, which take a maker of providers as well."""
+
+    summarise: Callable[[DataFrame], DataFrame]
+    structured: Callable[[DataFrame], DataFrame]
+    embed: Callable[[Column], Column]
+
+    @staticmethod
+    def of(make: models.Make | Steps) -> Steps:
+        if isinstance(make, Steps):
+            return make
+        return Steps(partial(models.summarise, make=make), partial(models.structured, make=make), partial(models.embed, make=make))
+
+    @staticmethod
+    def of_service(client: calls.Make, embedder: models.Make) -> Steps:
+        """Summaries and events from a service that answers in a form; ``embedder`` makes what has ``embed_all``."""
+        return Steps(partial(calls.summarise, make=client), partial(calls.structured, make=client), partial(models.embed, make=embedder))
+
+
+Make = models.Make | Steps
+
+
 @dataclass(frozen=True)
 class Store:
     articles: SnapshotTable
@@ -35,15 +60,15 @@ class Store:
         return Store(**{name: SnapshotTable(spark, f"{folder.rstrip('/')}/{name}", schema) for name, schema in tables.items()})
 
 
-def reindex(db: Store, articles: DataFrame, make: models.Make = models.OfflineProvider) -> None:
-    new = articles.select("article_id", models.embed(retrieval.embedding_text(), make).alias("embedding"), F.col("summary").isNotNull().alias("has_summary"))
+def reindex(db: Store, articles: DataFrame, make: Make = models.OfflineProvider) -> None:
+    new = articles.select("article_id", Steps.of(make).embed(retrieval.embedding_text()).alias("embedding"), F.col("summary").isNotNull().alias("has_summary"))
     db.index.write(retrieval.upsert_index(db.index.read(), new))
 
 
-def _summarise(db: Store, articles: DataFrame, make: models.Make) -> int:
+def _summarise(db: Store, articles: DataFrame, make: Make) -> int:
     """Stores and indexes summaries of ``articles`` up to the first failure in the order of publishing, which is raised."""
     bullets = F.col("bullets")
-    found = models.summarise(articles, make).select("article_id", F.coalesce("error", validation.summary_error(bullets)).alias("error"), render_bullets(bullets).alias("summary"))
+    found = Steps.of(make).summarise(articles).select("article_id", F.coalesce("error", validation.summary_error(bullets)).alias("error"), render_bullets(bullets).alias("summary"))
     db.summaries.write(found)
     found = db.summaries.read()
     order = F.struct("published_at", "article_id")
@@ -62,7 +87,7 @@ def _summarise(db: Store, articles: DataFrame, make: models.Make) -> int:
     return n
 
 
-def ingest(db: Store, raw: DataFrame, at: Column, order: str = "row_ord", event_id: Column | None = None, make: models.Make = models.OfflineProvider, summarise: bool = True) -> dict[str, int]:
+def ingest(db: Store, raw: DataFrame, at: Column, order: str = "row_ord", event_id: Column | None = None, make: Make = models.OfflineProvider, summarise: bool = True) -> dict[str, int]:
     """Valid events of ``raw`` (source, raw_text and an integer ``order``) become articles; total, saved, summarized, indexed, skipped.
 
     Known and repeated urls are skipped before any model is asked. The url is made of ``event_id``, without which it is a hash of
@@ -86,7 +111,7 @@ def ingest(db: Store, raw: DataFrame, at: Column, order: str = "row_ord", event_
     return {"total": total, "saved": saved, "summarized": summarized, "indexed": saved, "skipped": total - saved}
 
 
-def summarise_stored(db: Store, source: str | None = None, limit: int | None = None, force: bool = False, make: models.Make = models.OfflineProvider) -> dict[str, int]:
+def summarise_stored(db: Store, source: str | None = None, limit: int | None = None, force: bool = False, make: Make = models.OfflineProvider) -> dict[str, int]:
     """Summaries for stored articles that have none (the filter comes before the limit), or for all with ``force``."""
     every = store.newest_first(db.articles.read(), limit, source)
     chosen = every if force else store.newest_first(store.missing_summary(db.articles.read()), limit, source)
@@ -95,14 +120,14 @@ def summarise_stored(db: Store, source: str | None = None, limit: int | None = N
     return {"processed": done, "indexed": done, "skipped": candidates - n, "total_candidates": candidates}
 
 
-def structure_stored(db: Store, at: Column, source: str | None = None, limit: int | None = None, force: bool = False, make: models.Make = models.OfflineProvider) -> dict[str, int]:
+def structure_stored(db: Store, at: Column, source: str | None = None, limit: int | None = None, force: bool = False, make: Make = models.OfflineProvider) -> dict[str, int]:
     """Structured events for those of the newest articles that have none, or for all of these with ``force``; a failure is counted and the rest goes on."""
     every = store.newest_first(db.articles.read(), limit, source)
     backlog = every if force else store.unstructured(every, db.events.read())
     seen, n = every.count(), backlog.count()
     if not n:
         return {"processed": 0, "created": 0, "skipped": seen, "failures": 0}
-    found = models.structured(backlog, make).withColumn("structured_at", at)
+    found = Steps.of(make).structured(backlog).withColumn("structured_at", at)
     found = found.withColumn("error", F.coalesce("error", validation.event_error())).persist()
     try:
         failed = found.filter("error is not null").select("article_id").distinct()
@@ -118,7 +143,7 @@ def structure_stored(db: Store, at: Column, source: str | None = None, limit: in
     return {"processed": n - failures, "created": created, "skipped": seen - n, "failures": failures}
 
 
-def search(db: Store, questions: DataFrame, k: int = RETRIEVAL_TOP_K, make: models.Make = models.OfflineProvider) -> DataFrame:
+def search(db: Store, questions: DataFrame, k: int = RETRIEVAL_TOP_K, make: Make = models.OfflineProvider) -> DataFrame:
     """Hydrated hits of ``questions`` (question_id, question) with their rank."""
-    queries = questions.select("question_id", models.embed(F.col("question"), make).alias("embedding"))
+    queries = questions.select("question_id", Steps.of(make).embed(F.col("question")).alias("embedding"))
     return retrieval.hydrate(retrieval.nearest(db.index.read(), queries, k), db.articles.read())

@@ -55,9 +55,11 @@ def evidence_events(evidence: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def lexical_order(candidates: DataFrame, questions: DataFrame) -> DataFrame:
-    """question_id and ranked: a deterministic stand-in for the reranking model."""
-    ranked = retrieval.lexical_rerank(candidates, questions)
-    return ranked.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("new_rank", "candidate_id"))).alias("r")).select("question_id", F.transform("r", lambda x: x["candidate_id"]).alias("ranked"))
+    """question_id, ranked and ranked_candidates (with reasons): a deterministic stand-in for the reranking model."""
+    ranked = retrieval.lexical_rerank(candidates, questions).groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("new_rank", "candidate_id", "overlap"))).alias("r"))
+    reason = lambda x: F.concat(x["overlap"].cast("string"), F.lit(" word(s) in common"))
+    item = lambda x: F.struct(x["candidate_id"].alias("candidate_id"), reason(x).alias("reason"))
+    return ranked.select("question_id", F.transform("r", lambda x: x["candidate_id"]).alias("ranked"), F.transform("r", item).alias("ranked_candidates"))
 
 
 Rerank = Callable[[DataFrame, DataFrame], DataFrame]
@@ -65,20 +67,27 @@ Rerank = Callable[[DataFrame, DataFrame], DataFrame]
 
 def reranked_evidence(hits: DataFrame, questions: DataFrame, rerank: Rerank = lexical_order, top_k: int = 3, retrieval_top_k: int = 5) -> DataFrame:
     """Evidence of each question: more hits than needed are reranked, the first of the new order stay. ``questions``: question_id, question."""
-    return retrieval.evidence(retrieval.reorder(hits, rerank(retrieval.rerank_candidates(hits, retrieval_top_k), questions)), top_k)
+    return retrieval.evidence(retrieval.reorder(hits, new_order(hits, questions, rerank, retrieval_top_k)), top_k)
+
+
+def new_order(hits: DataFrame, questions: DataFrame, rerank: Rerank = lexical_order, retrieval_top_k: int = 5) -> DataFrame:
+    """question_id, ranked and, for debug parts of texts, ranked_candidates (null if ``rerank`` gives no reasons)."""
+    order = rerank(retrieval.rerank_candidates(hits, retrieval_top_k), questions)
+    return order if "ranked_candidates" in order.columns else order.withColumn("ranked_candidates", F.lit(None).cast("array<struct<candidate_id: string, reason: string>>"))
 
 
 def recommend(targets: DataFrame, hits: DataFrame, events: DataFrame, top_k: int = 3, retrieval_top_k: int = 5, rerank: Rerank = lexical_order, decide: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
     """A recommendation per target. ``targets``: question_id, target; ``hits``: hydrated hits with rank.
 
     Candidates are reranked (by words in common, or by ``rerank``), evidence is what stands first then, its events are aggregated by
-    question. ``decide`` gets the rows of the route ``decide`` and the evidence; without it :func:`rule_decision` decides.
+    question. The rows hold target_events and ranked_candidates for debug parts of texts. ``decide`` gets the rows of the route ``decide`` and the evidence; without it :func:`rule_decision` decides.
     """
-    evidence = reranked_evidence(hits, targets.select("question_id", F.col("target").alias("question")), rerank, top_k, retrieval_top_k)
+    order = new_order(hits, targets.select("question_id", F.col("target").alias("question")), rerank, retrieval_top_k)
+    evidence = retrieval.evidence(retrieval.reorder(hits, order), top_k)
     matched = signals.match_events(targets.select("question_id", "target"), evidence_events(evidence, events), ["question_id"])
     total = signals.aggregate(matched, True, ("question_id", "target"))
     sources = evidence.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("id", "title", "url", "snippet"))).alias("sources"))
-    own = targets.select("question_id", "target").join(sources, "question_id", "left").join(total, ["question_id", "target"], "left")
+    own = targets.select("question_id", "target").join(sources, "question_id", "left").join(total, ["question_id", "target"], "left").join(order.select("question_id", "ranked_candidates"), "question_id", "left")
     routed = own.withColumn("route", route(F.col("sources").isNotNull(), F.col("net_score").isNotNull(), F.col("target_specific_event_count"), F.col("target")))
     decided = decide(routed.filter("route = 'decide'"), evidence) if decide else rule_decision(routed)
     return insufficient(routed).unionByName(decided, allowMissingColumns=True)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import os
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,17 +92,41 @@ def report_markdown(generated_at: Column, events: str | None = None, ranked: str
     return F.concat(F.regexp_replace(body, r"^\s+|\s+$", ""), F.lit("\n"))
 
 
-def write_reports(recommendations: DataFrame, folder: str, generated_at: Column) -> list[str]:
-    """A Markdown file per recommendation, one row at a time; the paths."""
-    os.makedirs(folder, exist_ok=True)
-    paths = []
-    for row in recommendations.select(report_filename(F.col("target"), generated_at).alias("name"), report_markdown(generated_at).alias("text")).toLocalIterator():
-        paths.append(os.path.join(folder, row["name"]))
-        with open(paths[-1], "w", encoding="utf-8") as f:
-            f.write(row["text"])
-    return paths
+def write_reports(recommendations: DataFrame, folder: str, generated_at: Column, events: str | None = None, ranked: str | None = None) -> list[str]:
+    """A Markdown file per recommendation, written by the tasks; the paths. ``folder`` is one that all executors share.
+
+    Targets are normalised into names, so two with one name and time write one file, as they do where a later report follows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.makedirs(folder, exist_ok=True)
+        for b in batches:
+            paths = [os.path.join(folder, name) for name in b.column("name").to_pylist()]
+            for path, text in zip(paths, b.column("text").to_pylist(), strict=True):
+                # a repeated task replaces its file at once
+                draft = f"{path}.{os.getpid()}"
+                with open(draft, "w", encoding="utf-8") as f:
+                    f.write(text)
+                os.replace(draft, path)
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string())], ["path"])
+
+    texts = recommendations.select(report_filename(F.col("target"), generated_at).alias("name"), report_markdown(generated_at, events, ranked).alias("text"))
+    return [r["path"] for r in texts.mapInArrow(run, "path string").collect()]
 
 
 def batch_json(events: DataFrame, batch_id: str, created_at: str) -> DataFrame:
     """Events as JSON lines that carry their batch; written with ``df.write.text``, which keeps the work on the executors."""
     return events.select(F.to_json(F.struct(F.lit(batch_id).alias("batch_id"), F.lit(created_at).alias("created_at"), *[F.col(c) for c in events.columns])).alias("value"))
+
+
+def batch_document(events: DataFrame, batch_id: str, created_at: str) -> Iterator[str]:
+    """The lines of one JSON document with batch_id, created_at and the array ``events``; rows come to the driver one partition at a time."""
+    yield f'{{\n  "batch_id": {json.dumps(batch_id)},\n  "created_at": {json.dumps(created_at)},\n  "events": ['
+    before = None
+    for row in events.select(F.to_json(F.struct(*events.columns)).alias("value")).toLocalIterator():
+        if before is not None:
+            yield f"    {before},"
+        before = row["value"]
+    if before is not None:
+        yield f"    {before}"
+    yield "  ]\n}"

@@ -157,3 +157,73 @@ def test_live_sources(spark, monkeypatch):
     with pytest.raises(live.MissingKeyError):
         live.live_news(spark)
     assert live.live_market(spark).first()["raw_text"] == collect.FALLBACK
+
+
+class Service(BaseHTTPRequestHandler):
+    """Chat completions and embeddings; the log has path and key of each request."""
+
+    log: list[tuple[str, str]] = []
+
+    def do_POST(self):  # noqa: N802
+        body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+        self.log.append((self.path, self.headers["Authorization"], body["model"]))
+        if self.path.endswith("/embeddings"):
+            reply = {"data": [{"index": k, "embedding": [float(len(t)), 1.0]} for k, t in reversed(list(enumerate(body["input"])))]}
+        else:
+            rules, request = (m["content"] for m in body["messages"])
+            event = {"event_type": "Company", "direction": "Positive", "importance": "High", "time_horizon": "Both", "affected_asset": " ", "reasoning": "r", "evidence_excerpt": "e"}
+            content = json.dumps({"bullets": ["a", "- b", "c"]}) if rules.startswith("Give 3") else json.dumps({"events": [event, event]})
+            message = {"refusal": "won't"} if "Beta" in request and "signals" in rules else {"content": content}
+            reply = {"choices": [{"message": message}]}
+        self.send_response(200)
+        self.end_headers()
+        self.wfile.write(json.dumps(reply).encode())
+
+    def log_message(self, *args):
+        pass
+
+
+def test_steps_of_a_service(db, raw):
+    server = HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    steps = flows.Steps.of_service(lambda: calls.HttpClient("m", "k", url), lambda: calls.HttpEmbedder("v", "k", url))
+    try:
+        assert flows.ingest(db, raw, at(), make=steps)["summarized"] == 2
+        assert {r.summary for r in db.articles.read().collect()} == {"- a\n- b\n- c"}
+        assert {len(r.embedding) for r in db.index.read().collect()} == {2}
+        assert flows.structure_stored(db, at(), make=steps) == {"processed": 1, "created": 2, "skipped": 0, "failures": 1}
+        got = db.events.read().collect()
+        assert len({r.event_id for r in got}) == 2 and {r.affected_asset for r in got} == {"General Market"}
+        assert flows.structure_stored(db, at(), force=True, make=steps)["processed"] == 1
+    finally:
+        server.shutdown()
+    assert {(path, model) for path, _, model in Service.log} == {("/chat/completions", "m"), ("/embeddings", "v")} and {key for _, key, _ in Service.log} == {"Bearer k"}
+
+
+def test_what_is_invalid_is_not_sent(spark):
+    questions = spark.createDataFrame([(1, " "), (2, "say:{}")], "question_id long, question string")
+    candidates = spark.createDataFrame([(1, 1, "1", "t", None, "s"), (2, 1, "1", "t", None, " ")], "question_id long, original_rank long, candidate_id string, title string, summary string, snippet string")
+
+    def broken():
+        raise RuntimeError("asked")
+
+    got = {r.question_id: r.error for r in calls.rerank(candidates, questions, broken).collect()}
+    assert got == {1: "Question must be non-empty", 2: "empty snippet"}
+
+
+def test_shell_shows_debug_parts_and_documents(spark, tmp_path):
+    def step(*argv):
+        return "\n".join(cli.run(spark, cli._parser().parse_args([*argv, "--store", str(tmp_path / "s"), "--reports", str(tmp_path / "r")])))
+
+    step("ingest", TEXT.format("MSFT"))
+    step("structure")
+    assert "'processed': 0" in step("structure") and "'processed': 1" in step("structure", "--force")
+    assert step("ask", "Which profit rose?", "--debug-rerank").endswith("Rerank Debug:\n1. Candidate 1: 2 word(s) in common")
+    shown = step("recommend", "general market", "--debug-aggregation", "--debug-rerank")
+    assert "Aggregation Debug:\n[1] MSFT reports growth." in shown and "Rerank Debug:\n1. Candidate 1" in shown
+    report = next((tmp_path / "r").iterdir()).read_text(encoding="utf-8")
+    assert "## Aggregated Events\n- [1] MSFT" in report and report.rstrip().endswith("in common")
+    batch = json.loads(step("collect", TEXT.format("x"), "--document"))
+    assert set(batch) == {"batch_id", "created_at", "events"} and [set(e) for e in batch["events"]] == [{"id", "source", "raw_text", "timestamp"}]
+    assert json.loads(step("collect", "", "--document"))["events"] == []
