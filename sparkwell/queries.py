@@ -56,9 +56,13 @@ def q_display(x: str) -> str:
 
 TARGETS_SQL = "(values " + ", ".join(f"('{t}')" for t in TARGETS) + ") t(target)"
 SCORE_SQL = "case direction when 'Positive' then 1 when 'Negative' then -1 else 0 end * case importance when 'High' then 3 when 'Medium' then 2 else 1 end"
-MATCH_SQL = f"""
+
+
+def match_sql(rows: str, columns: str = "target, s.*") -> str:
+    """``own``: the rows of target and events that match."""
+    return f"""
 , raw_match as (
-    select target, s.*, ({SCORE_SQL})::bigint as score, {q_target('target')} as nt, {q_target('affected_asset')} as na from signals_v s, {TARGETS_SQL}),
+    select {columns}, ({SCORE_SQL})::bigint as score, {q_target('target')} as nt, {q_target('affected_asset')} as na from {rows}),
 matched as (
     select * exclude (nt, na), case
         when na = 'general-market' then case when nt = 'general-market' then 'target' else 'market' end
@@ -67,16 +71,20 @@ matched as (
             and list_contains(regexp_extract_all(na, '[a-z0-9]+'), case when nt = 'general-market' then nt else regexp_replace(nt, '[^a-z0-9]+', '', 'g') end) then 'target' end as match
     from raw_match),
 own as (select * from matched where match is not null)"""
-AGG_SQL = (
-    MATCH_SQL
-    + f""",
+
+
+def agg_sql(match: str, keys: str = "target") -> str:
+    """``summed``: scores, conflicts, driver and summary by ``keys``."""
+    return (
+        match
+        + f""",
 sums as (
-    select target, count(*)::bigint as event_count, count(*) filter (match = 'target')::bigint as target_specific_event_count,
+    select {keys}, count(*)::bigint as event_count, count(*) filter (match = 'target')::bigint as target_specific_event_count,
         coalesce(sum(score) filter (event_type = 'Macro'), 0)::bigint as macro_score, coalesce(sum(score) filter (event_type = 'Company'), 0)::bigint as company_score,
         coalesce(sum(score) filter (event_type = 'Sector'), 0)::bigint as sector_score, coalesce(sum(score) filter (event_type = 'Market'), 0)::bigint as market_score, sum(score)::bigint as net_score,
         case when bool_or(score > 0) and bool_or(score < 0) then '{signals.CONFLICT_BOTH}' end as c1,
         case when bool_or(score < 0 and time_horizon in ('Short-term', 'Both')) and bool_or(score > 0 and time_horizon in ('Long-term', 'Both')) then '{signals.CONFLICT_HORIZON}' end as c2
-    from own group by target),
+    from own group by {keys}),
 tops as (
     select *, greatest(abs(macro_score), abs(company_score), abs(sector_score), abs(market_score)) as most,
         list_sort([x for x in [case when abs(macro_score) = greatest(abs(macro_score), abs(company_score), abs(sector_score), abs(market_score)) then 'Macro' end, case when abs(company_score) = greatest(abs(macro_score), abs(company_score), abs(sector_score), abs(market_score)) then 'Company' end,
@@ -91,19 +99,28 @@ summed as (
     select *, 'Retrieved signals for ' || {q_display('target')} || ' are ' || case when net_score > 0 then 'overall positive' when net_score < 0 then 'overall negative' else 'balanced or mixed' end || '. ' || dominant_driver || '.' ||
         case when coalesce(c1, c2) is not null then ' Key conflict: ' || coalesce(c1, c2) else ' The aggregation is based on ' || event_count || ' structured event(s).' end as summary
     from agg)"""
-)
+    )
+
+
+MATCH_SQL = match_sql(f"signals_v s, {TARGETS_SQL}")
+AGG_SQL = agg_sql(MATCH_SQL)
 KNN_SQL = """
 , v as (select vec_id + 1 as article_id, embedding::double[] as e from embeddings),
 far as (select q.article_id as question_id, c.article_id, greatest(0, 1 - list_cosine_similarity(q.e, c.e)) as d from v q join v c on true where (q.article_id - 1) % 20 = 0),
 hits as (select question_id, article_id, round(d, 6) as distance, row_number() over (partition by question_id order by round(d, 12), article_id) as rank from far qualify rank <= 5)"""
 HYDRATED_SQL = KNN_SQL + ", hydrated as (select h.*, source, title, url, published_at, content, summary from hits h left join articles_v using (article_id))"
 SNIPPET = "coalesce(nullif({c_summary}, ''), nullif({body}, ''), {c_title})"
-CANDIDATES_SQL = (
-    HYDRATED_SQL
-    + f""",
+QUESTIONS_SQL = "select v.article_id as question_id, b.text as question from v join benchmark b on b.item_id = (v.article_id - 1) // 20 % 40"
+
+
+def candidates_sql(questions: str) -> str:
+    """``placed`` (candidates in their new order) and ``evidence`` of ``questions`` (question_id, question)."""
+    return (
+        HYDRATED_SQL
+        + f""",
 cand as (select question_id, article_id, rank as original_rank, rank::varchar as candidate_id, {q_clean("coalesce(title, 'Untitled')")} as title, coalesce(nullif({q_clean('summary')}, ''), nullif({q_clean('content')}, ''), {q_clean("coalesce(title, 'Untitled')")}) as body from hydrated),
 candidates as (select * exclude (body), {q_truncate('body', 220)} as snippet from cand),
-questions as (select v.article_id as question_id, b.text as question from v join benchmark b on b.item_id = (v.article_id - 1) // 20 % 40),
+questions as ({questions}),
 reranked as (
     select *, len(list_distinct(list_intersect(regexp_extract_all(lower(question), '[a-z0-9]+'), regexp_extract_all(lower(title || ' ' || snippet), '[a-z0-9]+'))))::bigint as overlap from candidates join questions using (question_id)),
 placed as (select *, row_number() over (partition by question_id order by overlap desc, original_rank) as new_rank from reranked),
@@ -111,6 +128,31 @@ ex as (select p.question_id, p.article_id, new_rank as id, title, coalesce(url,
 excerpts as (select *, {q_truncate('c', 700)} as excerpt from ex),
 bodies as (select *, coalesce(nullif(s, ''), nullif(excerpt, ''), title) as b2 from excerpts),
 evidence as (select question_id, article_id, id, title, url, excerpt, {q_truncate('b2', 220)} as snippet from bodies)"""
+    )
+
+
+CANDIDATES_SQL = candidates_sql(QUESTIONS_SQL)
+RANKING_SQL = "string_agg(new_rank || '. Candidate ' || candidate_id || ': ' || overlap || ' word(s) in common', chr(10) order by new_rank)"
+RISKS_SQL = " || chr(10) || ".join(f"'- {r}'" for r in recommend.RISKS)
+RECOMMENDED_SQL = (
+    candidates_sql("select question_id, target as question from asked").replace(KNN_SQL, KNN_SQL + f""",
+asked as (
+    select article_id as question_id, ([{", ".join(f"'{t}'" for t in TARGETS)}])[(article_id - 1) // 20 % {len(TARGETS)} + 1] as target from v where (article_id - 1) % 20 = 0 union all values (-1, 'MSFT'), (-2, 'market'))""")
+    + agg_sql(match_sql("evidence e join asked using (question_id) join signals_v s using (article_id)", "question_id, target, e.id as source_id, e.title as article_title, s.*"), "question_id, target")
+    + f""",
+cited as (select question_id, count(*)::bigint as n, string_agg('- [' || id || '] ' || title || ' (' || url || ')' || chr(10) || '  - Snippet: ' || snippet, chr(10) order by id) as listed from evidence group by question_id),
+shown as (
+    select question_id, target, string_agg('- [' || source_id || '] ' || article_title || ': ' || concat_ws(' / ', event_type, direction, importance, time_horizon) || ' (score ' || score || ')' || chr(10) || '  - Asset: ' || affected_asset || chr(10) || '  - Evidence: event ' || event_id, chr(10) order by source_id, structured_at, event_id) as events
+    from own group by question_id, target),
+ranking as (select question_id, {RANKING_SQL} as ranked from placed group by question_id),
+routed as (
+    select *, case when n is null then 'no_evidence' when net_score is null then 'no_signals' when target_specific_event_count = 0 and {q_target('target')} <> 'general-market' then 'market_only' else 'decide' end as route
+    from asked left join cited using (question_id) left join summed using (question_id, target) left join shown using (question_id, target) left join ranking using (question_id)),
+recommended as (
+    select *, case when route = 'decide' and net_score > 2 then 'BUY' when route = 'decide' and net_score < -2 then 'SELL' else 'HOLD' end as decision, case when route = 'decide' and conflicts = '' then 'medium' else 'low' end as confidence, route <> 'decide' as insufficient_evidence,
+        case route when 'no_evidence' then '{recommend.NO_EVIDENCE}' when 'no_signals' then '{recommend.NO_SIGNALS}' when 'market_only' then '{recommend.MARKET_ONLY}' else summary end as reasoning,
+        case when route in ('market_only', 'decide') then n else 0 end as n_sources
+    from routed)"""
 )
 
 
@@ -456,7 +498,15 @@ def q43_structure_udtf(spark, sf):
     return models.structured(views.articles(spark, sf), lambda: models.OfflineProvider(LEXICON)).select("article_id", "event_type", "direction", "affected_asset", "reasoning")
 
 
-@query()
+_SENTENCES = f"string_split(regexp_replace(coalesce(content, ''), '([.!?]){X.SPACE}', '\\1' || chr(57344), 'g'), chr(57344))"
+
+
+@query(
+    with_views(f"""
+, s as (select article_id, [{q_strip('x')} for x in {_SENTENCES} if {q_strip('x')} <> ''][1:3] as b from articles_v),
+r as (select article_id, len(b) < 3 as short, [{_B} for x in b] as b from s)
+select article_id, case when not short then array_to_string(['- ' || x for x in b], chr(10)) end as summary, case when short then 'ValueError: Summary needs 3 to 5 bullets' when list_contains(b, '') then 'empty bullet' end as error from r""")
+)
 def q44_summarize_udf(spark, sf):
     out = models.summarise(views.articles(spark, sf))
     return out.select("article_id", F.when(F.col("error").isNull(), X.render_bullets(F.col("bullets"))).alias("summary"), F.coalesce("error", validation.summary_error(F.col("bullets"))).alias("error"))
@@ -467,9 +517,10 @@ def q45_embed_udf(spark, sf):
     return views.articles(spark, sf).select("article_id", models.embed(retrieval.embedding_text()).alias("embedding"))
 
 
-@query()
+@query(with_views("select to_json(struct_pack(batch_id := 'batch-1', created_at := '2026-05-10T20:30:15', id := article_id, source := source, raw_text := content, timestamp := strftime(published_at, '%Y-%m-%dT%H:%M:%S')))::varchar as value from articles_v where source in ('manual', 'news', 'api') and length(content) >= 50"))
 def q46_batch_json(spark, sf):
-    return reports.batch_json(E.validate(raw_events(spark, sf))[0].select("source", "raw_text"), "batch-1", "2026-05-10T20:30:15")
+    events = E.validate(raw_events(spark, sf))[0].select(F.col("article_id").alias("id"), "source", "raw_text", X.iso(F.col("published_at")).alias("timestamp"))
+    return reports.batch_json(events, "batch-1", "2026-05-10T20:30:15")
 
 
 @query(with_views(f"select article_id, {q_strip("title || '. ' || description")} as raw_text from articles_v where length({q_strip("title || '. ' || description")}) >= 50"))
@@ -500,3 +551,60 @@ def q50_windowed_counts(spark, sf):
     """The batch form of the stream's windowed counts."""
     own = views.signals(spark, sf).withColumn("ts", F.col("structured_at").cast("timestamp"))
     return own.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+def asked_targets(spark: SparkSession, sf: str) -> DataFrame:
+    """A target per searching vector, and two for which nothing was found."""
+    nth = F.expr(f"(article_id - 1) div 20 % {len(TARGETS)} + 1").cast("int")
+    own = vectors(spark, sf).filter((F.col("article_id") - 1) % 20 == 0).select(F.col("article_id").alias("question_id"), F.element_at(F.array(*map(F.lit, TARGETS)), nth).alias("target"))
+    return own.unionByName(spark.createDataFrame([(-1, "MSFT"), (-2, "market")], own.schema))
+
+
+def recommended(spark: SparkSession, sf: str) -> DataFrame:
+    events = views.signals(spark, sf).withColumn("evidence_excerpt", F.concat(F.lit("event "), F.col("event_id").cast("string")))
+    return recommend.recommend(asked_targets(spark, sf), hydrated(spark, sf), events)
+
+
+@query(with_views(RECOMMENDED_SQL + " select question_id, target, route, decision, confidence, insufficient_evidence, reasoning, coalesce(event_count, 0) as event_count, coalesce(target_specific_event_count, 0) as target_specific_event_count, coalesce(net_score, 0) as net_score, n_sources from recommended"))
+def q51_recommend_routes(spark, sf):
+    """The whole flow from hits to decisions, with all four routes; sums are zero where nothing matches."""
+    numbers = [F.coalesce(c, F.lit(0)).alias(c) for c in ("event_count", "target_specific_event_count", "net_score")]
+    return recommended(spark, sf).select("question_id", "target", "route", "decision", "confidence", "insufficient_evidence", "reasoning", *numbers, F.size("sources").cast("long").alias("n_sources"))
+
+
+@query(
+    with_views(
+        CANDIDATES_SQL
+        + f"""
+, ranking as (select question_id, {RANKING_SQL} as ranked from placed group by question_id)
+select question_id, 'Answer:' || chr(10) || first(snippet order by id) || chr(10) || chr(10) || 'Confidence: medium' || chr(10) || 'Insufficient evidence: no' || chr(10) || chr(10) || 'Supporting Points:' || chr(10) || string_agg('- ' || title || ' [' || id || ']', chr(10) order by id)
+    || chr(10) || chr(10) || 'Sources:' || chr(10) || string_agg('[' || id || '] ' || title || chr(10) || 'URL: ' || url || chr(10) || 'Snippet: ' || snippet, chr(10) || chr(10) order by id) || chr(10) || chr(10) || 'Rerank Debug:' || chr(10) || first(ranked) as answer from evidence join ranking using (question_id) group by question_id
+union all select -1, 'Answer:' || chr(10) || '{recommend.NO_ANSWER}' || chr(10) || chr(10) || 'Confidence: low' || chr(10) || 'Insufficient evidence: yes'"""
+    )
+)
+def q52_ask_debug(spark, sf):
+    """Answers with the reranked order, and one question for which nothing was found."""
+    found, asked = hydrated(spark, sf), questions(spark, sf)
+    order = recommend.new_order(found, asked)
+    own = retrieval.evidence(retrieval.reorder(found, order))
+    every = own.select("question_id").distinct().unionByName(spark.createDataFrame([(-1,)], "question_id long"))
+    answers = recommend.answer(every, own).join(order.select("question_id", "ranked_candidates"), "question_id", "left")
+    return answers.select("question_id", reports.answer_text("ranked_candidates").alias("answer"))
+
+
+@query(
+    with_views(
+        RECOMMENDED_SQL
+        + f"""
+select question_id, '# Recommendation Report: ' || {q_display('target')} || chr(10) || chr(10) || '- Generated at: 2026-05-10T20:30:15' || chr(10) || '- Target: ' || {q_display('target')} || chr(10) || '- Decision: ' || decision || chr(10) || '- Confidence: ' || confidence || chr(10) ||
+    '- Time horizon: Long-term' || chr(10) || '- Insufficient evidence: ' || case when insufficient_evidence then 'yes' else 'no' end || chr(10) || chr(10) || '## Reasoning' || chr(10) || reasoning ||
+    case when summary is not null then chr(10) || chr(10) || '## Aggregation Summary' || chr(10) || summary || chr(10) || chr(10) || '- Dominant driver: ' || dominant_driver || chr(10) || '- Net score: ' || net_score || chr(10) || '- Macro score: ' || macro_score || chr(10) || '- Company score: ' || company_score || chr(10) ||
+        '- Sector score: ' || sector_score || chr(10) || '- Market score: ' || market_score else '' end ||
+    case when conflicts <> '' then chr(10) || chr(10) || '## Conflicts' || chr(10) || concat_ws(chr(10), '- ' || c1, '- ' || c2) else '' end || chr(10) || chr(10) || '## Key Risks' || chr(10) ||
+    case when insufficient_evidence then {RISKS_SQL} when conflicts <> '' then concat_ws(chr(10), '- ' || c1, '- ' || c2) else '{reports.NO_RISKS}' end || chr(10) || chr(10) || '## Sources' || chr(10) || case when n_sources > 0 then listed else '{reports.NO_SOURCES}' end ||
+    coalesce(chr(10) || chr(10) || '## Aggregated Events' || chr(10) || events, '') || coalesce(chr(10) || chr(10) || '## Rerank Debug' || chr(10) || ranked, '') || chr(10) as report from recommended"""
+    )
+)
+def q53_report_debug(spark, sf):
+    """Reports of all routes with the aggregated events and the reranked order."""
+    return recommended(spark, sf).select("question_id", reports.report_markdown(F.lit(AT).cast("timestamp"), "target_events", "ranked_candidates").alias("report"))
