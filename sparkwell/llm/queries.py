@@ -7,9 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dup, near_dup, quality_rules
+from . import centroids, embedding_dup, lexical_search, near_dup, quality_rules
 from .bpe_codec import round_trip
 from .common import table
+from .differencing import pack_evenly
 from .lm_scoring import score_documents
 from .packing import pack_documents
 from .pii import pseudonymise, run_secret
@@ -59,6 +60,18 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_differencing_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_evenly(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=1)
+
+
+def op12_max_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op13_hamerly_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"), k=16, rounds=3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_pii_surrogates": op2_pii_surrogates,
@@ -70,10 +83,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_duplicates": op8_embedding_duplicates,
     "op9_toxicity": op9_toxicity,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_differencing_packing": op11_differencing_packing,
+    "op12_max_tree_search": op12_max_tree_search,
+    "op13_hamerly_clusters": op13_hamerly_clusters,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": quality_rules.SQL,
     "op5_near_duplicates": near_dup.SQL,
     "op8_embedding_duplicates": embedding_dup.SQL,
+    "op12_max_tree_search": lexical_search.SQL,
+    "op13_hamerly_clusters": centroids.SQL,
 }
