@@ -16,6 +16,19 @@ QUERY_BLOCK, CORPUS_BLOCK = 8192, 32_768
 SLICE = 2048
 
 
+def usable(vectors: DataFrame, size: int | None = None) -> DataFrame:
+    """Rows with an embedding that can be compared: there, not empty, of ``size`` components if that is given, none null or not finite."""
+    e = F.col("embedding")
+    right = F.size(e) > 0 if size is None else F.size(e) == size
+    return vectors.filter(e.isNotNull() & right & ~F.exists(e, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))))
+
+
+def matrix(lists: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Lists of equal length as rows, in double precision."""
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    return lists.flatten().to_numpy().astype(np.float64).reshape(len(lists), -1)
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(x, axis=1, keepdims=True)
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
@@ -38,28 +51,29 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int = RETRIEVAL_TOP_K) ->
 
     ``corpus``: article_id, embedding; ``queries``: question_id, embedding. All rows are compared: both are dealt into blocks, every
     two blocks meet in one task and give k rows per query, of which the last choice is made by a window per query. Only the
-    numbers of rows come to the driver.
+    numbers of rows come to the driver. Rows whose embedding is null or empty or has a null or non-finite component aren't found
+    and find nothing, and a query meets only rows of its own length.
     """
     blocks = lambda df, most: max(1, -(-df.count() // most))
-    own = queries.select(F.col("question_id").cast("long").alias("id"), "embedding")
-    rows = corpus.select(F.col("article_id").cast("long").alias("id"), "embedding")
+    own = usable(queries.select(F.col("question_id").cast("long").alias("id"), "embedding"))
+    rows = usable(corpus.select(F.col("article_id").cast("long").alias("id"), "embedding"))
     n_queries, n_rows = blocks(own, QUERY_BLOCK), blocks(rows, CORPUS_BLOCK)
     block = lambda n: F.pmod(F.xxhash64("id", F.lit(3)), F.lit(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = own.select(F.lit(True).alias("query"), block(n_queries).alias("q"), all_of(n_rows).alias("c"), "id", "embedding")
-    right = rows.select(F.lit(False).alias("query"), all_of(n_queries).alias("q"), block(n_rows).alias("c"), "id", "embedding")
+    left = own.select(F.lit(True).alias("query"), block(n_queries).alias("q"), all_of(n_rows).alias("c"), F.size("embedding").alias("d"), "id", "embedding")
+    right = rows.select(F.lit(False).alias("query"), all_of(n_queries).alias("q"), block(n_rows).alias("c"), F.size("embedding").alias("d"), "id", "embedding")
 
     def search(pair: pa.Table) -> pa.Table:
         query = pair.column("query").to_numpy()
-        ids, vectors = pair.column("id").to_numpy(), pair.column("embedding").to_pylist()
+        ids, vectors = pair.column("id").to_numpy(), matrix(pair.column("embedding"))
         asked, there = np.flatnonzero(query), np.flatnonzero(~query)
         found = {"question_id": np.empty(0, np.int64), "article_id": np.empty(0, np.int64), "distance": np.empty(0)}
         if len(asked) and len(there):
-            unit = _unit(np.array([vectors[i] for i in asked], np.float64))
+            unit = _unit(vectors[asked])
             best_ids, best = np.empty((len(asked), 0), np.int64), np.empty((len(asked), 0))
             for at in range(0, len(there), SLICE):
                 some = there[at : at + SLICE]
-                far = np.maximum(0.0, 1 - unit @ _unit(np.array([vectors[i] for i in some], np.float64)).T)
+                far = np.maximum(0.0, 1 - unit @ _unit(vectors[some]).T)
                 own_ids, own = _nearest_in(ids[some], far, k)
                 best_ids, best = np.c_[best_ids, own_ids], np.c_[best, own]
                 if best.shape[1] > k:
@@ -68,7 +82,7 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int = RETRIEVAL_TOP_K) ->
             found = {"question_id": np.repeat(ids[asked], best.shape[1]), "article_id": best_ids.reshape(-1), "distance": best.reshape(-1)}
         return pa.table(found)
 
-    found = left.unionByName(right).groupBy("q", "c").applyInArrow(search, "question_id long, article_id long, distance double")
+    found = left.unionByName(right).groupBy("q", "c", "d").applyInArrow(search, "question_id long, article_id long, distance double")
     rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.round("distance", 12), "article_id"))
     return found.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k)
 

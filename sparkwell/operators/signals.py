@@ -44,15 +44,21 @@ def match_events(targets: DataFrame, events: DataFrame, also_on: list[str] | Non
     """Events relevant to each target, with ``match``: ``target`` or ``market`` (a general-market event for another target).
 
     General-market events go to every target, so this is for what needs the events themselves; sums are to be had from
-    :func:`aggregate_targets`, which doesn't multiply them. ``also_on`` are columns that must agree, too.
+    :func:`aggregate_targets`, which doesn't multiply them. ``also_on`` are columns that must agree, too. Without them, a task holds
+    all targets beside its share of the events.
     """
     also_on = also_on or []
     t, e = _targets(targets, also_on), events.withColumn("_a", normalize_target(F.col("affected_asset")))
     label = F.when(F.col("_t") == GENERAL_SLUG, "target").otherwise("market")
-    # targets are few beside events: each event takes the list of them that agrees in ``also_on``
-    lists = t.groupBy(F.lit(0).alias("_one"), *also_on).agg(F.collect_list(F.struct("target", "_t")).alias("_all"))
-    wide = e.filter(F.col("_a") == GENERAL_SLUG).withColumn("_one", F.lit(0)).join(lists, ["_one", *also_on]).withColumn("_x", F.explode("_all"))
-    wide = wide.withColumns({"target": F.col("_x.target"), "_t": F.col("_x._t")}).drop("_one", "_all", "_x").withColumn("match", label)
+    general = e.filter(F.col("_a") == GENERAL_SLUG)
+    if also_on:
+        wide = general.join(t, also_on)
+    else:
+        # events stay in one place each: they are dealt by a salt, and every salt gets all targets, which are the short side
+        salts = int(e.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        every = t.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        wide = general.withColumn("_salt", F.pmod(F.xxhash64("event_id"), F.lit(salts)).cast("int")).join(every.hint("shuffle_hash"), "_salt").drop("_salt")
+    wide = wide.withColumn("match", label)
     return _own_events(t, e, also_on).unionByName(wide).drop("_a", "_t").withColumn("score", score())
 
 
