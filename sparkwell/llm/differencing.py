@@ -38,6 +38,8 @@ def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
         return np.zeros(n, np.int64)
     heap = [(-int(x), i) for i, x in enumerate(sizes)]
     heapq.heapify(heap)
+    bits = k.bit_length()
+    numbers = np.arange(k)
     parts: dict[int, np.ndarray] = {}  # falling sums less the least of them, of merged partitions
     made: list[tuple[int, int, np.ndarray]] = []
 
@@ -52,9 +54,10 @@ def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
     while len(heap) > 1:
         a, x = take()
         b, y = take()
-        both = x + y[::-1]
-        order = np.argsort(-both, kind="stable")
-        both = both[order]
+        # falling sums; the part's number in the low bits makes all keys different, so that any sort gives one order
+        keyed = np.sort((x + y[::-1] << bits) + numbers)[::-1]
+        order = keyed & (1 << bits) - 1
+        both = keyed >> bits
         both -= both[-1]
         parts[n + len(made)] = both
         heapq.heappush(heap, (-int(both[0]), n + len(made)))
@@ -114,11 +117,11 @@ def windows_of(lengths: np.ndarray, doc_tokens: np.ndarray, capacity: int) -> tu
         k = least
         while share >= 1 or not share or k <= least + RISE:
             window = differencing(sums, k)
-            full = np.bincount(window, weights=sums, minlength=k)
-            over = np.maximum(full - capacity, 0).sum()
-            if not over:
+            over = int(np.bincount(window, weights=sums, minlength=k).max()) - capacity
+            if over <= 0:
                 return own, size, window[bundle]
-            k += max(1, int(over) // (2 * capacity))
+            # parts are near equal, so each further window takes capacity / k from all
+            k += max(1, over * k // (2 * capacity))
         share = min(1.0, 2 * share)
 
 
