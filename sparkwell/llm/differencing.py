@@ -21,6 +21,8 @@ from .word_encoder import WordEncoder
 
 #: Windows of a block, the share of its tokens that is cut into fine pieces at first, their greatest and least length.
 WINDOWS, FINE_SHARE, FINE, LEAST = 256, 0.2, 256, 16
+#: One token in so many is left free at first where a block has 100 windows or more, as fewer hardly ever do.
+SPARE = 500
 #: Neighbours with this many tokens together at most are moved as one.
 BUNDLE = 32
 #: By so many the windows of a block may become more before more of its documents are cut.
@@ -114,7 +116,7 @@ def windows_of(lengths: np.ndarray, doc_tokens: np.ndarray, capacity: int) -> tu
         size = np.array([x for p in pieces for x in p], np.int64)
         bundle = _bundles(size)
         sums = np.bincount(bundle, weights=size).astype(np.int64)
-        k = least
+        k = least if least < 100 else -(-(total + total // SPARE) // capacity)
         while share >= 1 or not share or k <= least + RISE:
             window = differencing(sums, k)
             over = int(np.bincount(window, weights=sums, minlength=k).max()) - capacity
