@@ -70,7 +70,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> list[str]:
         return [found.select(reports.answer_text(ranked).alias("t")).first()["t"]]
     found = recommend.recommend(asked.withColumnRenamed("question", "target"), hits, db.events.read(), args.top_k, args.retrieval_top_k).persist()
     paths = reports.write_reports(found, args.reports, now, shown, ranked)
-    return [found.select(reports.recommendation_text(shown, ranked).alias("t")).first()["t"], "", f"Report: {paths[0]}"]
+    return [found.select(reports.recommendation_text(shown, ranked).alias("t")).first()["t"], "", f"Report: {paths.first()['path']}"]
 
 
 def main(argv: list[str] | None = None) -> int:

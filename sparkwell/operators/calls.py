@@ -19,9 +19,11 @@ from pyspark.sql import types as T
 
 from ..functions.text import clean
 from . import validation
+from .ledger import Ledger
 from .models import EVENT_KEYS, identified
 from .prompts import answer_requests, article_request, recommendation_requests, rerank_requests
 from .retrieval import candidate_error, rerank_error
+from .tables import work_dir
 
 RERANK_REPLY = "ranked_candidates array<struct<candidate_id: string, reason: string>>"
 _POINTS = "array<struct<text: string, citations: array<bigint>>>"
@@ -98,12 +100,14 @@ class HttpEmbedder(HttpService):
 Make = Callable[[], Client]
 
 
-def call(requests: DataFrame, rules: str, form: str, make: Make, refused: Column | None = None) -> DataFrame:
+def call(requests: DataFrame, rules: str, form: str, make: Make, refused: Column | None = None, ledger: Ledger | None = None) -> DataFrame:
     """``requests`` with reply (a struct of ``form``, null on failure) and error. Where ``refused`` gives a reason, the model isn't asked.
 
-    Tasks that are repeated call again, so results should be written before they are used twice.
+    With a ``ledger`` the model is asked here and now, once for equal requests, and what it holds already isn't asked again. Without one,
+    tasks that are repeated call again, so results should be written before they are used twice.
     """
-
+    if ledger is not None:
+        return _parsed(_from_ledger(requests, rules, form, make, refused, ledger), form)
     requests = requests.withColumn("error", F.lit(None).cast("string") if refused is None else refused)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,31 +131,50 @@ def call(requests: DataFrame, rules: str, form: str, make: Make, refused: Column
 
     text = T.StringType()
     called = requests.mapInArrow(run, T.StructType([*requests.schema.fields[:-1], T.StructField("_raw", text), T.StructField("error", text)]))
-    parsed = F.get_json_object("_raw", "$").isNotNull()
+    return _parsed(called, form)
+
+
+def _parsed(called: DataFrame, form: str) -> DataFrame:
+    parsed = F.coalesce(F.get_json_object("_raw", "$").isNotNull(), F.lit(False))
     error = F.coalesce("error", F.when(~parsed, F.lit("Model returned no parsed reply")))
     return called.withColumn("reply", F.when(parsed, F.from_json("_raw", form))).withColumn("error", error).drop("_raw")
 
 
-def summarise(articles: DataFrame, make: Make) -> DataFrame:
+def _from_ledger(requests: DataFrame, rules: str, form: str, make: Make, refused: Column | None, ledger: Ledger) -> DataFrame:
+    own = requests.withColumn("_refused", F.lit(None).cast("string") if refused is None else refused).withColumn("_key", ledger.key(rules, form, F.col("request")))
+    at = f"{work_dir(requests.sparkSession)}-requests"
+    own.write.parquet(at)
+    own = requests.sparkSession.read.parquet(at)
+
+    def answering() -> Callable[[str], str]:
+        client = make()
+        return lambda request: client.complete(rules, request, form)
+
+    replies = ledger.ask(own.filter("_refused is null").select(F.col("_key").alias("key"), "request"), answering)
+    joined = own.join(replies.withColumnsRenamed({"key": "_key", "raw": "_raw"}), "_key", "left")
+    return joined.withColumn("_raw", F.when(F.col("_refused").isNull(), F.col("_raw"))).withColumn("error", F.coalesce("_refused", "error")).drop("_refused", "_key")
+
+
+def summarise(articles: DataFrame, make: Make, ledger: Ledger | None = None) -> DataFrame:
     """article_id, bullets and error of each article (article_id, url, title, description, content)."""
-    got = call(articles.select("article_id", article_request().alias("request")), SUMMARY_RULES, SUMMARY_REPLY, make)
+    got = call(articles.select("article_id", article_request().alias("request")), SUMMARY_RULES, SUMMARY_REPLY, make, ledger=ledger)
     return got.select("article_id", F.col("reply.bullets").alias("bullets"), "error")
 
 
-def structured(articles: DataFrame, make: Make) -> DataFrame:
+def structured(articles: DataFrame, make: Make, ledger: Ledger | None = None) -> DataFrame:
     """Events of each article, as :func:`models.structured` gives them; an article whose call failed has one row with its error."""
-    got = call(articles.select("article_id", article_request().alias("request")), EVENT_RULES, EVENTS_REPLY, make)
+    got = call(articles.select("article_id", article_request().alias("request")), EVENT_RULES, EVENTS_REPLY, make, ledger=ledger)
     got = got.withColumn("error", F.coalesce("error", F.when(F.col("reply.events").isNull(), "no events in the reply")))
     events = F.when(F.col("error").isNull(), F.col("reply.events")).otherwise(F.array(F.lit(None).cast(got.schema["reply"].dataType["events"].dataType.elementType)))
     rows = got.select("article_id", "error", F.posexplode(events).alias("place", "e"))
     return identified(rows.select("article_id", F.col("place").cast("long").alias("place"), *[F.col(f"e.{k}").alias(k) for k in EVENT_KEYS], "error"))
 
 
-def rerank(candidates: DataFrame, questions: DataFrame, make: Make) -> DataFrame:
+def rerank(candidates: DataFrame, questions: DataFrame, make: Make, ledger: Ledger | None = None) -> DataFrame:
     """question_id, ranked (candidate ids in their new order), ranked_candidates (with reasons) and error: the order must be a permutation. Blank questions and incomplete candidates are not sent."""
     own = rerank_requests(candidates, questions)
     invalid = F.get(F.array_compact(F.transform("candidates", candidate_error)), F.lit(0))
-    got = call(own, RERANK_RULES, RERANK_REPLY, make, F.coalesce(validation.question_error(F.col("question")), invalid))
+    got = call(own, RERANK_RULES, RERANK_REPLY, make, F.coalesce(validation.question_error(F.col("question")), invalid), ledger)
     items = F.transform("reply.ranked_candidates", lambda c: F.struct(clean(c["candidate_id"]).alias("candidate_id"), clean(c["reason"]).alias("reason")))
     own = got.withColumn("ranked_candidates", items).withColumn("ranked", F.transform("ranked_candidates", lambda c: c["candidate_id"]))
     blank = F.when(F.col("ranked").isNull(), "no ranked candidates").when(F.exists("ranked_candidates", lambda c: (c["candidate_id"] == "") | (c["reason"] == "")), "empty candidate_id or reason")
@@ -159,16 +182,16 @@ def rerank(candidates: DataFrame, questions: DataFrame, make: Make) -> DataFrame
     return own.select("question_id", "ranked", "ranked_candidates", F.coalesce("error", blank, rerank_error(expected, F.col("ranked"))).alias("error"))
 
 
-def answer(evidence: DataFrame, questions: DataFrame, make: Make) -> DataFrame:
+def answer(evidence: DataFrame, questions: DataFrame, make: Make, ledger: Ledger | None = None) -> DataFrame:
     """question_id, the columns of an answer and error; citations must be among the answer's own sources."""
-    got = call(answer_requests(evidence, questions), ANSWER_RULES, ANSWER_REPLY, make, validation.question_error(F.col("question"))).select("question_id", "reply.*", "error")
+    got = call(answer_requests(evidence, questions), ANSWER_RULES, ANSWER_REPLY, make, validation.question_error(F.col("question")), ledger).select("question_id", "reply.*", "error")
     points = F.concat(F.coalesce("supporting_points", F.array().cast(_POINTS)), F.coalesce("counter_points", F.array().cast(_POINTS)))
     return got.withColumn("error", F.coalesce("error", validation.answer_error(points), validation.citation_error(points, F.col("sources"))))
 
 
-def decide(aggregated: DataFrame, evidence: DataFrame, make: Make) -> DataFrame:
+def decide(aggregated: DataFrame, evidence: DataFrame, make: Make, ledger: Ledger | None = None) -> DataFrame:
     """``aggregated`` with the columns of a decision and error; risks are cleaned, what the model says of the aggregation isn't asked for."""
     columns = [c for c in aggregated.columns if c not in ("decision", "confidence", "time_horizon", "reasoning", "key_risks", "insufficient_evidence", "sources")]
     own = recommendation_requests(aggregated.select(columns), evidence)
-    got = call(own, DECISION_RULES, DECISION_REPLY, make, validation.aggregation_error()).select(*columns, "reply.*", "error")
+    got = call(own, DECISION_RULES, DECISION_REPLY, make, validation.aggregation_error(), ledger).select(*columns, "reply.*", "error")
     return got.withColumn("error", F.coalesce("error", validation.recommendation_error())).withColumn("key_risks", validation.clean_risks(F.col("key_risks")))

@@ -47,16 +47,21 @@ def numbered(rows: DataFrame, order: str, name: str, start: int = 0) -> DataFram
     return ranged.join(starts, "_range").withColumn(name, (nth + F.col("_before") + start).cast("long")).drop("_range", "_before")
 
 
-def insert_or_skip(existing: DataFrame, new: DataFrame, order: str) -> DataFrame:
-    """The rows of ``new`` that are stored, with an article_id each: no null where one is needed, an unknown url, the first of equal urls in ``order``.
-
-    Ids go on from the greatest there is; skipped rows take none.
-    """
+def unknown_rows(existing: DataFrame, new: DataFrame, order: str) -> DataFrame:
+    """The rows of ``new`` that are to be stored: no null where a value is needed, an unknown url, the first of equal urls in ``order``."""
     whole = [c for c in REQUIRED if c in new.columns]
     first = new.filter(" and ".join(f"{c} is not null" for c in whole)).withColumn("_nth", F.row_number().over(Window.partitionBy("url").orderBy(order))).filter("_nth = 1").drop("_nth")
-    fresh = first.join(existing.select("url"), "url", "left_anti")
-    greatest = existing.agg(F.max("article_id")).first()[0] or 0
-    return numbered(fresh, order, "article_id", greatest)
+    return first.join(existing.select("url"), "url", "left_anti")
+
+
+def insert_or_skip(existing: DataFrame, new: DataFrame, order: str, greatest: int | None = None) -> DataFrame:
+    """:func:`unknown_rows` with an article_id each; skipped rows take none.
+
+    Ids go on from ``greatest``, the last that was ever given, without it from the greatest there is.
+    """
+    if greatest is None:
+        greatest = existing.agg(F.max("article_id")).first()[0] or 0
+    return numbered(unknown_rows(existing, new, order), order, "article_id", greatest)
 
 
 def ingest_stats(events: DataFrame, saved: DataFrame, summarise: bool = True) -> DataFrame:

@@ -58,10 +58,22 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int = RETRIEVAL_TOP_K) ->
     own = usable(queries.select(F.col("question_id").cast("long").alias("id"), "embedding"))
     rows = usable(corpus.select(F.col("article_id").cast("long").alias("id"), "embedding"))
     n_queries, n_rows = blocks(own, QUERY_BLOCK), blocks(rows, CORPUS_BLOCK)
-    block = lambda n: F.pmod(F.xxhash64("id", F.lit(3)), F.lit(n)).cast("int")
-    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = own.select(F.lit(True).alias("query"), block(n_queries).alias("q"), all_of(n_rows).alias("c"), F.size("embedding").alias("d"), "id", "embedding")
-    right = rows.select(F.lit(False).alias("query"), all_of(n_queries).alias("q"), block(n_rows).alias("c"), F.size("embedding").alias("d"), "id", "embedding")
+    left = own.select("id", "embedding", _block(n_queries).alias("q"), _all_of(n_rows).alias("c"), F.size("embedding").alias("d"))
+    right = rows.select("id", "embedding", _all_of(n_queries).alias("q"), _block(n_rows).alias("c"), F.size("embedding").alias("d"))
+    return best_of(left, right, ["q", "c", "d"], k)
+
+
+def _block(n: int | Column) -> Column:
+    """One of ``n`` blocks."""
+    return F.pmod(F.xxhash64("id", F.lit(3)), F.lit(n) if isinstance(n, int) else n).cast("int")
+
+
+def _all_of(n: int | Column) -> Column:
+    return F.explode(F.sequence(F.lit(0), (F.lit(n) if isinstance(n, int) else n).cast("int") - 1))
+
+
+def best_of(queries: DataFrame, rows: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """The k nearest rows of each query among those that meet it: id, embedding and ``keys``, by which they are grouped. A task holds a group."""
 
     def search(pair: pa.Table) -> pa.Table:
         query = pair.column("query").to_numpy()
@@ -82,7 +94,8 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int = RETRIEVAL_TOP_K) ->
             found = {"question_id": np.repeat(ids[asked], best.shape[1]), "article_id": best_ids.reshape(-1), "distance": best.reshape(-1)}
         return pa.table(found)
 
-    found = left.unionByName(right).groupBy("q", "c", "d").applyInArrow(search, "question_id long, article_id long, distance double")
+    both = queries.withColumn("query", F.lit(True)).unionByName(rows.withColumn("query", F.lit(False)))
+    found = both.groupBy(*keys).applyInArrow(search, "question_id long, article_id long, distance double")
     rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.round("distance", 12), "article_id"))
     return found.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k)
 

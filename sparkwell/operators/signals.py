@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import display_target, normalize_target, target_token, tokens
@@ -127,5 +127,14 @@ def aggregate_targets(targets: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def ordered_events(matched: DataFrame) -> DataFrame:
-    """Matched events in the order of target, structured_at and event_id, sorted by ranges."""
-    return matched.orderBy("target", "structured_at", "event_id")
+    """Matched events in the order of target, structured_at and event_id, sorted by ranges, with their ``place`` (from 1) among the target's.
+
+    Hours of a target are numbered apart, and a table of counts by hour gives each its start, so no task sees a target's events.
+    """
+    hourly = matched.withColumn("_hour", F.date_trunc("hour", "structured_at"))
+    before = Window.partitionBy("target").orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    starts = hourly.groupBy("target", "_hour").agg(F.count(F.lit(1)).alias("_n")).select("target", "_hour", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    nth = F.row_number().over(Window.partitionBy("target", "_hour").orderBy("structured_at", "event_id"))
+    same = starts.withColumnsRenamed({"target": "_target", "_hour": "_of"})
+    placed = hourly.withColumn("_nth", nth).join(same, (F.col("target") == F.col("_target")) & F.col("_hour").eqNullSafe(F.col("_of")))
+    return placed.withColumn("place", (F.col("_nth") + F.col("_before")).cast("long")).drop("_nth", "_before", "_hour", "_target", "_of").orderBy("target", "structured_at", "event_id")

@@ -1,13 +1,9 @@
-"""Article and event tables: reads, backlogs and changes. Changes give a new state of a table; SnapshotTable keeps states on disk."""
+"""Article and event tables: reads, backlogs and changes. Changes give a new state of a table; ``tables`` keeps states on disk."""
 
 from __future__ import annotations
 
-import json
-from dataclasses import dataclass
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def newest_first(articles: DataFrame, limit: int | None = None, source: str | None = None) -> DataFrame:
@@ -17,9 +13,13 @@ def newest_first(articles: DataFrame, limit: int | None = None, source: str | No
     return own if limit is None or limit < 0 else own.limit(limit)
 
 
-def missing_summary(articles: DataFrame) -> DataFrame:
+def no_summary() -> Column:
     """No summary, or one of spaces alone."""
-    return articles.filter(F.col("summary").isNull() | (F.trim("summary") == ""))
+    return F.col("summary").isNull() | (F.trim("summary") == "")
+
+
+def missing_summary(articles: DataFrame) -> DataFrame:
+    return articles.filter(no_summary())
 
 
 def unstructured(articles: DataFrame, events: DataFrame) -> DataFrame:
@@ -32,31 +32,6 @@ def structuring_backlog(articles: DataFrame, events: DataFrame, limit: int | Non
     return unstructured(newest_first(articles, limit, source), events)
 
 
-def events_of(events: DataFrame, article_id: int) -> DataFrame:
-    return events.filter(F.col("article_id") == article_id).orderBy("structured_at", "event_id")
-
-
-def by_id(articles: DataFrame, article_id: int) -> DataFrame:
-    """The article with this id, or no row."""
-    return articles.filter(F.col("article_id") == article_id)
-
-
-def by_url(articles: DataFrame, url: str) -> DataFrame:
-    """The article with this url, or no row."""
-    return articles.filter(F.col("url") == url)
-
-
-def delete_events(events: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The events that are left when those of the given articles go, and how many went (``deleted``, one row)."""
-    gone = events.join(ids.select("article_id").distinct(), "article_id", "left_semi")
-    return events.join(ids.select("article_id"), "article_id", "left_anti"), gone.agg(F.count(F.lit(1)).alias("deleted"))
-
-
-def repeated_events(events: DataFrame) -> DataFrame:
-    """Event ids that stand on more than one row; a table of events has none."""
-    return events.groupBy("event_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-
-
 def update_summaries(articles: DataFrame, updates: DataFrame) -> DataFrame:
     """``updates``: article_id and summary, one row per article. The column ``updated`` tells which rows were met."""
     new = updates.select("article_id", F.struct("summary").alias("_new"))
@@ -71,45 +46,3 @@ def delete_articles(articles: DataFrame, events: DataFrame, ids: DataFrame) -> t
 def replace_events(events: DataFrame, new: DataFrame) -> DataFrame:
     """The events of all articles in ``new`` are replaced by those in ``new``."""
     return events.join(new.select("article_id").distinct(), "article_id", "left_anti").unionByName(new)
-
-
-@dataclass(frozen=True)
-class SnapshotTable:
-    """States of a table in numbered folders, and a pointer to the current one that is replaced by a rename.
-
-    Readers take the pointer once and are not disturbed by later writes. One writer at a time is assumed.
-    """
-
-    spark: SparkSession
-    path: str
-    schema: T.StructType
-
-    def _fs(self):  # noqa: ANN202
-        jvm = self.spark.sparkContext._jvm
-        pointer = jvm.org.apache.hadoop.fs.Path(f"{self.path}/CURRENT")
-        return jvm, pointer, pointer.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def version(self) -> int:
-        _, pointer, fs = self._fs()
-        if not fs.exists(pointer):
-            return 0
-        return json.loads(self.spark.read.text(f"{self.path}/CURRENT").first()[0])["version"]
-
-    def read(self) -> DataFrame:
-        n = self.version()
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{n}") if n else self.spark.createDataFrame([], self.schema)
-
-    def write(self, state: DataFrame) -> int:
-        """The next state; it is complete before the pointer names it."""
-        n = self.version() + 1
-        columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema]
-        state.select(columns).write.mode("overwrite").parquet(f"{self.path}/v{n}")
-        jvm, pointer, fs = self._fs()
-        draft = jvm.org.apache.hadoop.fs.Path(f"{self.path}/CURRENT.{n}")
-        out = fs.create(draft, True)
-        out.write(json.dumps({"version": n}).encode())
-        out.close()
-        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        jvm.org.apache.hadoop.fs.FileContext.getFileContext(pointer.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(draft, pointer, options)
-        return n

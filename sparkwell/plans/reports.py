@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Iterator
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import display_target, iso, render_citations, report_filename, rstrip, yes_no
+from ..sources.documents import write_documents
 
 # What stands where a list is empty. The heads and labels below are fixed, too.
 NO_RISKS = "- No specific additional risks were surfaced beyond the evidence limits."
@@ -92,26 +91,15 @@ def report_markdown(generated_at: Column, events: str | None = None, ranked: str
     return F.concat(F.regexp_replace(body, r"^\s+|\s+$", ""), F.lit("\n"))
 
 
-def write_reports(recommendations: DataFrame, folder: str, generated_at: Column, events: str | None = None, ranked: str | None = None) -> list[str]:
-    """A Markdown file per recommendation, written by the tasks; the paths. ``folder`` is one that all executors share.
+def write_reports(recommendations: DataFrame, folder: str, generated_at: Column, events: str | None = None, ranked: str | None = None) -> DataFrame:
+    """A Markdown file per recommendation, written by the tasks and put in place when all are done; target and path of each.
 
-    Targets are normalised into names, so two with one name and time write one file, as they do where a later report follows.
+    Targets are normalised into names, so those with one name and time have one file, that of the last text in their order.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.makedirs(folder, exist_ok=True)
-        for b in batches:
-            paths = [os.path.join(folder, name) for name in b.column("name").to_pylist()]
-            for path, text in zip(paths, b.column("text").to_pylist(), strict=True):
-                # a repeated task replaces its file at once
-                draft = f"{path}.{os.getpid()}"
-                with open(draft, "w", encoding="utf-8") as f:
-                    f.write(text)
-                os.replace(draft, path)
-            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string())], ["path"])
-
-    texts = recommendations.select(report_filename(F.col("target"), generated_at).alias("name"), report_markdown(generated_at, events, ranked).alias("text"))
-    return [r["path"] for r in texts.mapInArrow(run, "path string").collect()]
+    name = report_filename(F.col("target"), generated_at)
+    texts = recommendations.select(name.alias("name"), report_markdown(generated_at, events, ranked).alias("text"))
+    write_documents(texts.groupBy("name").agg(F.max("text").alias("text")), folder)
+    return recommendations.select("target", F.concat(F.lit(folder.rstrip("/") + "/"), name).alias("path"))
 
 
 def batch_json(events: DataFrame, batch_id: str, created_at: str) -> DataFrame:
@@ -119,6 +107,27 @@ def batch_json(events: DataFrame, batch_id: str, created_at: str) -> DataFrame:
     return events.select(F.to_json(F.struct(F.lit(batch_id).alias("batch_id"), F.lit(created_at).alias("created_at"), *[F.col(c) for c in events.columns])).alias("value"))
 
 
+def batch_rows(events: DataFrame) -> DataFrame:
+    """The rows of a JSON document per batch_id (name, place and text): batch_id, created_at and the array ``events`` in the order of their ids.
+
+    ``events`` have batch_id, created_at (one per batch) and id; the other columns go into the array as well.
+    """
+    columns = [c for c in events.columns if c not in ("batch_id", "created_at")]
+    nth = F.row_number().over(Window.partitionBy("batch_id").orderBy("id"))
+    name = F.concat(F.col("batch_id"), F.lit(".json"))
+    rows = events.select(name.alias("name"), nth.cast("long").alias("place"), F.concat(F.when(nth > 1, ",").otherwise(""), F.lit("\n    "), F.to_json(F.struct(*columns))).alias("text"))
+    batches = events.groupBy("batch_id").agg(F.min("created_at").alias("created_at"), F.count(F.lit(1)).alias("_n"))
+    quoted = lambda c: F.regexp_extract(F.to_json(F.struct(F.col(c).alias("v"))), r"^\{\"v\":(.*)\}$", 1)
+    head = batches.select(name.alias("name"), F.lit(0).cast("long").alias("place"), F.concat(F.lit('{\n  "batch_id": '), quoted("batch_id"), F.lit(',\n  "created_at": '), quoted("created_at"), F.lit(',\n  "events": [')).alias("text"))
+    tail = batches.select(name.alias("name"), (F.col("_n") + 1).alias("place"), F.lit("\n  ]\n}\n").alias("text"))
+    return rows.unionByName(head).unionByName(tail)
+
+
+def write_batches(events: DataFrame, folder: str) -> None:
+    """A JSON document per batch, see :func:`batch_rows`."""
+    write_documents(batch_rows(events), folder)
+
+
 def batch_document(events: DataFrame, batch_id: str, created_at: str) -> Iterator[str]:
     """The lines of one JSON document with batch_id, created_at and the array ``events``; rows come to the driver one partition at a time."""
     yield f'{{\n  "batch_id": {json.dumps(batch_id)},\n  "created_at": {json.dumps(created_at)},\n  "events": ['

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as X
 from .operators import events as E
-from .operators import models, retrieval, signals, store, validation
+from .operators import constraints, models, retrieval, signals, store, tables, validation
+from .operators.cells import CellIndex
+from .plans import ingest as flows
 from .plans import recommend, reports
+from .schema import STRUCTURED_EVENTS
 from .sources import collect, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -264,17 +268,43 @@ def q11_count_articles(spark, sf):
     return views.articles(spark, sf).agg(F.count(F.lit(1)).alias("n"))
 
 
+class Excerpts(models.OfflineProvider):
+    """Summaries that never fail."""
+
+    def summarise(self, title: str, description: str, content: str) -> list[str]:
+        return [f"Title of {len(title)} characters", f"Description of {len(description)} characters", f"Text of {len(content)} characters"]
+
+
+def figures(spark: SparkSession, found: dict[str, int]) -> DataFrame:
+    return spark.createDataFrame([tuple(found.values())], ", ".join(f"{k} long" for k in found))
+
+
+def opened(spark: SparkSession) -> flows.Store:
+    """An empty store in the shared folder."""
+    return flows.Store.open(spark, tables.work_dir(spark))
+
+
+def stored_articles(spark: SparkSession, sf: str) -> flows.Store:
+    db = opened(spark)
+    db.articles.append(views.articles(spark, sf).withColumn("fetched_at", F.col("published_at")))
+    return db
+
+
+def full_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Signals with all columns of stored events."""
+    return views.signals(spark, sf).select("*", F.lit("why").alias("reasoning"), F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("evidence_excerpt")).withColumn("event_id", F.col("event_id").cast("string"))
+
+
 @query(with_views("select count(*)::bigint as total, count(distinct source || content)::bigint as saved, count(distinct source || content)::bigint as summarized, count(distinct source || content)::bigint as indexed, (count(*) - count(distinct source || content))::bigint as skipped from articles_v where source <> 'rss' and length(content) >= 50"))
 def q12_ingest_stats(spark, sf):
-    valid = E.validate(raw_events(spark, sf))[0]
-    saved = E.insert_or_skip(spark.createDataFrame([], "article_id long, url string"), E.to_articles(valid.withColumnRenamed("article_id", "ord").withColumnRenamed("published_at", "at"), F.md5("raw_text"), F.col("at")), "ord")
-    return E.ingest_stats(valid, saved)
+    """The flow itself: everything is validated, inserted, summarised and indexed, and the figures are observed on the writes."""
+    raw = raw_events(spark, sf).withColumnRenamed("article_id", "row_ord")
+    return figures(spark, flows.ingest(opened(spark), raw, F.col("published_at"), event_id=F.md5("raw_text"), make=Excerpts))
 
 
 @query(with_views("select count(*)::bigint as total_candidates, count(*) filter (summary is null or trim(summary) = '')::bigint as processed, count(*) filter (summary is null or trim(summary) = '')::bigint as indexed, count(*) filter (trim(summary) <> '')::bigint as skipped from articles_v"))
 def q13_summarize_stats(spark, sf):
-    missing = F.col("summary").isNull() | (F.trim("summary") == "")
-    return views.articles(spark, sf).agg(F.count(F.lit(1)).alias("total_candidates"), F.count_if(missing).alias("processed"), F.count_if(missing).alias("indexed"), F.count_if(~missing).alias("skipped"))
+    return figures(spark, flows.summarise_stored(stored_articles(spark, sf), make=Excerpts))
 
 
 LEXICON = {"the": "Positive", "und": "Negative", "que": "Neutral", "les": "Positive"}
@@ -285,14 +315,12 @@ LEXICON = {"the": "Positive", "und": "Negative", "que": "Neutral", "les": "Posit
 , newest as (select * from articles_v order by published_at desc, article_id limit 500),
 backlog as (select * from newest where article_id not in (select article_id from signals_v)),
 words as (select article_id, regexp_extract_all(lower(content), '[a-z]+') as w from backlog)
-select (select count(*) from backlog)::bigint as processed, (select coalesce(sum(len([x for x in ['the', 'und', 'que', 'les'] if list_contains(w, x)])), 0) from words)::bigint as created, ((select count(*) from newest) - (select count(*) from backlog))::bigint as skipped""")
+select (select count(*) from backlog)::bigint as processed, (select coalesce(sum(len([x for x in ['the', 'und', 'que', 'les'] if list_contains(w, x)])), 0) from words)::bigint as created, ((select count(*) from newest) - (select count(*) from backlog))::bigint as skipped, 0::bigint as failures""")
 )
 def q14_structuring_stats(spark, sf):
-    newest = store.newest_first(views.articles(spark, sf), 500)
-    backlog = store.unstructured(newest, views.signals(spark, sf))
-    created = models.structured(backlog, lambda: models.OfflineProvider(LEXICON)).agg(F.count(F.lit(1)).alias("created"))
-    counts = backlog.agg(F.count(F.lit(1)).alias("processed")).unionByName(newest.agg(F.count(F.lit(1)).alias("seen")), allowMissingColumns=True).unionByName(created, allowMissingColumns=True)
-    return counts.agg(F.sum("processed").alias("processed"), F.sum("created").alias("created"), (F.sum("seen") - F.sum("processed")).alias("skipped"))
+    db = stored_articles(spark, sf)
+    db.events.append(full_events(spark, sf))
+    return figures(spark, flows.structure_stored(db, F.lit(AT).cast("timestamp"), limit=500, make=lambda: models.OfflineProvider(LEXICON)))
 
 
 @query(with_views("select article_id, case when article_id % 3 = 0 then 'updated ' || article_id else summary end as summary, article_id % 3 = 0 as updated from articles_v"))
@@ -410,9 +438,9 @@ def q33_aggregation_summary(spark, sf):
     return scores(spark, sf).select("target", "summary")
 
 
-@query(with_views(MATCH_SQL + " select target, event_id, structured_at, score, match from own"))
+@query(with_views(MATCH_SQL + " select target, row_number() over (partition by target order by structured_at, event_id) as place, event_id, structured_at, score, match from own"))
 def q34_target_events_ordered(spark, sf):
-    return signals.ordered_events(matched(spark, sf)).select("target", "event_id", "structured_at", "score", "match")
+    return signals.ordered_events(matched(spark, sf)).select("target", "place", "event_id", "structured_at", "score", "match")
 
 
 @query(with_views(AGG_SQL + f" select target, case when target = '' then 'no_evidence' when net_score is null then 'no_signals' when target_specific_event_count = 0 and {q_target('target')} <> 'general-market' then 'market_only' else 'decide' end as route from {TARGETS_SQL} left join sums using (target)"))
@@ -444,9 +472,16 @@ def q38_bullet_render(spark, sf):
     return views.articles(spark, sf).select("article_id", X.render_bullets(given).alias("bullets"))
 
 
-@query(with_views(f"select target, {q_display('target')} as shown, '2026-05-10_203015_' || case when {q_target('target')} = 'general-market' then 'general-market' else coalesce(nullif(upper(trim(regexp_replace({q_strip('target')}, '[^A-Za-z0-9]+', '-', 'g'), '-')), ''), 'TARGET') end || '.md' as filename from {TARGETS_SQL}"))
+NAMED_SQL = ", named as (select distinct target from (select affected_asset as target from signals_v union all select '  ' || p_name || chr(9) from part union all select p_type from part union all select n_name from nation))"
+
+
+@query(with_views(NAMED_SQL + f" select target, {q_display('target')} as shown, {q_target('target')} as slug, '2026-05-10_203015_' || case when {q_target('target')} = 'general-market' then 'general-market' else coalesce(nullif(upper(trim(regexp_replace({q_strip('target')}, '[^A-Za-z0-9]+', '-', 'g'), '-')), ''), 'TARGET') end || '.md' as filename from named"))
 def q39_filename_and_display(spark, sf):
-    return targets(spark).select("target", X.display_target(F.col("target")).alias("shown"), X.report_filename(F.col("target"), F.lit(AT).cast("timestamp")).alias("filename"))
+    """Of all assets that events name, and of the names of parts and nations."""
+    part, name = views.table(spark, sf, "part"), lambda c: F.col(c).alias("target")
+    parts = [views.signals(spark, sf).select(name("affected_asset")), part.select(F.concat(F.lit("  "), "p_name", F.lit("\t")).alias("target")), part.select(name("p_type")), views.table(spark, sf, "nation").select(name("n_name"))]
+    own = reduce(DataFrame.unionByName, parts).distinct()
+    return own.select("target", X.display_target(F.col("target")).alias("shown"), X.normalize_target(F.col("target")).alias("slug"), X.report_filename(F.col("target"), F.lit(AT).cast("timestamp")).alias("filename"))
 
 
 def decided(spark: SparkSession, sf: str) -> DataFrame:
@@ -537,15 +572,6 @@ def q48_market_payloads(spark, sf):
     return collect.market(views.articles(spark, sf).select("article_id", day.alias("value"))).select("article_id", "raw_text")
 
 
-@query(with_views(AGG_SQL + """
-select target, 'Recommendation:' || chr(10) || 'Decision: ' || case when net_score > 2 then 'BUY' when net_score < -2 then 'SELL' else 'HOLD' end || chr(10) || 'Confidence: ' || case when conflicts <> '' then 'low' else 'medium' end || chr(10) || 'Time horizon: Long-term' || chr(10) || 'Insufficient evidence: no' || chr(10) || chr(10) ||
-    'Reasoning:' || chr(10) || summary || chr(10) || case when conflicts <> '' then chr(10) || 'Key Risks:' || chr(10) || concat_ws(chr(10), '- ' || c1, '- ' || c2) || chr(10) else '' end || chr(10) ||
-    'Aggregation:' || chr(10) || '- Summary: ' || summary || chr(10) || '- Dominant driver: ' || dominant_driver || chr(10) || '- Net score: ' || net_score || chr(10) || case when conflicts <> '' then '- Conflicts:' || chr(10) || concat_ws(chr(10), '  - ' || c1, '  - ' || c2) || chr(10) else '' end || chr(10) ||
-    'Sources:' || chr(10) || '[1] Title' || chr(10) || 'URL: u' || chr(10) || 'Snippet: Snip' as shown from summed"""))
-def q49_recommendation_text(spark, sf):
-    return decided(spark, sf).select("target", reports.recommendation_text().alias("shown"))
-
-
 @query(with_views("select date_trunc('hour', structured_at) as start, event_type, count(*)::bigint as n from signals_v group by all"))
 def q50_windowed_counts(spark, sf):
     """The batch form of the stream's windowed counts."""
@@ -572,6 +598,20 @@ def q51_recommend_routes(spark, sf):
     return recommended(spark, sf).select("question_id", "target", "route", "decision", "confidence", "insufficient_evidence", "reasoning", *numbers, F.size("sources").cast("long").alias("n_sources"))
 
 
+SHOWN_SQL = f"""
+select question_id, 'Recommendation:' || chr(10) || 'Decision: ' || decision || chr(10) || 'Confidence: ' || confidence || chr(10) || 'Time horizon: Long-term' || chr(10) || 'Insufficient evidence: ' || case when insufficient_evidence then 'yes' else 'no' end || chr(10) || chr(10) ||
+    'Reasoning:' || chr(10) || reasoning || coalesce(chr(10) || chr(10) || 'Key Risks:' || chr(10) || case when insufficient_evidence then {RISKS_SQL} when conflicts <> '' then concat_ws(chr(10), '- ' || c1, '- ' || c2) end, '') ||
+    case when summary is not null then chr(10) || chr(10) || 'Aggregation:' || chr(10) || '- Summary: ' || summary || chr(10) || '- Dominant driver: ' || dominant_driver || chr(10) || '- Net score: ' || net_score || case when conflicts <> '' then chr(10) || '- Conflicts:' || chr(10) || concat_ws(chr(10), '  - ' || c1, '  - ' || c2) else '' end else '' end ||
+    case when n_sources > 0 then chr(10) || chr(10) || 'Sources:' || chr(10) || blocks else '' end as shown from recommended join asked using (question_id) left join (
+        select question_id, string_agg('[' || id || '] ' || title || chr(10) || 'URL: ' || url || chr(10) || 'Snippet: ' || snippet, chr(10) || chr(10) order by id) as blocks from evidence group by question_id) using (question_id)"""
+
+
+@query(with_views(RECOMMENDED_SQL + SHOWN_SQL))
+def q49_recommendation_text(spark, sf):
+    """The console form of all routes."""
+    return recommended(spark, sf).select("question_id", reports.recommendation_text().alias("shown"))
+
+
 @query(
     with_views(
         CANDIDATES_SQL
@@ -608,3 +648,80 @@ select question_id, '# Recommendation Report: ' || {q_display('target')} || chr(
 def q53_report_debug(spark, sf):
     """Reports of all routes with the aggregated events and the reranked order."""
     return recommended(spark, sf).select("question_id", reports.report_markdown(F.lit(AT).cast("timestamp"), "target_events", "ranked_candidates").alias("report"))
+
+
+def article_index(spark: SparkSession, sf: str) -> CellIndex:
+    index = CellIndex(spark, tables.work_dir(spark))
+    index.build(vectors(spark, sf), recall=0.97)
+    return index
+
+
+def asking(spark: SparkSession, sf: str) -> DataFrame:
+    return vectors(spark, sf).filter((F.col("article_id") - 1) % 20 == 0).withColumnRenamed("article_id", "question_id")
+
+
+@query(with_views(KNN_SQL + " select count(distinct question_id)::bigint as questions, count(*)::bigint as hits, count(*) filter (rank = 1 and article_id = question_id)::bigint as found_themselves, true as recall_reached from hits"))
+def q54_saved_index_recall(spark, sf):
+    """Vectors whose id is divisible by 20 search the saved cells; recall_reached: at least 95 in 100 of the exact neighbours are found."""
+    found, exact = article_index(spark, sf).search(asking(spark, sf), 5), hits(spark, sf)
+    both = exact.select("question_id", "article_id").join(found.select("question_id", "article_id", F.lit(1).alias("_f"), "rank"), ["question_id", "article_id"], "left")
+    counted = both.agg(F.countDistinct("question_id").alias("questions"), F.count(F.lit(1)).alias("hits"), F.count_if((F.col("rank") == 1) & (F.col("article_id") == F.col("question_id"))).alias("found_themselves"), (F.count("_f") >= 0.95 * F.count(F.lit(1))).alias("recall_reached"))
+    return counted
+
+
+@query(with_views(KNN_SQL + " select * from hits"))
+def q55_saved_index_all_cells(spark, sf):
+    """With all cells the saved index is exact; some vectors were replaced and put back before, and some were deleted and put back."""
+    index, own = article_index(spark, sf), vectors(spark, sf)
+    some = own.filter("article_id % 7 = 0")
+    index.upsert(some.withColumn("embedding", F.transform("embedding", lambda v: -v)))
+    index.upsert(some)
+    index.delete(own.filter("article_id % 11 = 0").select("article_id"))
+    index.upsert(own.filter("article_id % 11 = 0"))
+    return index.search(asking(spark, sf), 5, probes=10**6).withColumn("distance", F.round("distance", 6))
+
+
+@query(with_views("select article_id, 'id' as by, title from articles_v where article_id % 20 = 0 union all select article_id, 'url', title from articles_v where article_id % 20 = 7"))
+def q56_lookup_keys(spark, sf):
+    """A twentieth of all ids, and of all urls, in the stored table."""
+    db, own = stored_articles(spark, sf), views.articles(spark, sf)
+    by_id = db.articles.of_keys(own.select("article_id").filter("article_id % 20 = 0")).select("article_id", F.lit("id").alias("by"), "title")
+    return by_id.unionByName(db.articles.of_values("url", own.filter("article_id % 20 = 7").select("url")).select("article_id", F.lit("url").alias("by"), "title"))
+
+
+@query(with_views("""
+, first as (select row_number() over (order by article_id) as id, content from articles_v where article_id % 2 = 0),
+kept as (select id, content from first where id % 3 <> 0 and id <= (select max(id) from first) - 10),
+later as (select (select max(id) from first) + row_number() over (order by article_id) as id, content from articles_v where article_id % 2 = 1)
+select id as article_id, md5(content) as digest from kept union all select id, md5(content) from later"""))
+def q57_ids_after_deletion(spark, sf):
+    """Half of the articles are stored, a third of them and the last ten deleted, and the other half stored: no id comes back."""
+    db, own = opened(spark), views.articles(spark, sf).withColumn("fetched_at", F.col("published_at")).withColumnRenamed("article_id", "ord")
+    db.articles.insert(own.filter("ord % 2 = 0"), "ord")
+    last = db.articles.greatest()
+    db.articles.delete(db.articles.read().filter((F.col("article_id") % 3 == 0) | (F.col("article_id") > last - 10)).select("article_id"))
+    db.articles.insert(own.filter("ord % 2 = 1"), "ord")
+    return db.articles.read().select("article_id", F.md5("content").alias("digest"))
+
+
+@query(with_views("select article_id, row_number() over (partition by article_id order by structured_at, event_id::varchar) as place, event_id::varchar as event_id from signals_v where article_id % 5 <> 0 and article_id % 20 between 1 and 7"))
+def q58_events_of_articles(spark, sf):
+    """Events of a fifth of all articles are deleted from the stored table; those of some articles are listed in their order."""
+    db = opened(spark)
+    db.events.append(full_events(spark, sf), checked=False)
+    ids = views.articles(spark, sf).select("article_id")
+    db.events.delete(ids.filter("article_id % 5 = 0"))
+    place = Window.partitionBy("article_id").orderBy("structured_at", "event_id")
+    return db.events.of_keys(ids.filter("article_id % 20 between 1 and 7")).select("article_id", F.row_number().over(place).cast("long").alias("place"), "event_id")
+
+
+@query(with_views("""
+, bad as (select case when event_id % 50 = 1 then event_id - 1 else event_id end as event_id, case when event_id % 70 = 3 then article_id + 1000000 else article_id end as article_id, case when event_id % 11 = 0 then 'Up' else direction end as direction, case when event_id % 13 = 0 then null else importance end as importance from signals_v)
+select 'invalid direction' as reason, count(*)::bigint as n from bad where direction = 'Up' union all select 'no importance', count(*)::bigint from bad where importance is null
+union all select 'repeated event_id', count(*)::bigint from (select event_id from bad group by event_id having count(*) > 1) union all select 'unknown article_id', count(*)::bigint from bad where article_id not in (select article_id from articles_v)"""))
+def q59_constraint_report(spark, sf):
+    """What a table of events would refuse."""
+    n = F.col("event_id").cast("long")
+    bad = full_events(spark, sf).withColumns({"direction": F.when(n % 11 == 0, "Up").otherwise(F.col("direction")), "importance": F.when(n % 13 != 0, F.col("importance")), "article_id": F.when(n % 70 == 3, F.col("article_id") + 1_000_000).otherwise(F.col("article_id"))})
+    bad = bad.withColumn("event_id", F.when(n % 50 == 1, n - 1).otherwise(n).cast("string"))
+    return constraints.violations(bad, STRUCTURED_EVENTS, parents={"articles": views.articles(spark, sf)})

@@ -16,12 +16,23 @@ GENERAL_NAMES = ["general market", "market", "broad market"]
 MIN_TEXT, TITLE_CHARS, DESCRIPTION_CHARS = 50, 100, 200
 TOP_K, RETRIEVAL_TOP_K, EXCERPT_CHARS, SNIPPET_CHARS, MAX_RISKS = 3, 5, 700, 220, 3
 
-_s, _l = T.StringType(), T.LongType()
+REQUIRED = ["source", "title", "content", "url", "published_at"]
+
+_s, _l, _at = T.StringType(), T.LongType(), T.TimestampType()
+
+
+def _field(name: str, kind: T.DataType = _s, needed: bool = True, **rules: object) -> T.StructField:
+    """``rules``: see operators/constraints.py."""
+    return T.StructField(name, kind, not needed, rules or None)
+
+
 RAW_EVENT = T.StructType([T.StructField("source", _s), T.StructField("raw_text", _s)])
 ARTICLES = T.StructType(
-    [T.StructField("article_id", _l, False), *(T.StructField(n, _s) for n in ("source", "title", "description", "content", "url")), T.StructField("published_at", T.TimestampType()), T.StructField("summary", _s), T.StructField("fetched_at", T.TimestampType())]
+    [_field("article_id", _l, unique=True), _field("source"), _field("title"), _field("description", needed=False), _field("content"), _field("url", unique=True), _field("published_at", _at), _field("summary", needed=False), _field("fetched_at", _at, needed=False)]
 )
 STRUCTURED_EVENTS = T.StructType(
-    [T.StructField("event_id", _s, False), T.StructField("article_id", _l, False), *(T.StructField(n, _s) for n in ("event_type", "direction", "importance", "time_horizon", "affected_asset", "reasoning", "evidence_excerpt")), T.StructField("structured_at", T.TimestampType())]
-)
-REQUIRED = ["source", "title", "content", "url", "published_at"]
+    [
+        _field("event_id", unique=True), _field("article_id", _l, references="articles"), _field("event_type", values=EVENT_TYPES), _field("direction", values=list(DIRECTIONS)), _field("importance", values=list(IMPORTANCE)), _field("time_horizon", values=HORIZONS),
+        *map(_field, ("affected_asset", "reasoning", "evidence_excerpt")), _field("structured_at", _at),
+    ]
+)

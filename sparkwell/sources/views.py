@@ -14,7 +14,7 @@ select doc_id + 1 as article_id,
 from {documents} left join {labels} using (doc_id)
 """
 SIGNALS = """
-select event_id, event_id % 200 + 1 as article_id, ts as structured_at,
+select event_id, event_id % (select cast(floor(count(*) * 0.8) as bigint) from {documents}) + 1 as article_id, ts as structured_at,
     case event_type when 'error' then 'Macro' when 'purchase' then 'Company' when 'signup' then 'Sector' else 'Market' end as event_type,
     case when value < 20 then 'Negative' when value < 50 then 'Neutral' else 'Positive' end as direction,
     case when event_id % 9 < 3 then 'High' when event_id % 9 < 6 then 'Medium' else 'Low' end as importance,
@@ -23,7 +23,7 @@ select event_id, event_id % 200 + 1 as article_id, ts as structured_at,
 from {events}
 """
 ARTICLES_SQL = ARTICLES.format(documents="documents", labels="labels")
-SIGNALS_SQL = SIGNALS.format(events="events")
+SIGNALS_SQL = SIGNALS.format(events="events", documents="documents")
 #: To be put before a query: both views as named subqueries.
 WITH = f"with recursive articles_v as ({ARTICLES_SQL}), signals_v as ({SIGNALS_SQL})"
 
@@ -37,4 +37,5 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(SIGNALS, events=table(spark, sf_dir, "events"))
+    """Events that are dealt over four fifths of all articles."""
+    return spark.sql(SIGNALS, events=table(spark, sf_dir, "events"), documents=table(spark, sf_dir, "documents"))

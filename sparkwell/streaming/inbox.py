@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..operators.events import insert_or_skip, to_articles, validate
-from ..operators.store import SnapshotTable
+from ..operators.events import to_articles, unknown_rows, validate
+from ..operators.tables import PartitionedTable, SnapshotTable
 from ..schema import RAW_EVENT
 
 
@@ -14,16 +15,15 @@ def read_inbox(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(RAW_EVENT).json(folder)
 
 
-def ingest_stream(inbox: DataFrame, articles: SnapshotTable, checkpoint: str):  # noqa: ANN201
-    """Every micro-batch goes through the batch flow. Urls are made of the text, so a batch that is repeated stores nothing new."""
+def ingest_stream(inbox: DataFrame, articles: PartitionedTable, checkpoint: str):  # noqa: ANN201
+    """Every micro-batch is written once, numbered there, and goes through the batch flow, which appends what is new. Urls are made of the text, so a batch that is repeated stores nothing new."""
 
     def store(batch: DataFrame, _: int) -> None:
-        valid, _rejects = validate(batch)
-        rows = to_articles(valid.withColumn("ord", F.monotonically_increasing_id()), F.sha2("raw_text", 256), F.current_timestamp()).withColumn("fetched_at", F.current_timestamp())
-        before = articles.read()
-        new = insert_or_skip(before, rows, "ord").select(before.columns)
-        if not new.isEmpty():
-            articles.write(before.unionByName(new))
+        staged = SnapshotTable(articles.spark, f"{articles.path}_batch", T.StructType([*RAW_EVENT.fields, T.StructField("ord", T.LongType())]))
+        staged.write(batch.withColumn("ord", F.monotonically_increasing_id()))
+        valid, _rejects = validate(staged.read())
+        rows = to_articles(valid, F.sha2("raw_text", 256), F.current_timestamp()).withColumn("fetched_at", F.current_timestamp())
+        articles.insert(unknown_rows(articles.read(), rows, "ord"), "ord")
 
     return inbox.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

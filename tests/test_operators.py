@@ -2,13 +2,14 @@ from __future__ import annotations
 
 import json
 import random
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from sparkwell.functions import text as X
 from sparkwell.operators import events as E
-from sparkwell.operators import models, retrieval, signals, store, validation
+from sparkwell.operators import models, retrieval, signals, store, tables, validation
 from sparkwell.plans import recommend, reports
 from sparkwell.schema import ARTICLES
 from sparkwell.sources import collect
@@ -48,6 +49,10 @@ def test_insert_keeps_the_first_and_goes_on_with_ids(spark):
     assert E.insert_or_skip(old, new.limit(0), "ord").count() == 0
 
 
+def article(spark, k):
+    return spark.createDataFrame([(k, "news", "t", None, "c", f"u{k}", datetime(2024, 1, 1), None, None)], ARTICLES)
+
+
 def test_limits_before_and_after_the_anti_join(spark):
     a = spark.createDataFrame([(k, f"2024-01-0{k}") for k in range(1, 6)], "article_id long, published_at string")
     e = spark.createDataFrame([(5,), (4,)], "article_id long")
@@ -57,13 +62,15 @@ def test_limits_before_and_after_the_anti_join(spark):
 
 
 def test_snapshots_replace_at_once(spark, tmp_path):
-    t = store.SnapshotTable(spark, str(tmp_path / "articles"), ARTICLES)
+    t = tables.SnapshotTable(spark, str(tmp_path / "articles"), ARTICLES)
     assert t.read().count() == 0
-    row = spark.createDataFrame([(1, "news", "t", None, "c", "u", None, None, None)], ARTICLES)
-    assert t.write(t.read().unionByName(row)) == 1
+    row = article(spark, 1)
+    assert t.write(t.read().unionByName(row))["n"] == 1
     held = t.read()
-    assert t.write(t.read().unionByName(row.withColumn("article_id", F.lit(2).cast("long")))) == 2
+    assert t.write(t.read().unionByName(article(spark, 2)))["n"] == 2
     assert held.count() == 1 and t.read().count() == 2
+    t.write(row)
+    assert sorted(p.name for p in (tmp_path / "articles").iterdir() if p.is_dir()) == ["v2", "v3"]
 
 
 def test_nearest_is_exact_and_breaks_ties_by_id(spark):
@@ -130,9 +137,10 @@ def test_flow_of_recommendations(spark, tmp_path):
     events = spark.createDataFrame(rows, "event_id string, article_id long, event_type string, direction string, importance string, time_horizon string, affected_asset string").withColumn("structured_at", F.lit("x")).withColumn("evidence_excerpt", F.lit("ev"))
     got = recommend.recommend(targets, hits, events)
     assert {r["target"]: (r["route"], r["decision"]) for r in got.collect()} == {"MSFT": ("decide", "BUY"), "AAPL": ("market_only", "HOLD"), "ZZZ": ("no_evidence", "HOLD")}
-    paths = reports.write_reports(got.filter("target = 'AAPL'"), str(tmp_path), F.lit("2026-05-10 20:30:15").cast("timestamp"))
-    assert paths[0].endswith("2026-05-10_203015_AAPL.md")
-    text = open(paths[0], encoding="utf-8").read()
+    written = reports.write_reports(got.filter("target = 'AAPL'"), str(tmp_path), F.lit("2026-05-10 20:30:15").cast("timestamp"))
+    path = written.first()["path"]
+    assert path.endswith("2026-05-10_203015_AAPL.md")
+    text = open(path, encoding="utf-8").read()
     assert "- Insufficient evidence: yes" in text and "## Conflicts" not in text and text.endswith("Snippet: " + "c" * 60 + "\n")
 
 
@@ -151,7 +159,7 @@ def test_stream_into_snapshots(spark, tmp_path):
     inbox.mkdir()
     lines = [{"source": "news", "raw_text": "x" * 60}, {"source": "news", "raw_text": "x" * 60}, {"source": "rss", "raw_text": "y" * 60}]
     (inbox / "a.json").write_text("\n".join(map(json.dumps, lines)))
-    t = store.SnapshotTable(spark, str(tmp_path / "articles"), ARTICLES)
+    t = tables.PartitionedTable(spark, str(tmp_path / "articles"), ARTICLES)
     for _ in range(2):
         ingest_stream(read_inbox(spark, str(inbox)), t, str(tmp_path / "checkpoint")).awaitTermination()
     assert t.read().count() == 1
