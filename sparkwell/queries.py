@@ -298,8 +298,8 @@ def full_events(spark: SparkSession, sf: str) -> DataFrame:
 @query(with_views("select count(*)::bigint as total, count(distinct source || content)::bigint as saved, count(distinct source || content)::bigint as summarized, count(distinct source || content)::bigint as indexed, (count(*) - count(distinct source || content))::bigint as skipped from articles_v where source <> 'rss' and length(content) >= 50"))
 def q12_ingest_stats(spark, sf):
     """The flow itself: everything is validated, inserted, summarised and indexed, and the figures are observed on the writes."""
-    raw = raw_events(spark, sf).withColumnRenamed("article_id", "row_ord")
-    return figures(spark, flows.ingest(opened(spark), raw, F.col("published_at"), event_id=F.md5("raw_text"), make=Excerpts))
+    raw = raw_events(spark, sf).withColumnsRenamed({"article_id": "row_ord", "published_at": "seen_at"})
+    return figures(spark, flows.ingest(opened(spark), raw, F.col("seen_at"), event_id=F.md5("raw_text"), make=Excerpts))
 
 
 @query(with_views("select count(*)::bigint as total_candidates, count(*) filter (summary is null or trim(summary) = '')::bigint as processed, count(*) filter (summary is null or trim(summary) = '')::bigint as indexed, count(*) filter (trim(summary) <> '')::bigint as skipped from articles_v"))
