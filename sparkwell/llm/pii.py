@@ -29,6 +29,9 @@ GIVEN = {
 LATIN = "bar bel ben bor cal cor dan del dor fal fen fir gal gar hal han hol jar kel ken lan lar len lor mal mar mel mor nal nor pel per ral ren rol sal sel sol tal tar tel tor val ver vol wal wen wil zan".split()
 CYRILLIC = "бар бел бор вал вер гал гор дан дол жар зал зор кал кор лан лар мал мар мел нор пал пер рал род сал сер тал тор фал хол".split()
 
+# Endings of Russian surnames that have a form for women, and that form.
+GENDERED = {"ов": "ова", "ев": "ева", "ёв": "ёва", "ин": "ина", "ын": "ына", "ский": "ская", "цкий": "цкая"}
+
 _word = r"\p{Lu}[\p{L}'’-]{1,40}"
 _titles = "|".join([*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES])
 _given = "|".join(n for names in GIVEN.values() for n in names)
@@ -70,6 +73,36 @@ def run_secret(spark: SparkSession) -> str:
     return spark.conf.get("spark.sparkwell.pii.secret", None) or _drawn.setdefault(spark.sparkContext.applicationId, secrets.token_hex(32))
 
 
+def _capitals(x: Column) -> Column:
+    return (F.length(x) > 1) & (F.upper(x) == x) & (F.lower(x) != x)
+
+
+def _as_name(token: Column) -> Column:
+    """A name's word in the case that names have, so that capitals make no other entity."""
+    return F.when(_capitals(token), F.initcap(F.lower(token))).otherwise(token)
+
+
+def _of_woman(token: Column) -> Column:
+    return F.lower(token).rlike(rf"^\p{{L}}{{2,}}(?:{'|'.join(GENDERED.values())})$")
+
+
+def _of_man(token: Column) -> Column:
+    """The form for men of a surname that has two, else the word as it is."""
+    out = token
+    for man, woman in GENDERED.items():
+        out = F.when(token.rlike(rf"^\p{{L}}{{2,}}{woman}$"), F.regexp_replace(token, f"{woman}$", man)).otherwise(out)
+    return out
+
+
+def _in_place(kind: Column, text: Column, made: Column) -> Column:
+    """A name's surrogate as it stands here: the form for women and capitals, where the original has them."""
+    woman = made
+    for man, own in GENDERED.items():
+        woman = F.when(F.endswith(made, F.lit(man)), F.regexp_replace(made, f"{man}$", own)).otherwise(woman)
+    own = F.when((kind == "surname_cyrillic") & _of_woman(text), woman).otherwise(made)
+    return F.when(_capitals(text), F.upper(own)).otherwise(own)
+
+
 def _cyrillic(x: Column) -> Column:
     return x.rlike(r"\p{IsCyrillic}")
 
@@ -88,10 +121,12 @@ def _parts(x: Column) -> Column:
     lists = {kind: F.array(*map(F.lit, names)) for kind, names in GIVEN.items()}
 
     def name(token: Column) -> Column:
+        word = _as_name(token)
         kind = F.when(~token.rlike(r"^\p{L}") | (F.length(token) == 1) | token.isin(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES), "keep")
         for k, names in lists.items():
-            kind = kind.when(F.array_contains(names, token), k)
-        return _part(kind.when(_cyrillic(token), "surname_cyrillic").otherwise("surname_latin"), token, token)
+            kind = kind.when(F.array_contains(names, word), k)
+        kind = kind.when(_cyrillic(token), "surname_cyrillic").otherwise("surname_latin")
+        return _part(kind, F.when(kind == "surname_cyrillic", _of_man(word)).otherwise(word), token)
 
     return (
         F.when(head != "", F.array(_part("keep", head, head), _part("secret", value, value)))
@@ -112,6 +147,9 @@ def _entity_of(text: Column) -> Column:
     names = F.regexp_extract_all(text, F.lit(NAME), F.lit(0))
     words = F.flatten(F.transform(names, lambda x: F.regexp_extract_all(x, F.lit(NAME_PART), F.lit(0))))
     words = F.filter(F.array_distinct(words), lambda w: w.rlike(r"^\p{L}{2}|^\p{L}['’-]\p{L}") & ~w.isin(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES + NOT_NAMES))
+    # the same words in capitals, and both forms of a surname that has two
+    words = F.flatten(F.transform(words, lambda w: F.array_distinct(F.array(w, _of_man(w), _in_place(F.lit("surname_cyrillic"), F.lit("Иванова"), _of_man(w))))))
+    words = F.array_distinct(F.flatten(F.transform(words, lambda w: F.when(F.length(w) > 2, F.array(w, F.upper(w))).otherwise(F.array(w)))))
     longest_first = F.array_join(F.reverse(F.array_sort(words)), "|")
     return F.when(text.rlike(NAME) & (longest_first != ""), F.concat(F.lit(ENTITY + r"|(?<![\p{L}\p{N}])(?:"), longest_first, F.lit(r")(?![\p{L}\p{N}])"))).otherwise(ENTITY)
 
@@ -158,11 +196,29 @@ def _card(text: Column, stream: Column, wide: Column) -> Column:
     return F.when(_luhn(F.regexp_replace(text, "[^0-9]", "")) == 0, F.concat(head, check)).otherwise(other)
 
 
-def _surname(syllables: list[str], stream: Column, draw: Column, text: Column) -> Column:
-    """Three syllables, one more with every tenth draw; in capitals if the original is."""
+def _remainder(iban: Column) -> Column:
+    """What an account number without spaces leaves by 97; 1 for valid ones."""
+    moved = F.concat(F.substring(iban, F.lit(5), F.length(iban)), F.substring(iban, 1, 4))
+
+    def add(a: Column, c: Column) -> Column:
+        value = F.ascii(c)
+        return F.when(value < 58, (a * 10 + value - 48) % 97).otherwise((a * 100 + value - 55) % 97)
+
+    return F.aggregate(F.split(moved, ""), F.lit(0), add)
+
+
+def _iban(text: Column, stream: Column, wide: Column) -> Column:
+    """Same country and form, without spaces; check digits are right if those of the original are."""
+    other = F.regexp_replace(F.concat(_same_form(text, stream, F.lit(2), F.lit(False)), wide), " ", "")
+    country, rest = F.substring(other, 1, 2), F.substring(other, F.lit(5), F.length(other))
+    check = F.lpad((98 - _remainder(F.concat(country, F.lit("00"), rest))).cast("string"), 2, "0")
+    return F.when(_remainder(F.regexp_replace(text, " ", "")) == 1, F.concat(country, check, rest)).otherwise(other)
+
+
+def _surname(syllables: list[str], stream: Column, draw: Column, ending: Column) -> Column:
+    """Three syllables, one more with every tenth draw, and the ending."""
     parts = F.transform(F.sequence(F.lit(0), F.lit(2) + F.floor(draw / 10).cast("int")), lambda i: F.element_at(F.array(*map(F.lit, syllables)), F.pmod(_byte(stream, i * 2) * 256 + _byte(stream, i * 2 + 1), F.lit(len(syllables))) + 1))
-    made = F.initcap(F.array_join(parts, ""))
-    return F.when((F.length(text) > 1) & (F.upper(text) == text), F.upper(made)).otherwise(made)
+    return F.concat(F.initcap(F.array_join(parts, "")), ending)
 
 
 def _given_map(secret: str) -> dict[str, str]:
@@ -183,15 +239,16 @@ def _surrogate(secret: str, kind: Column, key: Column, text: Column, draw: Colum
     more = F.floor(draw / 10).cast("int")
     wide = F.translate(F.substring(stream, F.lit(65), more), "abcdef", "024689")
     letters = F.translate(F.substring(stream, 1, 12), "0123456789", "ghijklmnop")
-    fixed = F.when(text.rlike("^(AKIA|ASIA|gh[pousr]_|xox)"), 4).when(text.rlike("^sk-"), 3).when(kind == "iban", 2).when(text.rlike(r"^\+"), F.least(F.length(F.regexp_extract(text, r"^\+[0-9]{1,3}(?=[ .-])|^\+[0-9]", 0)), F.lit(4))).otherwise(0)
+    fixed = F.when(text.rlike("^(AKIA|ASIA|gh[pousr]_|xox)"), 4).when(text.rlike("^sk-"), 3).when(text.rlike(r"^\+"), F.least(F.length(F.regexp_extract(text, r"^\+[0-9]{1,3}(?=[ .-])|^\+[0-9]", 0)), F.lit(4))).otherwise(0)
     return (
-        F.when(F.startswith(kind, F.lit("given")), F.get(F.map_values(F.map_filter(given, lambda k, _: k == text)), F.lit(0)))
-        .when(kind == "surname_latin", _surname(LATIN, stream, draw, text))
-        .when(kind == "surname_cyrillic", _surname(CYRILLIC, stream, draw, text))
+        F.when(F.startswith(kind, F.lit("given")), F.get(F.map_values(F.map_filter(given, lambda k, _: k == key)), F.lit(0)))
+        .when(kind == "surname_latin", _surname(LATIN, stream, draw, F.lit("")))
+        .when(kind == "surname_cyrillic", _surname(CYRILLIC, stream, draw, F.regexp_extract(key, f"(?<=\\p{{L}}{{2}})(?:{'|'.join(GENDERED)})$", 0)))
         .when(kind == "domain", F.concat(letters, F.lit(".example.net")))
         .when((kind == "ip") & (more > 0), F.concat_ws(":", F.lit("2001:db8"), *(F.substring(stream, 1 + 4 * k, 4) for k in range(6))))
         .when(kind == "ip", F.concat_ws(".", *(octet(i) for i in range(4))))
         .when(kind == "card", _card(text, stream, wide))
+        .when(kind == "iban", _iban(text, stream, wide))
         .when((kind == "ip6") & F.contains(text, F.lit("::")), F.concat_ws(":", F.substring(stream, 1, 4), F.substring(stream, 5, 4), F.lit(""), F.substring(stream, 9, 4), F.substring(stream, 13, 4)))
         .when(kind == "ip6", F.concat(_same_form(text, stream, F.lit(0), F.lit(True)), F.when(more > 0, F.concat(F.lit(":"), wide)).otherwise(F.lit(""))))
         .when(((kind == "user") & (F.length(text) < 8)) | ((kind == "secret") & (F.length(F.regexp_replace(text, "[^A-Za-z0-9]", "")) < 6)), F.concat(F.substring(letters, 1, 8), _same_form(text, stream, F.lit(0), F.lit(False))))
@@ -229,7 +286,8 @@ def pseudonymise(docs: DataFrame, secret: str, count: str | None = None) -> Data
 
     Entities: emails, phone numbers, IP addresses, card, bank and social security numbers, keys and passwords, and names with a title
     or a known given name. A part's surrogate depends on the secret and the part alone unless it collides, so it is the same in
-    all documents. Further mentions of a name's words in the same text are replaced with it. Texts without entities pass through untouched and are not shuffled; null stays null. Repeated rows get
+    all documents; account numbers keep right check digits, surnames their form for men or women, capitals stay capitals. Further mentions
+    of a name's words in the same text are replaced with it, also in capitals and in the other form of a surname. Texts without entities pass through untouched and are not shuffled; null stays null. Repeated rows get
     equal texts, an empty table gives no rows. Matches are bounded in length, so long texts take linear time.
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
@@ -246,7 +304,7 @@ def pseudonymise(docs: DataFrame, secret: str, count: str | None = None) -> Data
     # an entity may have any share of the mentions; what stays as it is needs no join
     joined = join_salted(parts.filter("kind <> 'keep'"), made, ["kind", "key"], "__row", SALTS).unionByName(parts.filter("kind = 'keep'").withColumn("made", F.lit(None).cast("string")))
     # a phone number keeps the form in which it stands here, so all but the digits come from this text
-    new = F.when(F.col("kind") == "keep", F.col("text")).when(F.col("kind").isin("phone", "card", "social", "iban"), _in_form(F.col("text"), F.col("made"))).otherwise(F.col("made"))
+    new = F.when(F.col("kind") == "keep", F.col("text")).when(F.col("kind").isin("phone", "card", "social", "iban"), _in_form(F.col("text"), F.col("made"))).when(F.col("kind").rlike("^(given|surname)"), _in_place(F.col("kind"), F.col("text"), F.col("made"))).otherwise(F.col("made"))
     whole = joined.groupBy("__row").agg(F.collect_list(F.struct("__at", "__part", new.alias("new"))).alias("new"))
     rest = F.transform("__rest", lambda x, i: F.struct(i.alias("__at"), F.lit(-1).alias("__part"), x.alias("new")))  # each stands before its entity
     pieces = F.transform(F.array_sort(F.concat(rest, "new")), lambda n: n["new"])

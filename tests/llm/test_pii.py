@@ -149,3 +149,38 @@ def test_the_secret_comes_from_the_session(spark):
         assert pii.run_secret(spark) == "own"
     finally:
         spark.conf.unset("spark.sparkwell.pii.secret")
+
+
+def remainder(iban):
+    moved = iban[4:] + iban[:4]
+    return int("".join(str(int(c, 36)) for c in moved)) % 97
+
+
+def test_account_numbers_stay_valid(spark):
+    valid = ["DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819", "FR14 2004 1010 0505 0001 3M02 606"]
+    rows = [(k, f"to {x}.") for k, x in enumerate(valid)] + [(9, "to DE11 3704 0044 0532 0130 00."), (10, "to DE89370400440532013000.")]
+    new = texts(pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "secret"))
+    for k, x in enumerate(valid):
+        made = new[k][3:-1]
+        assert remainder(x.replace(" ", "")) == 1 == remainder(made.replace(" ", "")) and made != x
+        assert [c if c == " " else "9" if c.isdigit() else "A" for c in made] == [c if c == " " else "9" if c.isdigit() else "A" for c in x] and made[:2] == x[:2]
+    assert new[10][3:-1] == new[0][3:-1].replace(" ", "")
+    assert re.fullmatch(r"to DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d\.", new[9]) and new[9] != rows[3][1]
+
+
+def test_surnames_keep_gender_and_capitals(spark):
+    rows = [
+        (1, "Анна Иванова и Иван Иванов. Иванова ушла, ИВАНОВ тоже."), (2, "Мария Достоевская, Павел Достоевский; Ольга Шевченко."), (3, "John Smith met JOHN SMITH and John. SMITHERS stays, Smith too."),
+        (4, "Mr JOHN SMITH left."), (5, "Сергей Пушкин"), (6, "Елена Пушкина"),
+    ]
+    new = texts(pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "secret"))
+    m = re.fullmatch(r"(\w+) (\w+)ова и (\w+) (\w+)ов\. (\w+)ова ушла, (\w+)ОВ тоже\.", new[1])
+    assert m and m[2] == m[4] == m[5] and m[6] == m[2].upper() and "Иван" not in new[1].replace(m[1], "")
+    assert m[1] in pii.GIVEN["given_female_cyrillic"] and m[3] in pii.GIVEN["given_male_cyrillic"]
+    d = re.fullmatch(r"\w+ (\w+)ская, \w+ (\w+)ский; \w+ (\w+)\.", new[2])
+    assert d and d[1] == d[2] and "Шевченко" != d[3]
+    s = re.fullmatch(r"(\w+) (\w+) met (\w+) (\w+) and (\w+)\. SMITHERS stays, (\w+) too\.", new[3])
+    assert s and (s[3], s[4]) == (s[1].upper(), s[2].upper()) and s[5] == s[1] and s[6] == s[2] and not {s[1], s[2]} & {"John", "Smith"}
+    assert new[4] == f"Mr {s[1].upper()} {s[2].upper()} left."
+    a, b = new[5].split()[1], new[6].split()[1]
+    assert a.endswith("ин") and b == a + "а" and a != "Пушкин"
