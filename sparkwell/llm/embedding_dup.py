@@ -9,7 +9,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import join_salted, save_table
@@ -21,6 +22,8 @@ MAX_SAMPLE, MAX_PROBES = 20_000, 2_000
 CELL = 64
 #: Vectors on either side of a unit of verification at most.
 UNIT_DATA, UNIT_QUERIES = 2_000, 8_000
+#: Rows that are compared with all codes at once.
+SLICE = 500
 #: Parts into which the rows of a cell are dealt where they meet its size.
 SALTS = 64
 
@@ -29,7 +32,7 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     """Centroids by Lloyd's rounds from evenly spaced rows (which are in the order of a hash)."""
     c = x[np.linspace(0, len(x) - 1, min(k, len(x))).astype(int)].copy() if len(x) else np.zeros((1, x.shape[1]))
     for _ in range(rounds if len(x) else 0):
-        near = np.argmin((c**2).sum(1) - 2 * x @ c.T, axis=1)
+        near = np.concatenate([np.argmin((c**2).sum(1) - 2 * x[i : i + SLICE] @ c.T, axis=1) for i in range(0, len(x), SLICE)])
         n = np.bincount(near, minlength=len(c))
         order = np.argsort(near, kind="stable")
         sums = np.add.reduceat(x[order], np.r_[0, np.cumsum(n[n > 0])[:-1]], axis=0)
@@ -98,24 +101,43 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 def _by_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Rows' places and unit vectors, for each length of vectors."""
-    values = column.to_pylist()
-    sizes = np.array([len(x) for x in values])
+    sizes = pc.list_value_length(column).to_numpy()
     for d in np.unique(sizes):
         at = np.flatnonzero(sizes == d)
-        yield at, unit(np.array([values[k] for k in at], np.float64))
+        own = column if len(at) == len(column) else column.take(pa.array(at))
+        yield at, unit(own.flatten().to_numpy().reshape(len(at), d))
 
 
 def _pair_reach(index: MultiIndex, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """For each pair of rows the reach from which one of the two searches visits the other's cell."""
     out = [np.empty(0)]
-    for start in range(0, len(x), 500):
-        (ax, fax), (bx, fbx) = index.halves(x[start : start + 500])
-        (ay, fay), (by, fby) = index.halves(y[start : start + 500])
+    for start in range(0, len(x), SLICE):
+        (ax, fax), (bx, fbx) = index.halves(x[start : start + SLICE])
+        (ay, fay), (by, fby) = index.halves(y[start : start + SLICE])
         k = np.arange(len(ax))
         out.append(np.minimum(fax[k, ay] + fbx[k, by], fay[k, ax] + fby[k, bx]))
     return np.concatenate(out)
 
 
+def _visits(index: MultiIndex, x: np.ndarray, i: np.ndarray, j: np.ndarray, reach: float) -> np.ndarray:
+    """Whether the search of row ``j`` visits the cell of row ``i``, pair by pair; a slice of rows at a time."""
+    wanted, at = np.unique(i, return_inverse=True)
+    codes = np.empty((len(wanted), 2), np.int64)
+    for k in range(0, len(wanted), SLICE):
+        (a, _), (b, _) = index.halves(x[wanted[k : k + SLICE]])
+        codes[k : k + SLICE] = np.stack([a, b], axis=1)
+    out = np.empty(len(i), bool)
+    order = np.argsort(j, kind="stable")
+    rows, first = np.unique(j[order], return_index=True)
+    ends = np.append(first, len(j))
+    for k in range(0, len(rows), SLICE):
+        (_, far_a), (_, far_b) = index.halves(x[rows[k : k + SLICE]])
+        own = order[ends[k] : ends[min(k + SLICE, len(rows))]]
+        row = np.searchsorted(rows, j[own]) - k
+        out[own] = far_a[row, codes[at[own], 0]] + far_b[row, codes[at[own], 1]] <= reach
+    return out
+
+
 def fit_index(vectors: DataFrame, threshold: float, recall: float, max_sample: int = MAX_SAMPLE) -> MultiIndex:
     """Codebooks from a sample of at most ``max_sample`` vectors in the order of a hash, and how far searches go.
 
@@ -155,6 +177,14 @@ def fit_index(vectors: DataFrame, threshold: float, recall: float, max_sample: i
     return MultiIndex(books, reach)
 
 
+#: 128 bits of a label and vector, by which rows find their entry; inside, entries are told apart by their number in a written table.
+KEY = ["key_a", "key_b"]
+
+
+def _keys() -> list[Column]:
+    return [F.xxhash64("label", "v"), F.xxhash64(F.lit(0x9E3779B9), "v", "label")]
+
+
 def embedding_duplicates(vectors: DataFrame, threshold: float = 0.93, recall: float = 0.999) -> DataFrame:
     """vec_id, n_links, component_id and kept of every vector.
 
@@ -175,8 +205,8 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.93, recall: fl
     # neither a null nor a non-finite component; not all of them zero
     sound = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.when(F.coalesce(sound, F.lit(False)), v).alias("v"))
-    entries = rows.filter("v is not null").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("many")).withColumn("entry", F.xxhash64("label", "v"))
-    entries = save_table(entries, "entries")
+    entries = rows.filter("v is not null").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("many")).withColumns(dict(zip(KEY, _keys(), strict=True)))
+    entries = save_table(entries.withColumn("entry", F.monotonically_increasing_id()), "entries")
     index = fit_index(entries, threshold, recall)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +233,6 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.93, recall: fl
         nodes = list(zip(ids.tolist(), entry.tolist(), strict=True))
         total, found = np.zeros(len(ids), np.int64), UnionFind()
         for at, x in _by_length(unit_.column("v").combine_chunks()):
-            (a, far_a), (b, far_b) = index.halves(x)
             reach = index.reach.get(x.shape[1], 0.0) + 1e-12
             d, q = np.flatnonzero(~query[at]), np.flatnonzero(query[at])
             for k in range(0, len(q), 1_000):
@@ -213,7 +242,9 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.93, recall: fl
                 other = entry[at[i]] != entry[at[j]]
                 i, j = i[other], j[other]
                 # a pair that both searches find counts here only where the lesser entry searches
-                once = (entry[at[i]] < entry[at[j]]) | (far_a[j, a[i]] + far_b[j, b[i]] > reach)
+                once = entry[at[i]] < entry[at[j]]
+                later = np.flatnonzero(~once)
+                once[later] = ~_visits(index, x, i[later], j[later], reach)
                 i, j = i[once], j[once]
                 np.add.at(total, at[i], many[at[j]])
                 np.add.at(total, at[j], many[at[i]])
@@ -229,9 +260,10 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.93, recall: fl
     counts = result.filter("entry is not null").groupBy("entry").agg(F.sum("n").alias("n"))
     root = components(result.filter("a is not null").select("a", "b"))
     known = entries.select("entry", "rep", "many").join(counts, "entry", "left").join(root.select(F.col("node.entry").alias("entry"), F.col("root.rep").alias("root")), "entry", "left")
-    known = known.select("entry", (F.coalesce("n", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("root", "rep").alias("least"))
+    known = known.join(entries.select("entry", *KEY), "entry").select(*KEY, (F.coalesce("n", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("root", "rep").alias("least"))
     # a vector may have any share of the rows
-    out = join_salted(rows.select("vec_id", F.when(F.col("v").isNotNull(), F.xxhash64("label", "v")).alias("entry")), known, ["entry"], "vec_id", 1_024, "left")
+    named = [F.when(F.col("v").isNotNull(), k).alias(name) for name, k in zip(KEY, _keys(), strict=True)]
+    out = join_salted(rows.select("vec_id", *named), known, KEY, "vec_id", 1_024, "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("least", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 

@@ -1,10 +1,11 @@
 from __future__ import annotations
 
+import duckdb
 import numpy as np
 import pytest
 
 from sparkwell.llm import embedding_dup
-from sparkwell.llm.embedding_dup import embedding_duplicates
+from sparkwell.llm.embedding_dup import SQL, embedding_duplicates
 
 
 @pytest.mark.parametrize("bounds", [(2000, 8000), (40, 60)])
@@ -76,3 +77,21 @@ def test_a_repeated_id_is_linked_by_its_own_vector(spark):
     rows = [(1, [1.0, 0.0, 0.0], 0), (5, [1.0, 0.1, 0.0], 0), (5, [0.0, 0.0, 1.0], 0), (6, [0.0, 0.1, 1.0], 0)]
     got = embedding_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 1, 1), (5, 1, 1), (5, 1, 5), (6, 1, 5)]
+
+
+def test_sql_on_a_table_with_links(spark, tmp_path):
+    """The given tables have no pair above the threshold, so the SQL is tried on one that has many."""
+    rng = np.random.default_rng(11)
+    middle = rng.normal(size=(40, 16))
+    rows = []
+    for k in range(400):
+        x = middle[k % 40] + rng.normal(size=16) * (0.02 if k % 3 else 0.35)
+        rows.append((k, [float(v) for v in np.float32(x)], None if k % 57 == 0 else int(k % 40 % 5)))
+    rows += [(1000 + k, rows[k][1], rows[k][2]) for k in range(0, 400, 9)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    table.write.parquet(str(tmp_path / "embeddings"))
+    duck = duckdb.connect()
+    duck.execute(f"create view embeddings as select * from '{tmp_path}/embeddings/*.parquet'")
+    want = sorted(duck.execute(SQL).fetchall())
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_duplicates(spark.read.parquet(str(tmp_path / "embeddings"))).collect())
+    assert sum(r[1] for r in want) > 1000 and got == want
