@@ -73,6 +73,18 @@ def slices(batches: Iterable[pa.RecordBatch], most: int = 4_000_000) -> Iterator
             yield batch.slice(start)
 
 
+_kept: dict[object, object] = {}
+
+
+def kept(name: object, make: Callable[[], object]) -> object:
+    """What a worker keeps between tasks under ``name``. What it kept under another name goes first, so that a worker that
+    serves several operators in turn holds the memos of one of them."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
 class Memo(dict):
     """Solved words of a worker. It keeps ``limit`` words at most; when it is full, those of the current batch stay."""
 

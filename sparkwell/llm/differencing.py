@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import doc_bytes, slices
+from .common import doc_bytes, kept, slices
 from .word_encoder import WordEncoder
 
 #: Windows of a block, the share of its tokens that is cut into fine pieces at first, their greatest and least length.
@@ -127,9 +127,6 @@ def windows_of(lengths: np.ndarray, doc_tokens: np.ndarray, capacity: int) -> tu
         share = min(1.0, 2 * share)
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def pack_evenly(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 1, with_ids: bool = False, windows: int = WINDOWS) -> DataFrame:
     """The ids of every text and ``end_id`` behind them in sequences of at most ``capacity``, with little left to pad.
 
@@ -143,7 +140,7 @@ def pack_evenly(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_
         raise ValueError("capacity and windows must be at least 1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.get(tokenizer_path) or _encoders.setdefault(tokenizer_path, WordEncoder(tokenizer_path))
+        encoder = kept(("words", tokenizer_path), lambda: WordEncoder(tokenizer_path))
         made = TaskContext.get().partitionId() << 40
 
         def rows(doc: pa.Array, tokens: np.ndarray, start: np.ndarray, ids: np.ndarray, at: np.ndarray, length: np.ndarray, sequence: np.ndarray, offset: np.ndarray) -> pa.RecordBatch:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_bytes, join_salted, save_table, slices
+from .common import doc_bytes, join_salted, kept, save_table, slices
 from .components import UnionFind, components
 from .superminhash import Shingler, band_keys, mix, signatures
 
@@ -20,13 +20,9 @@ UNIT_SHINGLES, UNIT_DOCUMENTS = 400_000, 1_000
 #: Parts into which the rows of equal sets are dealt.
 SALTS = 1_024
 
-_shinglers: list[Shingler] = []
-
 
 def _shingler() -> Shingler:
-    if not _shinglers:
-        _shinglers.append(Shingler())
-    return _shinglers[0]
+    return kept("shingles", Shingler)
 
 
 def _fingerprint(shingles: np.ndarray) -> bytes:

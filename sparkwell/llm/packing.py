@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import doc_bytes, save_table, slices
+from .common import doc_bytes, kept, save_table, slices
 from .word_encoder import WordEncoder
 
 Pattern = tuple[tuple[int, int], ...]  # (length, times), in the order in which they stand in the sequence
@@ -146,9 +146,6 @@ class Numbering:
         return [pa.array([self.part] * len(lengths), pa.int64()), pa.array(ranks, pa.int64())]
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, with_ids: bool = False) -> DataFrame:
     """Tokens of every text and ``end_id`` behind them, cut into pieces of ``capacity`` where they are longer.
 
@@ -158,7 +155,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: in
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.get(tokenizer_path) or _encoders.setdefault(tokenizer_path, WordEncoder(tokenizer_path))
+        encoder = kept(("words", tokenizer_path), lambda: WordEncoder(tokenizer_path))
         numbering = Numbering()
         for b in slices(batches, 8_000_000):
             ids, edges = encoder.flat(b.column("data"))

@@ -22,7 +22,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Distinct 64-bit hashes of the 5-word shingles of texts; a worker remembers words' hashes."""
 
-    def __init__(self, memo_words: int = 400_000) -> None:
+    def __init__(self, memo_words: int = 200_000) -> None:
         self.memo = Memo(memo_words)
 
     def sets(self, texts: list[bytes]) -> list[np.ndarray]:
