@@ -25,12 +25,13 @@ def validate(raw: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame
     return marked.filter("reason is null").drop("reason"), marked.filter("reason is not null")
 
 
-def to_articles(events: DataFrame, event_id: Column, at: Column) -> DataFrame:
-    """Events as articles; the url is made of source and id."""
+def to_articles(events: DataFrame, event_id: Column | None, at: Column, url: Column | None = None) -> DataFrame:
+    """Events as articles; the url is made of source and id, without an id of source and time. A ``url`` that isn't empty stays."""
     raw = F.col("raw_text")
+    own = F.concat(F.lit("internal://"), F.col("source"), F.lit("/"), F.format_string("%.6f", F.unix_micros(at) / 1e6) if event_id is None else event_id)
     return events.select(
         "*", F.substring(raw, 1, TITLE_CHARS).alias("title"), F.substring(raw, 1, DESCRIPTION_CHARS).alias("description"), raw.alias("content"),
-        F.concat(F.lit("internal://"), F.col("source"), F.lit("/"), event_id).alias("url"), at.alias("published_at"), F.lit(None).cast("string").alias("summary"), first_line(raw).alias("first_line"),
+        (own if url is None else F.when(F.coalesce(url, F.lit("")) != "", url).otherwise(own)).alias("url"), at.alias("published_at"), F.lit(None).cast("string").alias("summary"), first_line(raw).alias("first_line"),
     )
 
 

@@ -75,7 +75,7 @@ class Ledger:
         return self.read().filter("error is null").groupBy("key").agg(F.max("raw").alias("raw"))
 
     def ask(self, requests: DataFrame, make: Callable[[], Callable[[str], str]]) -> DataFrame:
-        """key, raw and error of all ``requests`` (key and request; a written table), each different one asked once, and only if it isn't known.
+        """key, raw and error of what is in the ledger then; each different one of ``requests`` (key and request; a written table) is asked once, and only if it isn't known.
 
         ``make`` makes what answers, once per task that asks. Any Exception that it raises is the request's error; it is asked again in later runs.
         """
@@ -88,8 +88,10 @@ class Ledger:
         for at in self._open():
             self.spark.read.schema(SCHEMA).parquet(at).hint("rebalance").write.mode("append").parquet(f"{self.path}/done")
             here.drop(f"open/{at.rsplit('/', 1)[-1]}")
-        failed = self.read().filter((F.col("run") == run) & F.col("error").isNotNull()).groupBy("key").agg(F.max("error").alias("error"))
-        return requests.select("key").distinct().join(self.known(), "key", "left").join(failed, "key", "left").withColumn("error", F.when(F.col("raw").isNull(), F.col("error")))
+        # a row per key: what was answered, else why it wasn't this time
+        own = self.read().filter(F.col("error").isNull() | (F.col("run") == run))
+        replies = own.groupBy("key").agg(F.max(F.when(F.col("error").isNull(), F.col("raw"))).alias("raw"), F.max("error").alias("error"), F.max(F.col("error").isNull()).alias("_answered"))
+        return replies.select("key", "raw", F.when(~F.col("_answered"), F.col("error")).alias("error"))
 
 
 def _asker(folder: str, run: str, make: Callable[[], Callable[[str], str]], size: int, in_flight: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

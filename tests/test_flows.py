@@ -227,3 +227,66 @@ def test_shell_shows_debug_parts_and_documents(spark, tmp_path):
     batch = json.loads(step("collect", TEXT.format("x"), "--document"))
     assert set(batch) == {"batch_id", "created_at", "events"} and [set(e) for e in batch["events"]] == [{"id", "source", "raw_text", "timestamp"}]
     assert json.loads(step("collect", "", "--document"))["events"] == []
+
+
+class Everything(Service):
+    """The whole shell on one service."""
+
+    def do_POST(self):  # noqa: N802
+        body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+        self.log.append((self.path, self.headers["Authorization"], body["model"]))
+        rules = "" if self.path.endswith("/embeddings") else body["messages"][0]["content"]
+        event = {"event_type": "Company", "direction": "Positive", "importance": "High", "time_horizon": "Both", "affected_asset": "MSFT", "reasoning": "r", "evidence_excerpt": "e"}
+        source = {"id": 1, "title": "t", "url": "u", "snippet": "s"}
+        replies = {
+            "Give 3": {"bullets": ["a", "b", "c"]}, "Order": {"ranked_candidates": [{"candidate_id": "1", "reason": "fits"}]}, "Answer": {"answer": "It rose.", "sources": [source], "confidence": "high", "insufficient_evidence": False, "supporting_points": [{"text": "p", "citations": [1]}], "counter_points": []},
+            "Decide": {"decision": "BUY", "confidence": "low", "time_horizon": "Both", "reasoning": "so", "key_risks": [], "insufficient_evidence": False, "sources": [source]},
+        }
+        found = next((r for head, r in replies.items() if rules.startswith(head)), {"events": [event]})
+        reply = {"choices": [{"message": {"content": json.dumps(found)}}]} if rules else {"data": [{"index": k, "embedding": [float(len(t)), 1.0]} for k, t in enumerate(body["input"])]}
+        self.send_response(200)
+        self.end_headers()
+        self.wfile.write(json.dumps(reply).encode())
+
+
+def test_shell_on_a_service(spark, tmp_path, monkeypatch):
+    server = HTTPServer(("127.0.0.1", 0), Everything)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    monkeypatch.setenv("OPENAI_MODEL", "common")
+    monkeypatch.setenv("OPENAI_ANSWER_MODEL", "answering")
+    monkeypatch.delenv("OPENAI_RERANK_MODEL", raising=False)
+    monkeypatch.delenv("OPENAI_API_KEY", raising=False)
+    Everything.log = []
+
+    def step(*argv):
+        return "\n".join(cli.run(spark, cli._parser().parse_args([*argv, "--store", str(tmp_path / "s"), "--reports", str(tmp_path / "r"), "--service", f"http://127.0.0.1:{server.server_port}"])))
+
+    try:
+        with pytest.raises(calls.MissingKeyError):
+            step("ingest", TEXT.format("MSFT"))
+        monkeypatch.setenv("OPENAI_API_KEY", "k")
+        assert "'summarized': 1" in step("ingest", TEXT.format("MSFT"))
+        assert "'created': 1" in step("structure")
+        assert "Answer:\nIt rose." in step("ask", "Which profit rose?") and "1. Candidate 1: fits" in step("ask", "Which profit rose?", "--debug-rerank")
+        assert "Decision: BUY" in step("recommend", "MSFT")
+    finally:
+        server.shutdown()
+    assert {(m, p) for p, _, m in Everything.log} == {("common", "/chat/completions"), ("answering", "/chat/completions"), ("text-embedding-3-small", "/embeddings")}
+    # the second question was known; each of the others was asked once
+    assert sum(p == "/chat/completions" for p, *_ in Everything.log) == 6
+
+
+def test_shell_lists_shows_and_deletes(spark, tmp_path):
+    def step(*argv):
+        return "\n".join(cli.run(spark, cli._parser().parse_args([*argv, "--store", str(tmp_path / "s")])))
+
+    assert step("list") == "No articles in database" and step("show", "1") == "No such article"
+    for name in ("Alpha", "Beta " * 30):
+        step("ingest", TEXT.format(name))
+    step("structure")
+    lines = step("list").split("\n")
+    assert len(lines) == 2 and lines[0].startswith("2  manual  ") and lines[0].endswith("Beta Beta...") and step("list", "--limit", "1").startswith("2  ")
+    shown = step("show", "1").split("\n")
+    assert shown[0].startswith("Alpha reports growth.") and shown[-1] == "Company / Positive / Medium / Both / General Market"
+    assert "'cells': 1" in step("index") and "Sources:\n[1]" in step("ask", "What does Alpha report?")
+    assert step("delete", "1") == "{'events': 2, 'vectors': 1, 'articles': 1}" and step("show", "1") == "No such article"
