@@ -6,6 +6,8 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -122,22 +124,37 @@ class ToxicityModel:
         return np.clip(0.98 * np.interp(z, *self.knots) + 0.02 * sigmoid(z), 0, 1)
 
 
-def learn_lexicon(sample: DataFrame) -> Lexicon:
-    """Terms of toxic documents, by counts of documents with each term; tasks count first, a bounded number of terms is kept."""
+def learn_lexicons(sample: DataFrame) -> list[Lexicon]:
+    """Terms of toxic documents, by counts of documents with each term; tasks count first, a bounded number of terms is kept.
+
+    One lexicon for each of the PARTS, learned from all others, and one learned from all. Terms are counted by part once for all of them.
+    """
+    names = [f"{name}{k}" for k in range(PARTS) for name in ("toxic", "clean")]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seen: tuple[Counter, Counter] = (Counter(), Counter())
-            for label, data in zip(b.column("_label").to_pylist(), b.column("data").to_pylist(), strict=True):
-                seen[label > 0].update({t for w in {bare(x) for x in data.split()} for t in terms_of(w)})
-            terms = [*({*seen[0], *seen[1]})]
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.binary()), pa.array([seen[1][t] for t in terms], pa.int64()), pa.array([seen[0][t] for t in terms], pa.int64())], ["term", "toxic", "clean"])
-
-    own = sample.select("_label", F.col("text").cast("binary").alias("data"))
-    size = sample.agg(F.count_if(F.col("_label") > 0).alias("t"), F.count_if(F.col("_label") == 0).alias("c")).first()
-    found = own.mapInArrow(count, "term binary, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    weight = F.log((F.col("toxic") + 0.5) / F.lit(size["t"] + 1.0)) - F.log((F.col("clean") + 0.5) / F.lit(size["c"] + 1.0))
-    rows = found.filter(F.col("toxic") >= LEAST_DOCUMENTS).select("term", "toxic", weight.alias("w")).filter(F.col("w") >= LEAST_WEIGHT).orderBy((F.col("w") * F.col("toxic")).desc(), "term").limit(MAX_TERMS).collect()
+            seen = [Counter() for _ in names]
+            for label, part, data in zip(*(b.column(c).to_pylist() for c in ("_label", "_part", "data")), strict=True):
+                seen[2 * part + (label <= 0)].update({t for w in {bare(x) for x in data.split()} for t in terms_of(w)})
+            terms = [*set().union(*seen)]
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.binary()), *(pa.array([x[t] for t in terms], pa.int64()) for x in seen)], ["term", *names])
+
+    own = sample.select("_label", "_part", F.col("text").cast("binary").alias("data"))
+    sizes = {r["_part"]: r for r in sample.groupBy("_part").agg(F.count_if(F.col("_label") > 0).alias("toxic"), F.count_if(F.col("_label") == 0).alias("clean")).collect()}
+    found = own.mapInArrow(count, "term binary, " + ", ".join(f"{c} long" for c in names)).groupBy("term").agg(*[F.sum(c).alias(c) for c in names])
+    found = found.filter(reduce(add, [F.col(f"toxic{k}") for k in range(PARTS)]) >= LEAST_DOCUMENTS).persist()
+    try:
+        return [_lexicon(found, sizes, [k for k in range(PARTS) if k != left_out]) for left_out in range(PARTS + 1)]
+    finally:
+        found.unpersist()
+
+
+def _lexicon(found: DataFrame, sizes: dict, parts: list[int]) -> Lexicon:
+    """The lexicon of the documents in ``parts``."""
+    toxic, clean = (reduce(add, [F.col(f"{name}{k}") for k in parts]) for name in ("toxic", "clean"))
+    n_toxic, n_clean = (sum(sizes[k][name] for k in parts if k in sizes) for name in ("toxic", "clean"))
+    weight = F.log((toxic + 0.5) / F.lit(n_toxic + 1.0)) - F.log((clean + 0.5) / F.lit(n_clean + 1.0))
+    rows = found.filter(toxic >= LEAST_DOCUMENTS).select("term", toxic.alias("toxic"), weight.alias("w")).filter(F.col("w") >= LEAST_WEIGHT).orderBy((F.col("w") * F.col("toxic")).desc(), "term").limit(MAX_TERMS).collect()
     return Lexicon({bytes(r["term"]): r["w"] for r in rows})
 
 
@@ -149,15 +166,15 @@ def learn(docs: DataFrame, labels: DataFrame, trained: Column, most: int = MAX_L
     part = (F.crc32(F.col("doc_id").cast("string")) % 7 % 3).alias("_part")
     sample = sample_documents(docs, sample_ids(labels, "toxic", trained, most)).groupBy("doc_id").agg(F.min(F.struct("_label", "text")).alias("_r")).select("doc_id", "_r.*", part).persist()
     try:
-        # the last one has learned from all parts
-        lexicons = [learn_lexicon(sample.filter(F.col("_part") != k)) for k in range(PARTS)] + [learn_lexicon(sample)]
+        lexicons = learn_lexicons(sample)
 
         @F.arrow_udf("array<array<double>>")
         def features(data: pa.Array) -> pa.Array:
             found = [x.features(data.to_pylist()) for x in lexicons]
             return pa.array(np.stack(found, axis=1).tolist(), pa.list_(pa.list_(pa.float64())))
 
-        rows = sample.select("_label", "_part", "doc_id", features(F.col("text").cast("binary")).alias("_f")).orderBy("doc_id").toArrow()
+        # sorted here: a sort in Spark would compute all features a second time, to find its ranges
+        rows = sample.select("_label", "_part", "doc_id", features(F.col("text").cast("binary")).alias("_f")).toArrow().sort_by("doc_id")
     finally:
         sample.unpersist()
     y, part_of = rows.column("_label").to_numpy().astype(float), rows.column("_part").to_numpy()

@@ -6,7 +6,9 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from sparkwell.llm import toxicity
 from sparkwell.llm.quality_classifier import STATISTICS, fit, keep_good, score_quality, statistics
 from sparkwell.llm.toxicity import FEATURES, INSULTS, SECOND_PERSON, Lexicon, bare, keep_civil, score_toxicity
 from sparkwell.llm.trees import fit_boosted, isotonic, sigmoid
@@ -84,3 +86,20 @@ def test_features_are_those_of_brute_force(spark):
         assert abs(f["weight_share"] - sum(weights) / n) < 1e-9 and abs(f["second_share"] - len(you) / n) < 1e-9
         assert f["near_second"] == sum(any(abs(k - j) <= 3 for j in you) for k in bad)
         assert abs(f["marks"] - (text.count("!") + text.count("?")) / n) < 1e-9
+
+
+def test_features_of_the_sample_are_computed_once(spark, tmp_path, monkeypatch):
+    seen = str(tmp_path / "seen")
+
+    class Counting(Lexicon):
+        def features(self, texts):
+            with open(seen, "a") as f:
+                f.write(f"{len(texts)}\n")
+            return super().features(texts)
+
+    monkeypatch.setattr(toxicity, "Lexicon", Counting)
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet").repartition(3), spark.read.parquet(f"{SF}/labels.parquet")
+    toxicity.learn(docs, labels, toxicity.fold(3) != 1)
+    sample = labels.filter((toxicity.fold(3) != 1) & F.col("toxic").isNotNull()).select("doc_id").distinct().join(docs.select("doc_id").distinct(), "doc_id").count()
+    with open(seen) as f:
+        assert sum(map(int, f)) == (toxicity.PARTS + 1) * sample
