@@ -72,33 +72,51 @@ def linked_within(ids: list, sets: list[np.ndarray], percent: int, found: UnionF
                 found.union(ids[k], ids[int(j)])
 
 
-def _compared(docs: DataFrame, units: DataFrame, percent: int) -> DataFrame:
-    """Links of all pairs that a unit holds. ``units``: hub, p, q, parts, and a set's node, doc_id and set_key.
-
-    Rows with a and b (structs of doc_id and node) are a unit's links as a forest; rows with ``left`` name the nodes that links
-    inside the unit don't connect with the hub, where the hub's star has several parts.
-    """
+def _by_set(units: DataFrame) -> DataFrame:
+    """node, doc_id, set_key and the units (hub, p, q, parts) to which a set goes."""
     # a set that goes to very many units does so by several rows
-    wanted = units.groupBy("node", "doc_id", "set_key", F.floor(F.col("p") / 256).alias("_p"), F.floor(F.col("q") / 256).alias("_q")).agg(F.collect_list(F.struct("hub", "p", "q", "parts")).alias("units"))
-    wanted = save_table(wanted.drop("_p", "_q"), "units")
+    own = units.groupBy("node", "doc_id", "set_key", F.floor(F.col("p") / 256).alias("_p"), F.floor(F.col("q") / 256).alias("_q")).agg(F.collect_list(F.struct("hub", "p", "q", "parts")).alias("units"))
+    return save_table(own.drop("_p", "_q"), "units")
+
+
+def _shingled(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, doc_id, units and shingles (binary) of the sets of ``wanted``; large marks a row of each set that is in a star of several parts."""
     # the same way at every size: the ids in stars grow with the input
     texts = doc_bytes(docs).join(wanted.hint("merge"), "doc_id")
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[tuple] = set()  # rows that repeat a document come to the same task
+        marked: set[int] = set()
         for b in slices(batches, 2_000_000):
             rows = []
             sets = _shingler().sets(b.column("data").to_pylist())
             for x, *own, units_ in zip(sets, *(b.column(c).to_pylist() for c in ("set_key", "node", "doc_id", "units")), strict=True):
                 if len(x) and _fingerprint(x) == own[0]:  # else another text of the same doc_id
+                    new = []
                     for u in units_:
                         if (key := (u["hub"], u["p"], u["q"], own[1])) not in done:
                             done.add(key)
-                            rows.append((u["hub"], u["p"], u["q"], u["parts"], own[1], own[2], x.tobytes()))
+                            new.append(u)
+                    if new:
+                        large = own[1] not in marked and any(u["parts"] > 1 for u in new)
+                        if large:
+                            marked.add(own[1])
+                        rows.append((own[1], own[2], new, large, x.tobytes()))
             for at in range(0, len(rows), 1_000):
-                columns = list(zip(*rows[at : at + 1_000], strict=True))
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["hub", "p", "q", "parts", "node", "doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 1_000], strict=True), kinds, strict=True)], names)
+
+    unit = pa.struct([("hub", pa.int64()), ("p", pa.int32()), ("q", pa.int32()), ("parts", pa.int32())])
+    kinds = (pa.int64(), pa.int64(), pa.list_(unit), pa.bool_(), pa.binary())
+    names = ["node", "doc_id", "units", "large", "shingles"]
+    return texts.mapInArrow(shingle, "node long, doc_id long, units array<struct<hub: long, p: int, q: int, parts: int>>, large boolean, shingles binary")
+
+
+def _compared(sets: DataFrame, percent: int) -> DataFrame:
+    """Links of all pairs that a unit holds. ``sets``: node, doc_id, shingles and units.
+
+    Rows with a and b (structs of doc_id and node) are a unit's links as a forest; rows with ``left`` name the nodes that links
+    inside the unit don't connect with the hub, where the hub's star has several parts.
+    """
 
     def verify(unit: pa.Table) -> pa.Table:
         sets = {(d, n): x for d, n, x in zip(*(unit.column(c).to_pylist() for c in ("doc_id", "node", "shingles")), strict=True)}
@@ -114,9 +132,9 @@ def _compared(docs: DataFrame, units: DataFrame, percent: int) -> DataFrame:
         n = len(links) + len(left)
         return pa.table({"a": pa.array(pair(0), kind), "b": pa.array(pair(1), kind), "hub": pa.array([hub] * n, pa.int64()), "left": pa.array([None] * len(links) + left, pa.int64())})
 
-    sets = texts.mapInArrow(shingle, "hub long, p int, q int, parts int, node long, doc_id long, shingles binary")
     node = "struct<doc_id: long, node: long>"
-    return save_table(sets.groupBy("hub", "p", "q").applyInArrow(verify, f"a {node}, b {node}, hub long, left long"), "compared")
+    dealt = sets.select("node", "doc_id", "shingles", F.explode("units").alias("u")).select("u.hub", "u.p", "u.q", "u.parts", "node", "doc_id", "shingles")
+    return save_table(dealt.groupBy("hub", "p", "q").applyInArrow(verify, f"a {node}, b {node}, hub long, left long"), "compared")
 
 
 def _grouped(docs: DataFrame, percent: int, *more: str) -> DataFrame:
@@ -137,7 +155,10 @@ def _grouped(docs: DataFrame, percent: int, *more: str) -> DataFrame:
     named = sets.select("node", "doc_id", "set_key")
     # the hub is in every part of its star
     to = F.when(F.col("node") == F.col("hub"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("own"))
-    first = _compared(docs, dealt.select("hub", "node", "parts", F.explode(to).alias("p"), F.lit(0).alias("q")).join(named, "node"), percent)
+    units = dealt.select("hub", "node", "parts", F.explode(to).alias("p"), F.lit(0).alias("q"))
+    # written, so that texts are dealt by id once, whatever follows
+    shingled = save_table(_shingled(docs, _by_set(units.join(named, "node"))), "shingled")
+    first = _compared(shingled, percent)
     links = first.filter("a is not null").select("a", "b")
     # what the hub doesn't reach inside its part meets all other parts, too
     left = save_table(first.filter("left is not null").select("hub", F.col("left").alias("node")).distinct(), "left")
@@ -146,7 +167,10 @@ def _grouped(docs: DataFrame, percent: int, *more: str) -> DataFrame:
         block = F.pmod(F.xxhash64("node", F.lit(11)), F.col("blocks")).cast("int")
         one = left.join(blocks, "hub").join(large, "hub").select("hub", "node", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"), block.alias("q"))
         other = dealt.join(blocks, "hub").select("hub", "node", "parts", F.col("own").alias("p"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("q"))
-        second = _compared(docs, one.unionByName(other).distinct().join(named, "node"), percent)
+        more_units = _by_set(one.unionByName(other).distinct().join(named, "node")).select("node", "units")
+        # only the sets of such stars are dealt again
+        again = shingled.filter("large").select("node", "doc_id", "shingles")
+        second = _compared(again.join(more_units.hint("merge"), "node"), percent)
         links = links.unionByName(second.filter("a is not null").select("a", "b"))
     root = components(links).select(F.col("node.node").alias("node"), "root")
     me = F.struct("doc_id", "node")

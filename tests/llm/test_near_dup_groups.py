@@ -54,6 +54,21 @@ def test_links_beyond_the_hub_are_found(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got.collect()} == root
 
 
+def test_texts_are_dealt_once(spark, monkeypatch):
+    """Links beyond the hub are looked for among the sets of large stars, not by dealing all texts again."""
+    monkeypatch.setattr(near_dup, "UNIT_DOCUMENTS", 4)
+    read, own = [], near_dup.doc_bytes
+    monkeypatch.setattr(near_dup, "doc_bytes", lambda *a: read.append(1) or own(*a))
+    words, rows = [f"w{i}" for i in range(80)], []
+    for k in range(25):
+        rows.append((k, " ".join(words)))
+        words[k * 3] = f"x{k}"
+    docs = spark.createDataFrame([*rows, (100, A), (101, A + " again"), (102, B)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs).collect()}
+    assert got == {k: 0 for k in range(25)} | {100: 100, 101: 100, 102: 102}
+    assert len(read) == 2  # sketches, shingles
+
+
 @pytest.mark.parametrize("similarity", [0.5, 0.75])
 def test_estimates_vary_less_than_with_independent_ranks(similarity):
     """SuperMinHash: no bias, and a lower variance than the binomial one of plain MinHash (sets not much larger than the signature)."""
