@@ -2,16 +2,20 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import Counter
+from unittest.mock import MagicMock
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from sparkwell.llm import packing
 from sparkwell.llm.bpe import vocabulary
 from sparkwell.llm.bpe_codec import Codec, decode, encode, round_trip
 from sparkwell.llm.packing import pack_documents, plan, sequences
@@ -89,6 +93,23 @@ def test_exact_complements_come_first():
     assert sorted(plan({6: 1, 4: 1, 5: 1, 3: 1, 2: 1, 7: 1, 1: 3}, 10)) == sorted([(((7, 1), (3, 1)), 1), (((6, 1), (4, 1)), 1), (((5, 1), (2, 1), (1, 3)), 1)])
 
 
+def test_packing_holds_little_at_once(spark, monkeypatch):
+    """A batch of many long texts is encoded in small slices, with the same pieces."""
+    docs, task = MagicMock(), MagicMock()
+    task.get().partitionId.return_value = 0
+    monkeypatch.setattr(packing, "TaskContext", task)
+    packing.token_pieces(docs, WORDS, 4096, 1)
+    run = docs.select().mapInArrow.call_args[0][0]
+    text = b"one two three four five six seven eight nine ten. " * 800
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array([text] * 200, pa.binary())], ["doc_id", "data"])
+    list(run(iter([batch.slice(0, 1)])))  # the encoder itself
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in run(iter([batch])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 200 * -(-(800 * 11 + 1) // 4096) and most < 40e6
+
+
 def test_packing_odd_documents(odd_docs, no_docs, word_library):
     packed = pack_documents(odd_docs, WORDS, 4096, 1, with_ids=True).persist()
     rows = packed.toPandas()
