@@ -16,22 +16,32 @@ from sparkwell.llm.pii import pseudonymise, run_secret
 from sparkwell.llm.quality_classifier import keep_good
 from sparkwell.llm.toxicity import keep_civil
 
+#: Bytes of an Arrow batch, about. By rows alone (10,000) a batch grows with the texts, in the JVM and in its Python worker.
+BATCH = "4m"
 #: The whole can't be said in SQL: two stages are fitted models, one packs greedily.
 ORACLE_SQL: str | None = None
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to ``BATCH``: Spark reads this when the stage's result is written."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the quality classifier rejects; it learns from the labels of these documents."""
+    bound_batches(spark)
     return keep_good(docs, table(spark, sf_dir, "labels"), threshold=0.3)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that are predicted to be toxic."""
+    bound_batches(spark)
     return keep_civil(docs, table(spark, sf_dir, "labels"), threshold=0.7)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates."""
+    bound_batches(spark)
     return keep_one(docs, percent=75)
 
 
@@ -43,6 +53,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the tokens of what is left into sequences of at most 4096."""
+    bound_batches(spark)
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -73,18 +75,43 @@ def slices(batches: Iterable[pa.RecordBatch], most: int = 4_000_000) -> Iterator
             yield batch.slice(start)
 
 
+def pieces(texts: list[bytes], most: int = 2_000_000) -> Iterator[list[bytes]]:
+    """The texts in runs of about ``most`` bytes; one text at least."""
+    start = total = 0
+    for k, x in enumerate(texts):
+        if total and total + len(x) > most:
+            yield texts[start:k]
+            start, total = k, 0
+        total += len(x)
+    if start < len(texts):
+        yield texts[start:]
+
+
 _kept: dict[object, object] = {}
 
 
+def _give_back() -> None:
+    """What is freed goes back to the system (of C's memory, where the library can do that)."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def kept(name: object, make: Callable[[], object]) -> object:
     """What a worker keeps between tasks under ``name``. What it kept under another name goes first, so that a worker that
     serves several operators in turn holds the memos of one of them."""
     if name not in _kept:
         _kept.clear()
+        _give_back()
         _kept[name] = make()
     return _kept[name]
 
 
+def keep_nothing(name: object) -> None:
+    """For operators without memos of their own between tasks: what the worker kept for others goes."""
+    kept(name, lambda: None)
+
+
 class Memo(dict):
     """Solved words of a worker. It keeps ``limit`` words at most; when it is full, those of the current batch stay."""
 

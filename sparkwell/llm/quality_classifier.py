@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import keep_nothing
 from .labels import fold, sample_documents, sample_ids
 from .trees import Tree, fit_boosted, sigmoid
 
@@ -44,6 +45,7 @@ def statistics(data: bytes) -> list[float]:
 
 
 def _statistics_of(data: pa.Array) -> pa.Array:
+    keep_nothing("quality")
     found = np.array([statistics(x.as_py()) for x in data]).reshape(-1, len(STATISTICS))
     return pa.StructArray.from_arrays([pa.array(c) for c in found.T], STATISTICS)
 

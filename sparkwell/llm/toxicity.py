@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo
+from .common import Memo, keep_nothing, pieces, slices
 from .labels import fold, sample_documents, sample_ids
 from .trees import Boosted, fit_boosted, isotonic, sigmoid
 
@@ -132,7 +132,8 @@ def learn_lexicons(sample: DataFrame) -> list[Lexicon]:
     names = [f"{name}{k}" for k in range(PARTS) for name in ("toxic", "clean")]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        keep_nothing("toxicity")
+        for b in slices(batches):
             seen = [Counter() for _ in names]
             for label, part, data in zip(*(b.column(c).to_pylist() for c in ("_label", "_part", "data")), strict=True):
                 seen[2 * part + (label <= 0)].update({t for w in {bare(x) for x in data.split()} for t in terms_of(w)})
@@ -158,6 +159,13 @@ def _lexicon(found: DataFrame, sizes: dict, parts: list[int]) -> Lexicon:
     return Lexicon({bytes(r["term"]): r["w"] for r in rows})
 
 
+def features_of(lexicons: list[Lexicon], texts: list[bytes]) -> np.ndarray:
+    """By text and lexicon, rows of FEATURES. The words of some megabytes are held at a time, not those of a whole batch."""
+    keep_nothing("toxicity")
+    found = [np.stack([x.features(some) for x in lexicons], axis=1) for some in pieces(texts)]
+    return np.concatenate([np.empty((0, len(lexicons), len(FEATURES))), *found])
+
+
 def learn(docs: DataFrame, labels: DataFrame, trained: Column, most: int = MAX_LABELLED) -> ToxicityModel:
     """Fits on at most ``most`` labelled documents; only their features and the lexicon come to the driver.
 
@@ -170,8 +178,7 @@ def learn(docs: DataFrame, labels: DataFrame, trained: Column, most: int = MAX_L
 
         @F.arrow_udf("array<array<double>>")
         def features(data: pa.Array) -> pa.Array:
-            found = [x.features(data.to_pylist()) for x in lexicons]
-            return pa.array(np.stack(found, axis=1).tolist(), pa.list_(pa.list_(pa.float64())))
+            return pa.array(features_of(lexicons, data.to_pylist()).tolist(), pa.list_(pa.list_(pa.float64())))
 
         # sorted here: a sort in Spark would compute all features a second time, to find its ranges
         rows = sample.select("_label", "_part", "doc_id", features(F.col("text").cast("binary")).alias("_f")).toArrow().sort_by("doc_id")
@@ -194,15 +201,8 @@ def score_column(model: ToxicityModel) -> Column:
 
     @F.arrow_udf("double")
     def score(data: pa.Array) -> pa.Array:
-        texts, out, start = data.to_pylist(), [], 0
-        while start < len(texts):  # some megabytes at a time
-            end, size = start, 0
-            while end < len(texts) and (end == start or size + len(texts[end]) <= 4_000_000):
-                size += len(texts[end])
-                end += 1
-            out.append(model.scores(texts[start:end]))
-            start = end
-        return pa.array(np.concatenate(out) if out else np.empty(0))
+        keep_nothing("toxicity")
+        return pa.array(np.concatenate([np.empty(0), *map(model.scores, pieces(data.to_pylist()))]))
 
     return score.asNondeterministic()(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
 

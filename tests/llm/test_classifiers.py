@@ -5,10 +5,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sparkwell.llm import toxicity
+from sparkwell.llm import common, quality_classifier, toxicity
 from sparkwell.llm.quality_classifier import STATISTICS, fit, keep_good, score_quality, statistics
 from sparkwell.llm.toxicity import FEATURES, INSULTS, SECOND_PERSON, Lexicon, bare, keep_civil, score_toxicity
 from sparkwell.llm.trees import fit_boosted, isotonic, sigmoid
@@ -103,3 +104,22 @@ def test_features_of_the_sample_are_computed_once(spark, tmp_path, monkeypatch):
     sample = labels.filter((toxicity.fold(3) != 1) & F.col("toxic").isNotNull()).select("doc_id").distinct().join(docs.select("doc_id").distinct(), "doc_id").count()
     with open(seen) as f:
         assert sum(map(int, f)) == (toxicity.PARTS + 1) * sample
+
+
+def test_a_worker_drops_what_it_kept_for_other_operators():
+    for use in (lambda: quality_classifier._statistics_of(pa.array([b"some text"])), lambda: toxicity.features_of([toxicity.Lexicon({})], [b"some text"])):
+        common.kept("words of another operator", dict)
+        use()
+        assert "words of another operator" not in common._kept
+
+
+def test_features_hold_the_words_of_some_texts_at_a_time(monkeypatch):
+    held = []
+    whole = toxicity.Lexicon.features
+    monkeypatch.setattr(toxicity.Lexicon, "features", lambda self, texts: held.append(sum(map(len, texts))) or whole(self, texts))
+    texts = [b"", b"you idiot " * 50_000, *[b"a fine day, %d " % k * 5_000 for k in range(60)], b"", b"stupid"]
+    lexicons = [toxicity.Lexicon({b"day": 2.0}), toxicity.Lexicon({b"stup*": 3.0})]
+    got = toxicity.features_of(lexicons, texts)
+    assert max(held) <= 2_000_000 and sum(held) == 2 * sum(map(len, texts))
+    assert np.array_equal(got, np.stack([whole(x, texts) for x in lexicons], axis=1))
+    assert toxicity.features_of(lexicons, []).shape == (0, 2, len(toxicity.FEATURES))

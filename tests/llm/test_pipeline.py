@@ -29,3 +29,15 @@ def test_odd_documents(spark, odd_docs, no_docs, k):
         if k < 4:
             assert out.columns == docs.columns
         assert out.count() <= max(docs.count() * 30, 0)
+
+
+@pytest.mark.parametrize("k", [0, 1, 2, 4])
+def test_python_stages_bound_their_batches_in_bytes(spark, k):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(name)
+    try:
+        corpus_pipeline.STAGES[k][1](spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
+        largest = spark.range(0, 4_000, 1, 1).selectExpr("repeat('word ', 2000) as text").mapInArrow(lambda batches: (b.select(["text"]).slice(0, 0) if b.nbytes < 9_000_000 else b for b in batches), "text string")
+        assert largest.count() == 0
+    finally:
+        spark.conf.unset(name)
